@@ -60,16 +60,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that computes missing values and forgets everything once it holds ``limit`` entries."""
+    """A dict that computes missing values.  At ``limit`` entries it sets them aside and starts anew; what is
+    asked for again comes back from the set aside ones, so that frequent keys stay."""
 
     def __init__(self, make: Callable, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.aside = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.aside = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

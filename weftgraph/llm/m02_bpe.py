@@ -16,6 +16,7 @@ import base64
 import hashlib
 from itertools import chain
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
@@ -33,7 +34,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], memo: int = 500_000):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.sizes = {r: len(b) for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.automaton = ahocorasick.Automaton()  # bytes stand for the first 256 characters
+        for b, r in ranks.items():
+            self.automaton.add_word(b.decode("latin-1"), (r, len(b)))
+        self.automaton.make_automaton()
         self.apart = Memo(lambda pair: self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair], memo)
         self.alone = Memo(lambda token: self.merge(self.bytes_of[token]) == [token], len(ranks) + 1)
 
@@ -53,43 +59,61 @@ class Vocabulary:
         return [ranks[p] for p in parts]
 
 
+    def extend(self, data: bytes, last: list[int], start: int) -> None:
+        """Complete ``last``, the valid last token of each prefix of ``data``, from prefix ``start + 1`` on.
+
+        ``last[0]`` is the empty prefix's -1.  The automaton names all tokens that end at each byte; of these just
+        one stays apart from the last token of the prefix before it.
+        """
+        apart, alone = self.apart, self.alone
+        base = max(0, start - self.longest + 1)
+        last.extend([-1] * (len(data) + 1 - len(last)))
+        for at, (t, size) in self.automaton.iter(data[base:].decode("latin-1")):
+            end = base + at + 1
+            if end > start and last[end] < 0:
+                before = last[end - size]
+                if (end == size or before >= 0 and apart[before, t]) and alone[t]:
+                    last[end] = t
+
+    def read_back(self, last: list[int], at: int) -> list[int]:
+        out, sizes = [], self.sizes
+        while at:
+            t = last[at]
+            out.append(t)
+            at -= sizes[t]
+        out.reverse()
+        return out
+
+    def tokens(self, data: bytes) -> list[int]:
+        whole = self.ranks.get(data)  # a piece that is a token stays whole
+        if whole is not None:
+            return [whole]
+        last = [-1]
+        self.extend(data, last, 0)
+        return self.read_back(last, len(data))
+
+
 class PrefixTable:
-    """The unique last token of every prefix of one piece."""
+    """The unique last token of every prefix of one piece, kept for edits."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last, self.size = vocabulary, b"", [], []
+        self.v, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
     def append(self, more: bytes) -> "PrefixTable":
-        v, last, size = self.v, self.last, self.size
         start = len(self.data)
-        data = self.data = self.data + more
-        get, apart, alone, longest = v.ranks.get, v.apart, v.alone, v.longest
-        for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                t = get(data[begin:end])
-                if t is not None and alone[t] and (begin == 0 or apart[last[begin - 1], t]):
-                    last.append(t)
-                    size.append(end - begin)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        self.data += more
+        self.v.extend(self.data, self.last, start)
         return self
 
     def truncate(self, length: int) -> "PrefixTable":
         self.data = self.data[:length]
-        del self.last[length:], self.size[length:]
+        del self.last[length + 1 :]
         return self
 
     def tokens(self) -> list[int]:
-        whole = self.v.ranks.get(self.data)  # a piece that is a token stays whole
-        if whole is not None:
-            return [whole]
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at - 1])
-            at -= self.size[at - 1]
-        return out[::-1]
+        whole = self.v.ranks.get(self.data)
+        return [whole] if whole is not None else self.v.read_back(self.last, len(self.data))
 
 
 class TextEncoder:
@@ -140,10 +164,10 @@ _coders: dict = {}
 class Coder:
     """Whole texts to ids and back, with a bounded memo of pieces."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 250_000):
+    def __init__(self, path: str, pattern: str, memo: int = 300_000):
         self.v = v = Vocabulary(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.memo = Memo(lambda piece: PrefixTable(v, piece.encode()).tokens(), memo)
+        self.memo = Memo(lambda piece: v.tokens(piece.encode()), memo)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Coder":

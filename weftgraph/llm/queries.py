@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import m02_bpe, m03_packing, m07_orc
+from . import m01_lines, m02_bpe, m03_packing, m04_urls, m06_ring, m07_orc
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+URL_RULES = [
+    m04_urls.HostRule("block", "com", "/en/"),
+    m04_urls.HostRule("allow", "example.com", "/en/7"),
+    m04_urls.HostRule("allow", "net", "/de/"),
+    m04_urls.HostRule("block", "example.net", "/de/8"),
+    m04_urls.HostRule("block", "org", "/es/"),
+]
+URL_GLOBS = [m04_urls.GlobRule("block", "spam-farm.**"), m04_urls.GlobRule("block", "*.spam-farm.**")]
+
+
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m01_lines.clean(documents(spark, sf_dir), with_text=False)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m02_bpe.digest_documents(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -24,11 +38,46 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m04_urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, URL_GLOBS)
+
+
+def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = m06_ring.shard(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m07_orc.store_documents(documents(spark, sf_dir), WORD_BPE, end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_hilbert_packing, op7_orc_ids)
+    f.__name__: f
+    for f in (
+        op1_line_quality,
+        op2_byte_bpe,
+        op3_hilbert_packing,
+        op4_url_automaton,
+        op6_ring_shards,
+        op7_orc_ids,
+    )
 }
-SQL: dict[str, str] = {}
+
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), r(verdict, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fit AS (
+  SELECT page_id, arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) AS best
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT h.page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN starts_with(host, 'spam-farm.') OR contains(host, '.spam-farm.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit ON h.page_id = fit.page_id"""
+
+SQL: dict[str, str] = {"op1_line_quality": m01_lines.sql(), "op4_url_automaton": URL_SQL}

@@ -17,13 +17,14 @@ PROBE = "It's a  Test:\tx1 é́.\n\nnaïve 'll don't\r\n12 <|endoftext|> Ünder\
 class WordIds:
     """``ids_bytes(text)``: little-endian unsigned 32-bit ids of one text (UTF-8 bytes)."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         self.size = t.get_vocab_size()
         self.memo: dict[bytes, bytes] = {}
+        self.aside: dict[bytes, bytes] = {}
         self.limit = limit
         self.by_word = self._whole(PROBE.encode()) == b"".join(self._encode([w.decode() for w in PROBE.encode().split()]))
         self.specials = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
@@ -46,9 +47,12 @@ class WordIds:
         words, memo = raw.split(), self.memo
         missing = [w for w in set(words) if w not in memo]
         if missing:
-            if len(memo) + len(missing) > self.limit:
+            if len(memo) + len(missing) > self.limit:  # set aside; what is asked for again comes back
+                self.aside = dict(memo)
                 memo.clear()
                 missing = [*set(words)]
+            memo.update((w, self.aside[w]) for w in missing if w in self.aside)
+            missing = [w for w in missing if w not in memo]
             for at in range(0, len(missing), 4096):
                 part = missing[at : at + 4096]
                 memo.update(zip(part, self._encode([w.decode() for w in part])))
