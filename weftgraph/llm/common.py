@@ -85,40 +85,56 @@ def utf8_lists(batch: pa.RecordBatch, column: str) -> list:
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
-    """Apply ``make()`` to each row's ``columns`` (strings as UTF-8 bytes); it yields output tuples.
+    """Apply ``make()`` to each row's ``columns`` (strings as UTF-8 bytes); it yields output tuples."""
 
-    Only ``columns`` are read, so other columns, whatever their names, are pruned at the scan.  Output rows
-    leave in slices of bounded size.
+    def rowwise():
+        f = make()
+        return lambda *columns: (out for row in zip(*columns) for out in f(*row))
+
+    return map_columns(df, columns, schema, rowwise)
+
+
+def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], rows_at_once: int = 128) -> DataFrame:
+    """Apply ``make()`` to lists of the ``columns``' values, some hundred rows at once; it yields output tuples.
+
+    Only ``columns`` are read, so other columns, whatever their names, are pruned at the scan.  Output leaves in
+    batches of some megabytes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
-    spark_schema: StructType = _parse_datatype_string(schema)
+    spark_schema = _parse_datatype_string(schema)
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            cols = []
-            for i in range(batch.num_columns):
-                c = batch.column(i)
-                if pa.types.is_string(c.type):
-                    c = c.cast(pa.binary())
-                elif pa.types.is_large_string(c.type):
-                    c = c.cast(pa.large_binary())
-                cols.append(c.to_pylist())
-            rows: list[tuple] = []
-            for row in zip(*cols):
-                rows.extend(f(*row))
-                if len(rows) >= 4096:
-                    yield to_batch(rows, arrow)
-                    rows = []
-            if rows:
-                yield to_batch(rows, arrow)
+            for at in range(0, batch.num_rows, rows_at_once):
+                for out in f(*map(values, batch.slice(at, rows_at_once).columns)):
+                    rows.append(out)
+                    held += 64 + sum(getattr(x, "nbytes", 0) or (len(x) if isinstance(x, (bytes, str, list)) else 0) for x in out)
+                    if held > 8 << 20:
+                        yield to_batch(rows, arrow)
+                        rows, held = [], 0
+        if rows:
+            yield to_batch(rows, arrow)
 
     return df.select(*columns).mapInArrow(run, spark_schema)
 
 
+def values(column: pa.Array) -> list:
+    """Python values; strings as UTF-8 bytes, lists of numbers as NumPy arrays."""
+    t = column.type
+    if pa.types.is_string(t) or pa.types.is_large_string(t):
+        column = column.cast(pa.binary() if pa.types.is_string(t) else pa.large_binary())
+    elif pa.types.is_list(t) and pa.types.is_primitive(t.value_type) and not column.null_count:
+        flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+    return column.to_pylist()
+
+
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)

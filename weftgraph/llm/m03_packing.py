@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, staged, to_batch
+from .common import map_columns, ship, staged, to_batch
 from .word_tokens import WordIds
 
 DIMENSIONS, BITS, BUCKETS, SEED = 4, 8, 4096, 20_210_917
@@ -83,13 +83,14 @@ def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
         kind = "<u2" if words.size <= 1 << 16 else "<u4"
         end = np.asarray([end_id], "<u4").tobytes()
 
-        def one(k, raw):
-            ids = np.frombuffer(words.ids_bytes(raw or b"") + end, "<u4")
-            yield projector.key(ids), k, ids.size, ids.astype(kind).tobytes()
+        def some(keys, raws):
+            for k, raw in zip(keys, words.ids_many([r or b"" for r in raws])):
+                ids = np.frombuffer(raw + end, "<u4")
+                yield projector.key(ids), k, ids.size, ids.astype(kind).tobytes()
 
-        return one
+        return some
 
-    return map_rows(df, [key, text], "place long, doc_id long, n_tokens long, ids binary", make)
+    return map_columns(df, [key, text], "place long, doc_id long, n_tokens long, ids binary", make)
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, tokens_per_partition: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir
+from .common import map_columns, map_rows, shared_dir
 from .word_tokens import WordIds
 
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
@@ -28,16 +28,17 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_i
         words = WordIds.of(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
 
-        def one(k, raw):
-            ids = np.frombuffer(words.ids_bytes(raw or b"") + end, "<i4")
-            yield k, ids.size, ids
+        def some(keys, raws):
+            for k, raw in zip(keys, words.ids_many([r or b"" for r in raws])):
+                ids = np.frombuffer(raw + end, "<i4")
+                yield k, ids.size, ids
 
-        return one
+        return some
 
-    return map_rows(df, [key, text], FILE_SCHEMA, make)
+    return map_columns(df, [key, text], FILE_SCHEMA, make)
 
 
-def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 64 << 20, stripe_bytes: int = 16 << 20) -> None:
+def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 32 << 20, stripe_bytes: int = 16 << 20) -> None:
     """Sort texts by id, tokenize in that order, write.  The texts are shuffled, once; ids are not."""
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
@@ -96,7 +97,7 @@ def digests(df: DataFrame) -> DataFrame:
 
     def make():
         def one(k, n, ids):
-            raw = np.asarray(ids, "<i4")
+            raw = np.ascontiguousarray(ids, "<i4")
             yield k, int(raw.size), zlib.crc32(raw.tobytes())
 
         return one

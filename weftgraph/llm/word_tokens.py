@@ -14,20 +14,28 @@ _made: dict = {}
 PROBE = "It's a  Test:\tx1 é́.\n\nnaïve 'll don't\r\n12 <|endoftext|> Ünder\x0bscore _ok_ Σίγμας ΣΑΣ end "
 
 
+#: Bare ASCII symbols: the pre-tokenizer parts them from letters.  The apostrophe isn't among them ('s, 'll).
+MARKS = b'.,!?*#$%&|;:"()'
+
+
 class WordIds:
-    """``ids_bytes(text)``: little-endian unsigned 32-bit ids of one text (UTF-8 bytes)."""
+    """``ids_bytes(text)``: little-endian unsigned 32-bit ids of one text (UTF-8 bytes).
+
+    Words missing from the memo are parted into marks and a core of letters in lower case; missing cores are
+    encoded many at a time, and cut apart at the tokens that end a word.
+    """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, words: int = 300_000, cores: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         self.size = t.get_vocab_size()
-        self.memo: dict[bytes, bytes] = {}
-        self.aside: dict[bytes, bytes] = {}
-        self.limit = limit
-        self.by_word = self._whole(PROBE.encode()) == b"".join(self._encode([w.decode() for w in PROBE.encode().split()]))
-        self.specials = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words, self.cores = Generations(words), Generations(cores)
+        self.specials = [x.content.encode() for x in t.get_added_tokens_decoder().values() if x.content]
+        self.by_word = self._whole(PROBE.encode()) == b"".join(self._each(PROBE.encode().split()))
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -35,25 +43,81 @@ class WordIds:
             _made[path] = cls(path)
         return _made[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def _whole(self, raw: bytes) -> bytes:
-        return self._encode([raw.decode()])[0]
+        return self._each([raw])[0]
+
+    def _cores(self, cores: list[bytes]) -> None:
+        for at in range(0, len(cores), 200):
+            part = cores[at : at + 200]
+            ids = np.frombuffer(self._whole(b" ".join(part)), "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                raw, begins = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.cores.young.update(zip(part, [raw[a:b] for a, b in zip(begins, begins[1:])]))
+            else:
+                self.cores.young.update(zip(part, self._each(part)))
+
+    def _learn(self, missing: list[bytes]) -> None:
+        parted, whole = [], []
+        for w in missing:
+            core = w.strip(MARKS)
+            if core and (core.isalpha() or core.decode().isalpha()):
+                at = w.index(core)
+                parted.append((w, w[:at], core.lower(), w[at + len(core) :]))
+            else:
+                whole.append(w)
+        cores = self.cores
+        cores.renew(len(parted) + 64)
+        need = {c for _, _, c, _ in parted}
+        need.update(*((a, b) for _, a, _, b in parted if a or b))
+        need.discard(b"")
+        need = cores.absent_of(need)
+        self._cores([x for x in need if x[0] not in MARKS])
+        marks = [x for x in need if x[0] in MARKS]
+        cores.young.update(zip(marks, self._each(marks)))
+        known, words = cores.young, self.words.young
+        known[b""] = b""
+        for w, a, c, b in parted:
+            words[w] = known[a] + known[c] + known[b]
+        for at in range(0, len(whole), 1024):
+            part = whole[at : at + 1024]
+            words.update(zip(part, self._each(part)))
 
     def ids_bytes(self, raw: bytes) -> bytes:
-        if not self.by_word or any(s in raw for s in self.specials if s):
-            return self._whole(raw)  # the special tokens' strings are found before words are split
-        words, memo = raw.split(), self.memo
-        missing = [w for w in set(words) if w not in memo]
+        return self.ids_many([raw])[0]
+
+    def ids_many(self, raws: list[bytes]) -> list[bytes]:
+        whole = [not self.by_word or any(x in raw for x in self.specials) for raw in raws]
+        # the special tokens' strings are found before words are split
+        found = [[] if w else raw.split() for w, raw in zip(whole, raws)]
+        distinct = set().union(*found)
+        words = self.words
+        words.renew(len(distinct))
+        missing = words.absent_of(distinct)
         if missing:
-            if len(memo) + len(missing) > self.limit:  # set aside; what is asked for again comes back
-                self.aside = dict(memo)
-                memo.clear()
-                missing = [*set(words)]
-            memo.update((w, self.aside[w]) for w in missing if w in self.aside)
-            missing = [w for w in missing if w not in memo]
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                memo.update(zip(part, self._encode([w.decode() for w in part])))
-        return b"".join(map(memo.__getitem__, words))
+            self._learn(missing)
+        get = words.young.__getitem__
+        return [self._whole(raw) if w else b"".join(map(get, x)) for w, raw, x in zip(whole, raws, found)]
+
+
+class Generations:
+    """A bounded memo in two generations: when full, the young one ages and the old one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def renew(self, more: int) -> None:
+        if len(self.young) + more > self.limit:
+            self.young, self.old = {}, self.young
+
+    def absent_of(self, keys: set) -> list:
+        """Those that neither generation has; old ones are young again after this."""
+        young, old = self.young, self.old
+        new = keys.difference(young)  # young is a plain dict: its size isn't walked
+        again = {k: old[k] for k in new if k in old}
+        young.update(again)
+        return [*new.difference(again)] if again else [*new]
