@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -84,8 +85,9 @@ def word_ids(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=50) | st.text(alphabet=st.sampled_from("abcÅÅ ΣσΑ'’s\n\t\x0b\x1c\x85\xa0 ́İ1<|>"), max_size=50))
 def test_word_ids(text):
-    got = np.frombuffer(WordIds.of(queries.WORD_BPE).ids_bytes(text.encode()), "<u4").tolist()
-    assert got == word_ids(text)
+    got = WordIds.of(queries.WORD_BPE).ids_many(pa.array([text, None, "", "a b", text + " x"]))
+    assert [x.tolist() for x in got] == [word_ids(t) for t in (text, "", "", "a b", text + " x")]
+    assert WordIds.of(queries.WORD_BPE).by_word
 
 
 def crc(ids):

@@ -94,8 +94,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return map_columns(df, columns, schema, rowwise)
 
 
-def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], rows_at_once: int = 128) -> DataFrame:
-    """Apply ``make()`` to lists of the ``columns``' values, some hundred rows at once; it yields output tuples.
+def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], rows_at_once: int = 512, as_lists: bool = True) -> DataFrame:
+    """Apply ``make()`` to lists of the ``columns``' values (or Arrow arrays), some hundred rows at once; it yields
+    output tuples.
 
     Only ``columns`` are read, so other columns, whatever their names, are pruned at the scan.  Output leaves in
     batches of some megabytes.
@@ -113,7 +114,8 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
         held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
-                for out in f(*map(values, batch.slice(at, rows_at_once).columns)):
+                columns = batch.slice(at, rows_at_once).columns
+                for out in f(*map(values, columns)) if as_lists else f(*columns):
                     rows.append(out)
                     held += 64 + sum(getattr(x, "nbytes", 0) or (len(x) if isinstance(x, (bytes, str, list)) else 0) for x in out)
                     if held > 8 << 20:

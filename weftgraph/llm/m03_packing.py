@@ -81,16 +81,16 @@ def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
         words = WordIds.of(tokenizer_path)
         projector = Projector(words.size)
         kind = "<u2" if words.size <= 1 << 16 else "<u4"
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
 
-        def some(keys, raws):
-            for k, raw in zip(keys, words.ids_many([r or b"" for r in raws])):
-                ids = np.frombuffer(raw + end, "<u4")
+        def some(keys, texts):
+            for k, ids in zip(keys.to_pylist(), words.ids_many(texts)):
+                ids = np.append(ids, end)
                 yield projector.key(ids), k, ids.size, ids.astype(kind).tobytes()
 
         return some
 
-    return map_columns(df, [key, text], "place long, doc_id long, n_tokens long, ids binary", make)
+    return map_columns(df, [key, text], "place long, doc_id long, n_tokens long, ids binary", make, as_lists=False)
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, tokens_per_partition: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,16 +26,16 @@ FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     def make():
         words = WordIds.of(tokenizer_path)
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
 
-        def some(keys, raws):
-            for k, raw in zip(keys, words.ids_many([r or b"" for r in raws])):
-                ids = np.frombuffer(raw + end, "<i4")
-                yield k, ids.size, ids
+        def some(keys, texts):
+            for k, ids in zip(keys.to_pylist(), words.ids_many(texts)):
+                ids = np.append(ids, end)
+                yield k, ids.size, ids.view("<i4")
 
         return some
 
-    return map_columns(df, [key, text], FILE_SCHEMA, make)
+    return map_columns(df, [key, text], FILE_SCHEMA, make, as_lists=False)
 
 
 def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 32 << 20, stripe_bytes: int = 16 << 20) -> None:

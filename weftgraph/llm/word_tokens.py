@@ -1,7 +1,11 @@
-"""Ids of whole texts by a ``tokenizers`` file, through a bounded memo of white-space separated words.
+"""Ids of whole texts by a ``tokenizers`` file, by way of their distinct words.
 
-The shortcut is exact for tokenizers whose pre-tokenizer never joins text across ASCII white space and drops
-that white space; ``WordIds`` checks this on construction and otherwise encodes whole texts.
+A batch's texts are split at ASCII white space and dictionary-encoded; each distinct word is parted into marks and
+a core of letters in lower case; only cores that a bounded memo lacks are encoded, many at a time, and cut apart at
+the tokens that end a word.  The texts' ids are then gathered from those of their words.
+
+This is exact for tokenizers whose pre-tokenizer never joins text across white space, drops it, and parts letters
+from ASCII marks.  A probe checks it on construction; if it fails, whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -9,23 +13,31 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _made: dict = {}
-PROBE = "It's a  Test:\tx1 é́.\n\nnaïve 'll don't\r\n12 <|endoftext|> Ünder\x0bscore _ok_ Σίγμας ΣΑΣ end "
+PROBE = "It's a  Test:\tx1 é́.\n\nnaïve 'll don't\r\n12 |endoftext| Ünder\x0bscore _ok_ Σίγμας ΣΑΣ (\"end\") x!!, "
+#: Bare ASCII symbols: the pre-tokenizer parts them from letters.  The apostrophe isn't among them ('s, 'll).
+MARKS = '.,!?*#$%&|;:"()'
 
 
-#: Bare ASCII symbols: the pre-tokenizer parts them from letters.  The apostrophe isn't among them ('s, 'll).
-MARKS = b'.,!?*#$%&|;:"()'
+def spread(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[begins[w] : begins[w] + lengths[w]]`` of all ``w`` in ``which``, joined; and their ends."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    index = np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1] if n.size else 0)
+    return flat[index], ends
 
 
-class WordIds:
-    """``ids_bytes(text)``: little-endian unsigned 32-bit ids of one text (UTF-8 bytes).
+def plain(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
 
-    Words missing from the memo are parted into marks and a core of letters in lower case; missing cores are
-    encoded many at a time, and cut apart at the tokens that end a word.
-    """
+class WordIds:
+    """``ids_many(texts)``: the ids of each text of an Arrow string array, as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, words: int = 300_000, cores: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,9 +45,11 @@ class WordIds:
         self.size = t.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words, self.cores = Generations(words), Generations(cores)
-        self.specials = [x.content.encode() for x in t.get_added_tokens_decoder().values() if x.content]
-        self.by_word = self._whole(PROBE.encode()) == b"".join(self._each(PROBE.encode().split()))
+        self.limit, self.young, self.old = limit, {}, {}
+        self.specials = [x.content for x in t.get_added_tokens_decoder().values() if x.content]
+        self.by_word = True
+        probe = pa.array([PROBE])
+        self.by_word = self.ids_many(probe)[0].tolist() == t.encode(PROBE, add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -43,81 +57,75 @@ class WordIds:
             _made[path] = cls(path)
         return _made[path]
 
-    def _each(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def _whole(self, raw: bytes) -> bytes:
-        return self._each([raw])[0]
-
-    def _cores(self, cores: list[bytes]) -> None:
-        for at in range(0, len(cores), 200):
-            part = cores[at : at + 200]
-            ids = np.frombuffer(self._whole(b" ".join(part)), "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, begins = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.cores.young.update(zip(part, [raw[a:b] for a, b in zip(begins, begins[1:])]))
-            else:
-                self.cores.young.update(zip(part, self._each(part)))
-
-    def _learn(self, missing: list[bytes]) -> None:
-        parted, whole = [], []
-        for w in missing:
-            core = w.strip(MARKS)
-            if core and (core.isalpha() or core.decode().isalpha()):
-                at = w.index(core)
-                parted.append((w, w[:at], core.lower(), w[at + len(core) :]))
-            else:
-                whole.append(w)
-        cores = self.cores
-        cores.renew(len(parted) + 64)
-        need = {c for _, _, c, _ in parted}
-        need.update(*((a, b) for _, a, _, b in parted if a or b))
-        need.discard(b"")
-        need = cores.absent_of(need)
-        self._cores([x for x in need if x[0] not in MARKS])
-        marks = [x for x in need if x[0] in MARKS]
-        cores.young.update(zip(marks, self._each(marks)))
-        known, words = cores.young, self.words.young
-        known[b""] = b""
-        for w, a, c, b in parted:
-            words[w] = known[a] + known[c] + known[b]
-        for at in range(0, len(whole), 1024):
-            part = whole[at : at + 1024]
-            words.update(zip(part, self._each(part)))
-
-    def ids_bytes(self, raw: bytes) -> bytes:
-        return self.ids_many([raw])[0]
-
-    def ids_many(self, raws: list[bytes]) -> list[bytes]:
-        whole = [not self.by_word or any(x in raw for x in self.specials) for raw in raws]
-        # the special tokens' strings are found before words are split
-        found = [[] if w else raw.split() for w, raw in zip(whole, raws)]
-        distinct = set().union(*found)
-        words = self.words
-        words.renew(len(distinct))
-        missing = words.absent_of(distinct)
-        if missing:
-            self._learn(missing)
-        get = words.young.__getitem__
-        return [self._whole(raw) if w else b"".join(map(get, x)) for w, raw, x in zip(whole, raws, found)]
-
-
-class Generations:
-    """A bounded memo in two generations: when full, the young one ages and the old one is dropped."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def renew(self, more: int) -> None:
-        if len(self.young) + more > self.limit:
+    def _learn(self, words: list[str], joined: bool) -> None:
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            if joined:
+                ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part):  # each is one run of letters, as expected
+                    raw, begins = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                    self.young.update(zip(part, [raw[a:b] for a, b in zip(begins, begins[1:])]))
+                    continue
+            self.young.update(zip(part, self._each(part)))
+
+    def _known(self, words: list[str], letters: list[bool]) -> list[bytes]:
+        if len(self.young) + len(words) > self.limit:  # a generation ages, the one before it is dropped
             self.young, self.old = {}, self.young
-
-    def absent_of(self, keys: set) -> list:
-        """Those that neither generation has; old ones are young again after this."""
         young, old = self.young, self.old
-        new = keys.difference(young)  # young is a plain dict: its size isn't walked
-        again = {k: old[k] for k in new if k in old}
+        new = set(words).difference(young)
+        again = {w: old[w] for w in new if w in old}
         young.update(again)
-        return [*new.difference(again)] if again else [*new]
+        new.difference_update(again)
+        self._learn([w for w, joined in zip(words, letters) if joined and w in new], True)
+        self._learn([w for w, joined in zip(words, letters) if not joined and w in new], False)
+        return [*map(young.__getitem__, words)]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, joined, with begins and lengths."""
+        left = pc.ascii_ltrim(words, characters=MARKS)
+        core = pc.ascii_rtrim(left, characters=MARKS)
+        letters = pc.utf8_is_alpha(core)
+        body = pc.if_else(letters, pc.ascii_lower(core), words).dictionary_encode()
+        cores = body.dictionary
+        units = self._known(plain(cores), plain(pc.utf8_is_alpha(cores)))
+        size, cut, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, left, core))
+        kept = np.where(letters.to_numpy(zero_copy_only=False), kept, size)
+        before = np.where(kept < size, size - cut, 0)
+        offsets, text = (np.frombuffer(x, t) for x, t in zip(words.buffers()[1:], (np.int32, np.uint8)))
+        offsets = offsets[words.offset : words.offset + len(words)].astype(np.int64)
+        # the marks before all words, then those behind
+        begins, lengths = np.concatenate([offsets, offsets + before + kept]), np.concatenate([before, size - before - kept])
+        data, ends = spread(text, begins, lengths, np.arange(len(begins)))
+        ends = np.concatenate([[0], ends]).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        units += self._known(plain(marks.dictionary), [False] * len(marks.dictionary))
+        side = marks.indices.to_numpy().astype(np.int64) + len(cores)
+        parts = np.stack([side[: len(words)], body.indices.to_numpy(), side[len(words) :]], axis=1)
+        flat = np.frombuffer(b"".join(units), "<u4")
+        n = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        ids, ends = spread(flat, np.cumsum(n) - n, n, parts.ravel())
+        ends = ends[2::3]
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        return ids, begins, ends - begins
+
+    def ids_many(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("")
+        whole = np.full(len(texts), not self.by_word)
+        for s in self.specials:  # their strings are found before words are split
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        if not whole.all():
+            split = pc.ascii_split_whitespace(texts)
+            words = split.flatten().dictionary_encode()
+            ids, begins, lengths = self._distinct(words.dictionary)
+            ids, ends = spread(ids, begins, lengths, words.indices.to_numpy())
+            cuts = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+            out = np.split(ids, cuts[:-1]) if len(cuts) else []
+        for i in np.flatnonzero(whole):
+            out[i] = np.frombuffer(self._each([texts[i].as_py()])[0], "<u4")
+        return out
