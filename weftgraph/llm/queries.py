@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import m01_lines, m02_bpe, m03_packing, m04_urls, m06_ring, m07_orc
+from . import m01_lines, m02_bpe, m03_packing, m04_urls, m06_ring, m07_orc, m09_ordinal
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,17 @@ def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m07_orc.store_documents(documents(spark, sf_dir), WORD_BPE, end_id=2)
 
 
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 toxic, 2 clean.  Kept: clean with a probability of 0.7 or more."""
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    model = m09_ordinal.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), grade, n_grades=3)
+    return m09_ordinal.score(docs, model, keep_grade=2, keep_probability=0.7)
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, documents(spark, sf_dir), sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_url_automaton,
         op6_ring_shards,
         op7_orc_ids,
+        op9_ordinal_quality,
     )
 }
 
