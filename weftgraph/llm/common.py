@@ -8,8 +8,10 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -140,3 +142,32 @@ def values(column: pa.Array) -> list:
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+
+
+class Bits:
+    """A set of 63-bit numbers as a bitmap of their remainders: has every member, and a few others.
+
+    Users treat "perhaps" like "yes" and settle it exactly later, so the size only sets how much work is spared.
+    """
+
+    def __init__(self, array: np.ndarray, size: int):
+        self.array, self.size = array, size
+
+    def perhaps(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.asarray(numbers, np.int64) & (self.size - 1)
+        return (self.array[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bits_of(df: DataFrame, column: str, bits_per_row: int = 32, most: int = 1 << 28) -> Bits:
+    """The bitmap of ``column`` (non-negative longs), built in Spark; between 2**20 and ``most`` bits reach the driver."""
+    n = df.count()
+    size = 1 << 20
+    while size < min(most, n * bits_per_row):
+        size <<= 1
+    at = F.col(column).bitwiseAND(size - 1)
+    parts = df.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(32767).alias("bit"))
+    rows = parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toPandas()
+    array = np.zeros(size // 8, np.uint8)
+    for part, raw in zip(rows["part"], rows["bits"]):
+        array[part * 4096 : part * 4096 + 4096] = np.frombuffer(raw, np.uint8)
+    return Bits(array, size)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import m01_lines, m02_bpe, m03_packing, m04_urls, m06_ring, m07_orc, m09_ordinal
+from . import m01_lines, m02_bpe, m03_packing, m04_urls, m05_chunks, m06_ring, m07_orc, m09_ordinal
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,6 +42,10 @@ def op4_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m04_urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, URL_GLOBS)
 
 
+def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m05_chunks.store_documents(documents(spark, sf_dir))
+
+
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m06_ring.shard(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_byte_bpe,
         op3_hilbert_packing,
         op4_url_automaton,
+        op5_chunk_store,
         op6_ring_shards,
         op7_orc_ids,
         op9_ordinal_quality,
