@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import m01_lines, m02_bpe, m03_packing, m04_urls, m05_chunks, m06_ring, m07_orc, m09_ordinal
+from . import m01_lines, m02_bpe, m03_packing, m04_urls, m05_chunks, m06_ring, m07_orc, m08_minhash, m09_ordinal
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,6 +55,10 @@ def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m07_orc.store_documents(documents(spark, sf_dir), WORD_BPE, end_id=2)
 
 
+def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m08_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 toxic, 2 clean.  Kept: clean with a probability of 0.7 or more."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_chunk_store,
         op6_ring_shards,
         op7_orc_ids,
+        op8_minhash_groups,
         op9_ordinal_quality,
     )
 }
