@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,3 +172,60 @@ def bits_of(df: DataFrame, column: str, bits_per_row: int = 32, most: int = 1 <<
     for part, raw in zip(rows["part"], rows["bits"]):
         array[part * 4096 : part * 4096 + 4096] = np.frombuffer(raw, np.uint8)
     return Bits(array, size)
+
+
+def rewrite_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """Keep, drop or change rows by one text column; all other columns pass through as they are.
+
+    ``make()`` maps a list of texts (UTF-8 bytes or None) to a list of the same length: False drops the row, True
+    keeps it, a string replaces the text.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                results = f(values(part.column(at)))
+                changed = [r if isinstance(r, str) else None for r in results]
+                if any(c is not None for c in changed):
+                    texts = pa.array(changed, part.column(at).type)
+                    part = part.set_column(at, part.schema.field(at), pc.if_else(pc.is_valid(texts), texts, part.column(at)))
+                part = part.filter(pa.array([r is not False for r in results], pa.bool_()))
+                if part.num_rows:
+                    yield part
+
+    return df.mapInArrow(run, df.schema)
+
+
+def spread_id(column: str):
+    """A non-negative 63-bit number from an id, for ``Bits``."""
+    return F.xxhash64(column).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def part_by(df: DataFrame, column: str, bits) -> tuple[DataFrame, DataFrame]:
+    """(rows surely outside, rows perhaps inside) of a broadcast set of ``spread_id`` numbers; nulls are outside."""
+    ship(df.sparkSession)
+
+    def side(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                part = batch.filter(pa.array((bits.value.perhaps(n) & (n >= 0)) == inside))
+                if part.num_rows:
+                    yield part
+
+        numbered = df.withColumn("_n", F.when(F.col(column).isNull(), F.lit(-1)).otherwise(spread_id(column)))
+        return numbered.mapInArrow(run, numbered.schema).drop("_n")
+
+    return side(False), side(True)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id isn't in the one column of ``ids``.  Only rows that a bitmap can't clear are shuffled."""
+    ids = ids.toDF("_id").where("_id IS NOT NULL").distinct()
+    bits = df.sparkSession.sparkContext.broadcast(bits_of(ids.select(spread_id("_id").alias("n")), "n"))
+    outside, inside = part_by(df, column, bits)
+    return outside.unionByName(inside.join(ids, inside[column] == ids["_id"], "left_anti"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, rewrite_rows
 
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
@@ -128,6 +128,22 @@ def clean(df: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", te
     return map_rows(df, [key, text], f"{key} {kind}, {SCHEMA}" + ", cleaned string" * with_text, make)
 
 
+def cleaned_documents(df: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """The rows that pass, with their texts cleaned and all other columns as they are."""
+
+    def make():
+        def some(raws):
+            out = []
+            for raw in raws:
+                verdict = judge(raw, rules)
+                out.append(verdict[6] and (verdict[-1] if verdict[7] else True))
+            return out
+
+        return some
+
+    return rewrite_rows(df, text, make)
+
+
 def sql(rules: LineRules = LineRules()) -> str:
     """The same, in DuckDB's SQL, over a view ``documents``."""
     lists = lambda xs, f: " OR ".join(f(x) for x in xs)

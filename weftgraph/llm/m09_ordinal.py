@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows
+from .common import Memo, map_rows, rewrite_rows
 
 BITS = 18
 RATE = 0.1
@@ -65,7 +65,7 @@ class OrdinalModel:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least_documents: int = 4, least_z: float | None = None, steps: int = 300, ridge: float = 1e-5) -> OrdinalModel:
-    """Minimise the mean negative log likelihood plus ``ridge / 2`` times the squared weights.
+    """Minimise the mean negative log likelihood plus ``ridge / 2`` times the squared weights; ``rows`` is used up.
 
     ``rows`` hold the features that a text has.  Only features are weighted whose rows' share of some grade or
     better lies ``least_z`` standard errors from that of all rows: the many that say nothing would add noise to
@@ -77,20 +77,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least_documen
     weights = np.zeros(1 << BITS)
     if not rows:
         return OrdinalModel(weights, np.linspace(-1, 1, n_grades - 1))
-    rows = [np.unique(r) for r in rows]
-    index, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    wide = np.bincount(index, minlength=1 << BITS)
+    levels = [(grades >= k).astype(float) for k in range(1, n_grades)]
+    means = [better.mean() for better in levels]
+    wide = np.zeros(1 << BITS)
+    above = np.zeros((len(levels), 1 << BITS))
+    for i, r in enumerate(rows):  # row by row: all rows' features together would not be small
+        rows[i] = r = np.unique(r)
+        wide[r] += 1
+        for k, better in enumerate(levels):
+            above[k, r] += better[i] - means[k]
     telling = np.zeros(1 << BITS, bool)
-    for k in range(1, n_grades):
-        better = (grades >= k).astype(float)
+    for better, sums in zip(levels, above):
         p = better.mean()
-        above = np.bincount(index, (better - p)[row], minlength=1 << BITS)
-        telling |= np.abs(above) > least_z * np.sqrt(np.maximum(wide * p * (1 - p), 1e-9))
-    used = np.flatnonzero(telling & (wide >= least_documents))
+        telling |= np.abs(sums) > least_z * np.sqrt(np.maximum(wide * p * (1 - p), 1e-9))
+    telling &= wide >= least_documents
+    used = np.flatnonzero(telling)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
-    keep = place[index] >= 0
-    index, row = place[index[keep]], row[keep]
+    kept = [place[r[telling[r]]] for r in rows]
+    index, row = np.concatenate(kept), np.repeat(np.arange(len(rows)), list(map(len, kept)))
     share = np.bincount(grades, minlength=n_grades).cumsum()[:-1] / len(grades)
     theta = np.log((share + 1e-3) / (1 - share + 1e-3))
     w = np.zeros(len(used))
@@ -122,11 +127,11 @@ def featured(df: DataFrame, key: str, text: str, extra: str) -> DataFrame:
         def one(k, grade, raw):
             words = (raw or b"").split()
             ids = set().union(*map(memo.__getitem__, set(words)), text_features(words))
-            yield k, grade, np.fromiter(sorted(ids), np.int32, len(ids))
+            yield k, grade, np.fromiter(sorted(ids), np.int32, len(ids)).tobytes()
 
         return one
 
-    return map_rows(df, [key, extra, text], f"{key} {df.schema[key].dataType.simpleString()}, grade int, features array<int>", make)
+    return map_rows(df, [key, extra, text], f"{key} {df.schema[key].dataType.simpleString()}, grade int, features binary", make)
 
 
 def train(documents: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, sample: int = 16_000, key: str = "doc_id", text: str = "text", **options) -> OrdinalModel:
@@ -139,8 +144,25 @@ def train(documents: DataFrame, ratings: DataFrame, grade: Column, n_grades: int
     )
     chosen = F.broadcast(chosen)  # at most ``sample`` rows of two numbers
     rows = documents.join(chosen, documents[key] == chosen["_key"]).select(documents[key].alias(key), "_grade", documents[text].alias(text))
-    found = featured(rows, key, text, "_grade").toPandas().sort_values(key, kind="stable")
-    return fit([np.asarray(f) for f in found["features"]], found["grade"].to_numpy(int), n_grades, **options)
+    found = featured(rows, key, text, "_grade").toArrow().sort_by(key)
+    return fit([np.frombuffer(f.as_py(), np.int32) for f in found["features"]], found["grade"].to_numpy().astype(int), n_grades, **options)
+
+
+def scorer(model: tuple[np.ndarray, np.ndarray], keep_grade: int):
+    """Texts to (score, expected grade, probability of ``keep_grade`` or better)."""
+    weights, thresholds = model
+    own = OrdinalModel(weights, thresholds)
+    grades = np.arange(len(thresholds) + 1)
+    memo = Memo(word_features)
+
+    def one(raw: bytes | None) -> tuple[float, float, float]:
+        words = (raw or b"").split()
+        ids = set().union(*map(memo.__getitem__, set(words)), text_features(words))
+        s = math.fsum(weights[list(ids)])  # exactly rounded, so that the order of features doesn't matter
+        p = own.grade_probabilities(s)
+        return s, float(p @ grades), float(p[keep_grade:].sum())
+
+    return one
 
 
 def score(df: DataFrame, model: OrdinalModel, keep_grade: int, keep_probability: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,20 +170,24 @@ def score(df: DataFrame, model: OrdinalModel, keep_grade: int, keep_probability:
     held = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def make():
-        weights, thresholds = held.value
-        own = OrdinalModel(weights, thresholds)
-        grades = np.arange(len(thresholds) + 1)
-        memo = Memo(word_features)
+        of = scorer(held.value, keep_grade)
 
         def one(k, raw):
-            words = (raw or b"").split()
-            ids = set().union(*map(memo.__getitem__, set(words)), text_features(words))
-            s = math.fsum(weights[list(ids)])  # exactly rounded, so that the order of features doesn't matter
-            p = own.grade_probabilities(s)
-            tail = float(p[keep_grade:].sum())
-            yield k, float(s), float(p @ grades), tail, tail >= keep_probability
+            s, expected, tail = of(raw)
+            yield k, s, expected, tail, tail >= keep_probability
 
         return one
 
     kind = df.schema[key].dataType.simpleString()
     return map_rows(df, [key, text], f"{key} {kind}, score double, expected_grade double, tail_probability double, kept boolean", make)
+
+
+def select_documents(df: DataFrame, model: OrdinalModel, keep_grade: int, keep_probability: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows that reach ``keep_grade`` with the probability asked for, as they are."""
+    held = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+
+    def make():
+        of = scorer(held.value, keep_grade)
+        return lambda raws: [of(raw)[2] >= keep_probability for raw in raws]
+
+    return rewrite_rows(df, text, make)

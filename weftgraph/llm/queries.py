@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import m01_lines, m02_bpe, m03_packing, m04_urls, m05_chunks, m06_ring, m07_orc, m08_minhash, m09_ordinal
+from . import m01_lines, m02_bpe, m03_packing, m04_urls, m05_chunks, m06_ring, m07_orc, m08_minhash, m09_ordinal, m10_recompress
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,15 +59,22 @@ def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m08_minhash.near_duplicates(documents(spark, sf_dir))
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Grades: 0 poor, 1 toxic, 2 clean.  Kept: clean with a probability of 0.7 or more."""
-    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    model = m09_ordinal.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), grade, n_grades=3)
-    return m09_ordinal.score(docs, model, keep_grade=2, keep_probability=0.7)
+CLEAN, CLEAN_PROBABILITY = 2, 0.7
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> m09_ordinal.OrdinalModel:
+    """Grades: 0 poor, 1 toxic, 2 clean."""
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    grade = F.when(F.col("quality") == 0, 0).when(good & toxic, 1).when(good & (F.col("toxic") == 0), CLEAN)
+    return m09_ordinal.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), grade, n_grades=3)
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(spark, documents(spark, sf_dir), sf_dir)
+    return m09_ordinal.score(documents(spark, sf_dir), quality_model(spark, sf_dir), CLEAN, CLEAN_PROBABILITY)
+
+
+def op10_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m10_recompress.digest_removals(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_orc_ids,
         op8_minhash_groups,
         op9_ordinal_quality,
+        op10_recompress,
     )
 }
 
