@@ -67,8 +67,22 @@ def test_groups(spark):
     check(spark, list(enumerate(texts)))
 
 
-def test_few_pivots_take_more_rounds_for_the_same_groups(spark):
-    check(spark, list(enumerate(varied(7, 70, 22, 60) + varied(8, 30, 5))), bands=60, rows=2, pivots=3)
+def test_small_blocks_find_the_same_groups(spark):
+    check(spark, list(enumerate(varied(7, 70, 22, 60) + varied(8, 30, 5))), bands=60, rows=2, block=7)
+
+
+def test_pairs_that_meet_no_centre(spark):
+    """A star of copies, some too far from its centre but close to each other."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        t = list(base)
+        for i in rng.sample(range(100), rng.choice([2, 5, 9, 12])):
+            t[i] = f"v{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    check(spark, list(enumerate(texts)))
+    check(spark, list(enumerate(texts)), block=5)
 
 
 def test_odd_rows(spark):

@@ -2,14 +2,15 @@
 
 A document's set holds the hashes of its distinct word shingles.  Equal sets form classes, represented by their
 smallest id; only representatives go on.  Their signatures are cut into bands, and documents that agree in a band
-meet in a bucket.  Pairs from buckets are compared by batches of signature values: after each batch, a pair is
-dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls below
-``miss``; survivors are confirmed on their full sets.
+meet in a bucket.  Candidate pairs are compared by batches of signature values: after each batch, a pair is dropped
+once the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``miss``;
+survivors are confirmed on their full sets.
 
-No bucket emits all its pairs.  First each member meets its bucket's smallest document; confirmed links give
-components.  Then, in every bucket that still holds several components, documents outside its largest component
-meet the members of other components, at most some ``PIVOTS`` documents of a bucket in a round, until each has.
-Pairs within one component are never compared: they can't change the result.
+No bucket emits its pairs.  First, each document meets the smallest document of most of its buckets; these links
+give components.  Buckets that hold several components tie these into clusters.  In each cluster, the documents
+outside the largest component meet all others, in blocks of bounded size: a block finds the pairs that share a
+bucket and lie in different components, tests them in place, and yields one link per document and component.
+Pairs inside a component are never compared: they can't change the result.
 
 Null and empty texts have an empty set, and are linked with nothing.  A text with fewer words than a shingle has its
 whole word sequence as its one shingle.  Rows without an id are linked with nothing, keep a null component, and are
@@ -21,14 +22,15 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Memo, bits_of, map_columns, map_rows, shared_dir, staged
+from .common import Memo, bits_of, map_columns, map_rows, shared_dir, spread_id, staged
 
-BANDS, ROWS, SEED, PIVOTS = 40, 6, 8_128, 64
+BANDS, ROWS, SEED, BLOCK, BATCH = 40, 6, 8_128, 1000, 40
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -95,64 +97,123 @@ def signed(df: DataFrame, shingle: int, bands: int, rows: int, key: str, text: s
         def one(k, raw):
             s = shingles(raw)
             if not len(s):
-                yield k, 0, 0, 0, None, None
+                yield k, 0, 0, 0, None
                 return
-            keys, signature = sign(s)
             fp = [int(v.sum(dtype=np.uint64).astype(np.int64)) for v in (s, mixed(s ^ MIX[0]))]
-            yield k, len(s), *fp, keys, signature.tobytes()
+            yield k, len(s), *fp, sign(s)[0]
 
         return one
 
-    schema = f"doc_id {df.schema[key].dataType.simpleString()}, n_shingles long, fp1 long, fp2 long, keys array<long>, signature binary"
+    schema = f"doc_id {df.schema[key].dataType.simpleString()}, n_shingles long, fp1 long, fp2 long, keys array<long>"
     return map_rows(df, [key, text], schema, make)
 
 
-def plausible(pairs: DataFrame, percent: int, miss: float, batch: int = 40) -> DataFrame:
-    """Pairs (a, b, na, nb, sa, sb) that the sequential test leaves, as (a, b)."""
+def full_sets(df: DataFrame, chosen: DataFrame, shingle: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
+    """(doc_id, keys, signature, shingles) of the ``chosen`` ids, and of a few that a bitmap can't tell from them."""
+    bits = df.sparkSession.sparkContext.broadcast(bits_of(chosen.select(spread_id("doc_id").alias("n")), "n"))
 
     def make():
-        limits: dict[int, list[int]] = {}
-
-        def some(a, b, na, nb, sa, sb):
-            x = np.frombuffer(b"".join(sa), np.uint16).reshape(len(a), -1)
-            y = np.frombuffer(b"".join(sb), np.uint16).reshape(len(a), -1)
-            values = x.shape[1]
-            if values not in limits:
-                limits[values] = [least_matches(n, percent / 100, miss) for n in range(batch, values + 1, batch)]
-            na, nb = np.asarray(na), np.asarray(nb)
-            live = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            matches = np.zeros(len(a), np.int64)
-            for at, least in zip(range(0, values, batch), limits[values]):
-                matches[live] += (x[live, at : at + batch] == y[live, at : at + batch]).sum(axis=1)
-                live = live[matches[live] >= least]
-            for i in live.tolist():
-                yield a[i], b[i]
+        shingles, sign = Shingler(shingle), Signer(bands, rows)
+        perhaps = bits.value.perhaps
+
+        def some(ids, numbers, raws):
+            for k, raw, yes in zip(ids, raws, perhaps(np.asarray(numbers, np.int64)).tolist()):
+                if yes and len(s := shingles(raw)):
+                    keys, signature = sign(s)
+                    yield k, keys.tobytes(), signature.tobytes(), s.tobytes()
 
         return some
 
-    return map_columns(pairs, ["a", "b", "na", "nb", "sa", "sb"], "a long, b long", make, rows_at_once=1024)
+    texts = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").withColumn("n", spread_id("doc_id"))
+    return map_columns(texts, ["doc_id", "n", "text"], "doc_id long, keys binary, signature binary, shingles binary", make)
+
+
+class Test:
+    """The sequential test of pairs, and the exact one of what it leaves."""
+
+    def __init__(self, percent: int, miss: float, values: int):
+        self.percent, self.values = percent, values
+        self.limits = [least_matches(n, percent / 100, miss) for n in range(BATCH, values + 1, BATCH)]
 
+    def plausible(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs ``x[a], y[b]`` of signatures stay; ``nx``, ``ny`` are the sets' sizes."""
+        small, large = np.minimum(nx[a], ny[b]), np.maximum(nx[a], ny[b])
+        live = np.flatnonzero(100 * small >= self.percent * large)
+        matches = np.zeros(len(a), np.int64)
+        for at, least in zip(range(0, self.values, BATCH), self.limits):
+            matches[live] += (x[a[live], at : at + BATCH] == y[b[live], at : at + BATCH]).sum(axis=1)
+            live = live[matches[live] >= least]
+        return live
 
-def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, xa, xb) whose full sets reach the threshold, as (a, b)."""
+    def linked(self, one: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of ``others`` reaches the threshold with the set ``one``; and the intersection sizes."""
+        sizes = np.fromiter(map(len, others), np.int64, len(others))
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * both >= self.percent * (len(one) + sizes - both), both
+
+
+def confirmed(pairs: DataFrame, percent: int, miss: float, values: int) -> DataFrame:
+    """Pairs (a, b, sa, sb, xa, xb) of ids, signatures and sets that reach the threshold, as (a, b)."""
 
     def make():
-        def one(a, b, xa, xb):
-            x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                yield a, b
+        test = Test(percent, miss, values)
 
-        return one
+        def some(a, b, sa, sb, xa, xb):
+            x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(a), -1) for s in (sa, sb))
+            nx, ny = (np.fromiter(map(len, s), np.int64, len(a)) // 8 for s in (xa, xb))
+            i = np.arange(len(a))
+            for k in test.plausible(x, y, nx, ny, i, i).tolist():
+                if test.linked(np.frombuffer(xa[k], np.uint64), [np.frombuffer(xb[k], np.uint64)])[0][0]:
+                    yield a[k], b[k]
+
+        return some
 
-    return map_rows(pairs, ["a", "b", "xa", "xb"], "a long, b long", make)
+    return map_columns(pairs, ["a", "b", "sa", "sb", "xa", "xb"], "a long, b long", make, rows_at_once=256)
+
+
+def block_links(table: pa.Table, percent: int, miss: float) -> pa.Table:
+    """Links between a block's outer documents and its members of other components: the closest per document and
+    component."""
+    outer = table.column("outer").to_numpy()
+    component, doc = table.column("component").to_numpy(), table.column("doc_id").to_numpy()
+    keys, signatures, raw = (table.column(c).to_pylist() for c in ("keys", "signature", "shingles"))
+    keys = np.frombuffer(b"".join(keys), np.int64).reshape(len(doc), -1)
+    signatures = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(doc), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in raw]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    test = Test(percent, miss, signatures.shape[1])
+    out, members = np.flatnonzero(outer), np.flatnonzero(~outer)
+    order = [members[np.argsort(keys[members, k], kind="stable")] for k in range(keys.shape[1])]
+    columns = [keys[o, k] for k, o in enumerate(order)]
+    a, b = [], []
+    for o in out.tolist():  # one outer document at a time: at most a block's members are held
+        met = [order[k][np.searchsorted(c, keys[o, k], "left") : np.searchsorted(c, keys[o, k], "right")] for k, c in enumerate(columns)]
+        met = np.unique(np.concatenate(met)) if met else members[:0]
+        met = met[component[met] != component[o]]
+        met = met[test.plausible(signatures, signatures, n, n, np.full(len(met), o), met)]
+        if len(met):
+            yes, both = test.linked(sets[o], [sets[m] for m in met.tolist()])
+            met, both = met[yes], both[yes]
+            closest = np.lexsort((met, -both / (n[o] + n[met] - both), component[met]))
+            met = met[closest]
+            first = np.append(True, component[met][1:] != component[met][:-1]) if len(met) else np.zeros(0, bool)
+            for m in met[first].tolist():
+                a.append(doc[o])
+                b.append(doc[m])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(
-    df: DataFrame, percent: int = 80, shingle: int = 2, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-7, pivots: int = PIVOTS, key: str = "doc_id", text: str = "text"
+    df: DataFrame, percent: int = 80, shingle: int = 2, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-7, block: int = BLOCK, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = df.sparkSession
+
+    def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+        return staged(connected_components(edges, a, b, shared_dir(spark, "minhash-stars")), "minhash-components")
+
     docs = staged(signed(df, shingle, bands, rows, key, text), "minhash", "none")
     full = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -161,71 +222,40 @@ def near_duplicates(
     banded = full.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     inside = staged(banded.join(buckets, "key").select("key", "doc_id", "least").distinct(), "minhash-buckets")
-
-    involved = staged(inside.select("doc_id").distinct(), "minhash-involved")
-    signatures = staged(
-        full.select("doc_id", "n_shingles", "signature").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-signatures", "none"
-    )
-    number = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1))
-    bits = spark.sparkContext.broadcast(bits_of(involved.select(number.alias("n")), "n"))
-
-    def make():
-        shingles = Shingler(shingle)
-        perhaps = bits.value.perhaps
-
-        def some(keys, numbers, raws):
-            for k, raw, yes in zip(keys, raws, perhaps(np.asarray(numbers, np.int64))):
-                if yes:
-                    yield k, shingles(raw).tobytes()
-
-        return some
-
-    texts = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").withColumn("n", number)
-    sets = map_columns(texts, ["doc_id", "n", "text"], "doc_id long, shingles binary", make)
-    sets = staged(sets.dropDuplicates(["doc_id"]), "minhash-sets", "none")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        def both(p: DataFrame, side: DataFrame, columns: dict[str, str]) -> DataFrame:
-            for end in ("a", "b"):
-                p = p.join(side.select(F.col("doc_id").alias(end), *[F.col(c).alias(n + end) for c, n in columns.items()]), end)
-            return p
-
-        left = plausible(both(pairs, signatures, {"n_shingles": "n", "signature": "s"}), percent, miss)
-        return confirmed(both(left, sets, {"shingles": "x"}), percent)
-
-    tested = staged(inside.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "minhash-pairs")
-    links = staged(verified(tested), "minhash-links")
-    done, turns = None, 0
-    while True:
-        components = connected_components(links, "a", "b", shared_dir(spark, "minhash-components"))
-        components = staged(components, "minhash-components")
-        named = inside.join(components, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        main = main.where("all > most").select("key", "main")
-        open_ = staged(named.join(main, "key"), "minhash-open")  # of buckets that hold several components
-        waiting = open_.where("component <> main")
-        if done is not None:
-            waiting = waiting.join(done, ["key", "doc_id"], "left_anti")
-        left = waiting.groupBy("key").agg(F.count("*").alias("left"))
-        turn = F.pmod(F.xxhash64("doc_id", "key", F.lit(turns)), F.col("left")) < pivots  # about ``pivots``, or all
-        pivot = staged(waiting.join(left, "key").where(turn).select("key", "doc_id", F.col("component").alias("own")), "minhash-pivots")
-        turns += 1
-        if pivot.isEmpty():
-            if waiting.isEmpty():
-                break
-            continue
-        met = pivot.withColumnRenamed("doc_id", "p").join(open_.select("key", "doc_id", "component"), "key").where("own <> component")
-        pairs = met.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        links = links.unionByName(staged(verified(pairs), "minhash-links"))
-        tested = tested.unionByName(pairs)
-        now = pivot.select("key", "doc_id")
-        done = now if done is None else done.unionByName(now)
-
-    names = members.join(components, members["rep"] == components["node"], "left").select(
-        F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component")
+    sets = staged(full_sets(df, inside.select("doc_id").distinct(), shingle, bands, rows, key, text), "minhash-sets", "none")
+
+    # each document with the smallest of most of its buckets
+    centres = inside.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("n"))
+    stars = centres.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a"))
+    for end in ("a", "b"):
+        side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), F.col("shingles").alias("x" + end))
+        stars = stars.join(side, end)
+    links = staged(confirmed(stars, percent, miss, bands * rows), "minhash-links")
+    first = components(links, "a", "b")
+
+    # clusters: components that share a bucket
+    named = inside.join(first, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
+    open_ = staged(named.join(mixed_keys, "key").select("doc_id", "component", "low").distinct(), "minhash-open")
+    clusters = components(open_.where("component <> low").select("component", "low").distinct(), "component", "low")
+    clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    held = staged(open_.select("doc_id", "component").distinct().join(clusters, "component"), "minhash-clusters")
+    parts = held.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = sizes.select("cluster", "main", F.ceil(F.col("all") / block).alias("columns"), F.ceil((F.col("all") - F.col("most")) / block).alias("rows"))
+    placed = held.join(sizes, "cluster").select(
+        "doc_id", "component", "cluster", "rows", "columns", (F.col("component") != F.col("main")).alias("outlier"), F.xxhash64("doc_id").alias("h")
     )
+    number = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    grid = ["doc_id", "component", "cluster"]
+    as_member = placed.select(*grid, F.explode(number("rows")).alias("i"), F.pmod("h", "columns").alias("j"), F.lit(False).alias("outer"))
+    as_outer = placed.where("outlier").select(*grid, F.pmod("h", "rows").alias("i"), F.explode(number("columns")).alias("j"), F.lit(True).alias("outer"))
+    blocks = as_member.unionByName(as_outer).join(sets, "doc_id")
+    later = blocks.groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, percent, miss), "a long, b long")
+    links = links.unionByName(staged(later, "minhash-links"))
+    last = components(links, "a", "b")
+
+    names = members.join(last, members["rep"] == last["node"], "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
     names = names.groupBy("_doc").agg(F.min("_component").alias("_component"))
     out = docs.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_doc"), "left")
     component = F.coalesce("_component", "doc_id")
