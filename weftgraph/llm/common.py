@@ -130,6 +130,26 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
     return df.select(*columns).mapInArrow(run, spark_schema)
 
 
+def map_arrays(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], rows_at_once: int = 512) -> DataFrame:
+    """As ``map_columns``, but from Arrow arrays to tuples of whole NumPy columns, without a Python object per row."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(df.sparkSession)
+    spark_schema = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(spark_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                for out in f(*batch.slice(at, rows_at_once).columns):
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, spark_schema)
+
+
 def values(column: pa.Array) -> list:
     """Python values; strings as UTF-8 bytes, lists of numbers as NumPy arrays."""
     t = column.type
@@ -161,6 +181,7 @@ class Bits:
 
 def bits_of(df: DataFrame, column: str, bits_per_row: int = 32, most: int = 1 << 28) -> Bits:
     """The bitmap of ``column`` (non-negative longs), built in Spark; between 2**20 and ``most`` bits reach the driver."""
+    df = staged(df.select(column), "bits")  # read twice: for its size, and for its bits
     n = df.count()
     size = 1 << 20
     while size < min(most, n * bits_per_row):

@@ -7,10 +7,11 @@ context: the stretch of words that settles that it arises.  A window of words th
 that symbol in every document.
 
 Two Spark rounds find the repeats.  The first names globally: each window elects one of the symbols that it
-settles (the longest), and elected symbols are grouped to find those of several documents.  A window can only
-repeat if its elected symbol does, which leaves few candidates.  The second verifies: candidate windows are grouped
-by a 128-bit hash of their words, and all but those of the smallest document are removed.
+settles (the longest, in bytes), and elected symbols are grouped to find those of several documents.  A window can
+only repeat if its elected symbol does, which leaves few candidates.  The second verifies: candidate windows are
+grouped by a 96-bit hash of their words, and all but those of the smallest document are removed.
 
+Whole copies of a text are found first, by its digest; only the copy of the smallest id goes through the rounds.
 Tasks combine what they see before shuffling: a window that a task has met in a smaller document is settled there,
 so frequent passages leave a task about once.
 
@@ -27,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bits_of, map_columns, map_rows, part_by, ship, spread_id, staged
+from .common import Memo, bits_of, map_arrays, map_rows, part_by, ship, spread_id, staged
 from .m08_minhash import MIX, mixed
 
 WINDOW, ROUNDS = 13, 2
+WHOLE = -1  # as a window's start: all words, if they make a window
 FAR = 1 << 40  # a context that reaches beyond a document's end fits no window
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -88,8 +91,11 @@ class Symbols:
         self._pick(new, first, last, from_, to)
 
 
-def elected(names: np.ndarray, document: np.ndarray, window: int, rounds: int) -> np.ndarray:
-    """For each word, the key of the symbol that the window starting there elects; ``NONE`` where it settles none."""
+def elected(names: np.ndarray, document: np.ndarray, sizes: np.ndarray, window: int, rounds: int) -> np.ndarray:
+    """For each word, the key of the symbol that the window starting there elects; ``NONE`` where it settles none.
+
+    ``sizes``: the words' bytes.  Long symbols are rare, so that few windows elect one that repeats by chance.
+    """
     best = np.full(len(names), NONE)
     if not len(names):
         return best
@@ -99,9 +105,9 @@ def elected(names: np.ndarray, document: np.ndarray, window: int, rounds: int) -
         s.pairs(turn)
     span = s.to - s.from_
     fit = np.flatnonzero((span <= window) & (s.from_ >= 0))
-    # longer symbols first; among these the smaller name
-    length = np.minimum(s.end - s.begin, 15)[fit].astype(np.uint64)
-    key = (np.uint64(15) - length) << np.uint64(59) | s.name[fit] >> np.uint64(5)
+    bytes_before = np.concatenate([[0], np.cumsum(sizes)])
+    long = np.minimum((bytes_before[s.end] - bytes_before[s.begin])[fit], 63).astype(np.uint64)
+    key = (np.uint64(63) - long) << np.uint64(57) | s.name[fit] >> np.uint64(7)  # of equal length the smaller name
     first, spare = s.to[fit] - window, (window - span)[fit]
     for j in range(window):
         use = np.flatnonzero((spare >= j) & (first + j >= 0))
@@ -122,42 +128,59 @@ def window_hashes(names: np.ndarray, at: np.ndarray, window: int) -> tuple[np.nd
 
 
 class Reader:
-    """Batches of texts as word hashes, document numbers, and the words at which a window can start."""
+    """Batches of texts as word hashes, document numbers, word sizes, places in the document, and whether a window can
+    start there.  Words are split and made distinct in Arrow; only distinct ones are hashed."""
 
     def __init__(self, window: int):
         self.window, self.memo = window, Memo(xxhash.xxh64_intdigest, 300_000)
 
-    def __call__(self, texts: list[bytes | None]):
-        words = [(t or b"").split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        names = np.fromiter((self.memo[w] for x in words for w in x), np.uint64, int(n.sum()))
-        document = np.repeat(np.arange(len(words)), n)
-        place = np.arange(len(names)) - np.repeat(np.cumsum(n) - n, n)  # in its document
-        starts = place + self.window <= n[document]
-        return names, document, place, starts
-
-
-def repeated_symbols(df: DataFrame, window: int, rounds: int) -> DataFrame:
+    def __call__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary())
+        distinct = words.to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(self.memo.__getitem__, distinct), np.uint64, len(distinct))
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = found.indices.to_numpy()
+        document = np.repeat(np.arange(len(n)), n)
+        real = np.flatnonzero(size[which] > 0) if (size == 0).any() else None
+        if real is not None:  # white space at a text's ends yields empty words
+            which, document = which[real], document[real]
+            n = np.bincount(document, minlength=len(n))
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return hashes[which], document, size[which], place, place + self.window <= n[document]
+
+
+def first_copies(copied, ids: pa.Array, texts: pa.Array, numbers: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Without the rows whose number is in the bitmap; number -1 is in none."""
+    n = numbers.to_numpy()
+    mask = pa.array((n < 0) | ~copied.perhaps(n))
+    return ids.filter(mask), texts.filter(mask)
+
+
+def repeated_symbols(df: DataFrame, copied, window: int, rounds: int) -> DataFrame:
     """(key) of elected symbols that occur in several documents."""
 
     def make():
         read = Reader(window)
 
-        def some(ids, texts):
-            names, document, _, starts = read(texts)
-            best = elected(names, document, window, rounds)
+        def some(ids, texts, numbers):
+            ids, texts = first_copies(copied.value, ids, texts, numbers)
+            names, document, sizes, _, starts = read(texts)
+            best = elected(names, document, sizes, window, rounds)
             use = starts & (best != NONE)
             use[1:] &= ~((best[1:] == best[:-1]) & (document[1:] == document[:-1]) & starts[:-1])  # neighbours elect alike
-            key, doc = best[use].view(np.int64), np.asarray(ids, np.int64)[document[use]]
+            key, doc = best[use].view(np.int64), ids.to_numpy()[document[use]]
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
-            last = np.append(first[1:], len(key)) - 1 if len(key) else key
-            return zip(key[first].tolist(), doc[first].tolist(), doc[last].tolist())
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(key))[: len(first)] - 1
+            yield key[first], doc[first], doc[last]
 
         return some
 
-    seen = map_columns(df, ["doc_id", "text"], "key long, least long, most long", make)
+    seen = map_arrays(df, ["doc_id", "text", "n"], "key long, least long, most long", make)
     return seen.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("key")
 
 
@@ -184,40 +207,52 @@ class Met:
         self.key, self.doc = key, doc
 
 
+def copies(df: DataFrame) -> DataFrame:
+    """Ids of documents whose whole text a document with a smaller id has."""
+    known = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return known.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id").distinct()
+
+
 def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, start) of every window that a document with a smaller id holds too."""
+    """(doc_id, start) of every window that a document with a smaller id holds too; ``WHOLE`` for copies of a text."""
     spark = df.sparkSession
     ship(spark)
-    df = df.where("doc_id IS NOT NULL")
-    bits = spark.sparkContext.broadcast(bits_of(repeated_symbols(df, window, rounds), "key"))
+    df = df.select("doc_id", "text").where("doc_id IS NOT NULL")
+    whole = staged(copies(df), "repeat-copies")
+    copied = spark.sparkContext.broadcast(bits_of(whole.select(spread_id("doc_id").alias("n")), "n"))
+    mistaken = part_by(df, "doc_id", copied)[1].join(whole, "doc_id", "left_anti")  # what the bitmap takes for copies
+    df = df.withColumn("n", spread_id("doc_id")).unionByName(mistaken.withColumn("n", F.lit(-1).cast("long")))
+    bits = spark.sparkContext.broadcast(bits_of(repeated_symbols(df, copied, window, rounds), "key"))
 
     def make():
         read, met = Reader(window), Met()
         perhaps = bits.value.perhaps
 
-        def some(ids, texts):
-            names, document, place, starts = read(texts)
-            best = elected(names, document, window, rounds)
+        def some(ids, texts, numbers):
+            ids, texts = first_copies(copied.value, ids, texts, numbers)
+            names, document, sizes, place, starts = read(texts)
+            best = elected(names, document, sizes, window, rounds)
             at = np.flatnonzero(starts & ((best == NONE) | perhaps(best.view(np.int64))))
+            if not len(at):
+                return
             a, b = window_hashes(names, at, window)
-            doc, start = np.asarray(ids, np.int64)[document[at]], place[at]
+            b = b.astype(np.int32)
+            doc, start = ids.to_numpy()[document[at]], place[at].astype(np.int32)
             order = np.lexsort((doc, b, a))
             a, b, doc, start = a[order], b[order], doc[order], start[order]
-            if not len(a):
-                return
             first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             begin = np.flatnonzero(first)
             group = np.cumsum(first) - 1
             known = (doc > doc[begin][group]) | met.smaller(a, doc)
             several = doc[np.append(begin[1:], len(a)) - 1] > doc[begin]
             met.add(a[begin][several], doc[begin][several])
-            # what is settled goes along, dealt by its document
-            a = np.where(known, mixed(doc.view(np.uint64) + MIX[0]).view(np.int64), a)
-            yield from zip(a.tolist(), b.tolist(), doc.tolist(), start.tolist(), known.tolist())
+            # what is settled goes along, marked by a negative start, dealt by its document
+            yield np.where(known, mixed(doc.view(np.uint64) + MIX[0]).view(np.int64), a), b, doc, np.where(known, -1 - start, start)
 
         return some
 
-    found = map_columns(df, ["doc_id", "text"], "a long, b long, doc_id long, start int, known boolean", make)
+    found = map_arrays(df, ["doc_id", "text", "n"], "a long, b int, doc_id long, start int", make)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -228,23 +263,22 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
         last_a = last_b = least = None  # of the group that the batch before ended in
         for batch in batches:
             a, b, doc, start = (batch.column(i).to_numpy() for i in range(4))
-            known = batch.column(4).to_numpy(zero_copy_only=False)
-            marks = known.copy()
-            open_ = np.flatnonzero(~known)
+            marks = start < 0
+            open_ = np.flatnonzero(~marks)
             if len(open_):
                 x, y, d = a[open_], b[open_], doc[open_]
                 first = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-                begin = np.flatnonzero(first)
-                mins = d[begin].copy()
+                mins = d[np.flatnonzero(first)]
                 if (x[0], y[0]) == (last_a, last_b):
                     mins[0] = min(mins[0], least)
                 marks[open_] = d > mins[np.cumsum(first) - 1]
                 last_a, last_b, least = x[-1], y[-1], mins[-1]
             if marks.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[marks], pa.int64()), pa.array(start[marks], pa.int32())], schema=arrow)
+                start = np.where(start < 0, -1 - start, start)[marks]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[marks], pa.int64()), pa.array(start, pa.int32())], schema=arrow)
 
     dealt = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "doc_id")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).unionByName(whole.select("doc_id", F.lit(WHOLE).alias("start")))
 
 
 def cleared(df: DataFrame, marks: DataFrame, schema: str, make, columns: list[str]) -> DataFrame:
@@ -263,8 +297,10 @@ def cleared(df: DataFrame, marks: DataFrame, schema: str, make, columns: list[st
 
 
 def removed_words(n: int, starts, window: int) -> np.ndarray:
-    gone = np.zeros(n + 1, np.int64)
     starts = np.asarray(starts, np.int64)
+    if (starts == WHOLE).any():
+        return np.full(n, n >= window)
+    gone = np.zeros(n + 1, np.int64)
     np.add.at(gone, starts, 1)
     np.add.at(gone, starts + window, -1)
     return np.cumsum(gone)[:n] > 0
