@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,6 +24,9 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors through Spark, once per application."""
     sc = spark.sparkContext
+    # rows here are whole texts: smaller batches than the default bound what a task holds
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     if sc.applicationId not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         target = os.path.join(tempfile.mkdtemp(), "weftgraph_src.zip")
@@ -81,6 +86,41 @@ class Memo(dict):
         return value
 
 
+#: What a Python worker keeps from task to task: tokenizers and their memos.
+_kept: dict = {}
+_used: set = set()
+
+
+def kept(key, make: Callable):
+    """``make()``, once per worker, for as long as its tasks ask for it."""
+    if key not in _kept:
+        _kept[key] = make()
+    _used.add(key)
+    return _kept[key]
+
+
+def tidy() -> None:
+    """Give freed memory back: workers outlive their tasks, and many share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+@contextlib.contextmanager
+def task(make: Callable):
+    """A task's function; what earlier tasks of other operators left in the worker goes first."""
+    _used.clear()
+    f = make()
+    for key in _kept.keys() - _used:
+        del _kept[key]
+    tidy()
+    yield f
+    del f
+    tidy()
+
+
 def utf8_lists(batch: pa.RecordBatch, column: str) -> list:
     """The column's texts as UTF-8 bytes, null as None."""
     c = batch.column(batch.schema.get_field_index(column))
@@ -112,20 +152,20 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                columns = batch.slice(at, rows_at_once).columns
-                for out in f(*map(values, columns)) if as_lists else f(*columns):
-                    rows.append(out)
-                    held += 64 + sum(getattr(x, "nbytes", 0) or (len(x) if isinstance(x, (bytes, str, list)) else 0) for x in out)
-                    if held > 8 << 20:
-                        yield to_batch(rows, arrow)
-                        rows, held = [], 0
-        if rows:
-            yield to_batch(rows, arrow)
+        with task(make) as f:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows_at_once):
+                    columns = batch.slice(at, rows_at_once).columns
+                    for out in f(*map(values, columns)) if as_lists else f(*columns):
+                        rows.append(out)
+                        held += 64 + sum(getattr(x, "nbytes", 0) or (len(x) if isinstance(x, (bytes, str, list)) else 0) for x in out)
+                        if held > 8 << 20:
+                            yield to_batch(rows, arrow)
+                            rows, held = [], 0
+            if rows:
+                yield to_batch(rows, arrow)
 
     return df.select(*columns).mapInArrow(run, spark_schema)
 
@@ -140,12 +180,12 @@ def map_arrays(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                for out in f(*batch.slice(at, rows_at_once).columns):
-                    if len(out[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+        with task(make) as f:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows_at_once):
+                    for out in f(*batch.slice(at, rows_at_once).columns):
+                        if len(out[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, spark_schema)
 
@@ -204,19 +244,19 @@ def rewrite_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list],
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                results = f(values(part.column(at)))
-                changed = [r if isinstance(r, str) else None for r in results]
-                if any(c is not None for c in changed):
-                    texts = pa.array(changed, part.column(at).type)
-                    part = part.set_column(at, part.schema.field(at), pc.if_else(pc.is_valid(texts), texts, part.column(at)))
-                part = part.filter(pa.array([r is not False for r in results], pa.bool_()))
-                if part.num_rows:
-                    yield part
+        with task(make) as f:
+            for batch in batches:
+                at = batch.schema.get_field_index(column)
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    results = f(values(part.column(at)))
+                    changed = [r if isinstance(r, str) else None for r in results]
+                    if any(c is not None for c in changed):
+                        texts = pa.array(changed, part.column(at).type)
+                        part = part.set_column(at, part.schema.field(at), pc.if_else(pc.is_valid(texts), texts, part.column(at)))
+                    part = part.filter(pa.array([r is not False for r in results], pa.bool_()))
+                    if part.num_rows:
+                        yield part
 
     return df.mapInArrow(run, df.schema)
 

@@ -20,7 +20,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows
+from .common import Memo, kept, map_rows
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -158,9 +158,6 @@ class TextEncoder:
         return [t for _, table in self.pieces for t in table.tokens()]
 
 
-_coders: dict = {}
-
-
 class Coder:
     """Whole texts to ids and back, with a bounded memo of pieces."""
 
@@ -171,10 +168,7 @@ class Coder:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Coder":
-        key = (path, pattern)
-        if key not in _coders:
-            _coders[key] = cls(path, pattern)
-        return _coders[key]
+        return kept(("bytes", path, pattern), lambda: cls(path, pattern))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))

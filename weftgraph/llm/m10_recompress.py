@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bits_of, map_arrays, map_rows, part_by, ship, spread_id, staged
+from .common import bits_of, map_arrays, map_rows, part_by, ship, spread_id, staged
 from .m08_minhash import MIX, mixed
 
 WINDOW, ROUNDS = 13, 2
@@ -132,7 +132,7 @@ class Reader:
     start there.  Words are split and made distinct in Arrow; only distinct ones are hashed."""
 
     def __init__(self, window: int):
-        self.window, self.memo = window, Memo(xxhash.xxh64_intdigest, 300_000)
+        self.window = window
 
     def __call__(self, texts: pa.Array):
         split = pc.ascii_split_whitespace(texts.fill_null(""))
@@ -140,7 +140,7 @@ class Reader:
         found = split.flatten().dictionary_encode()
         words = found.dictionary.cast(pa.binary())
         distinct = words.to_numpy(zero_copy_only=False).tolist()
-        hashes = np.fromiter(map(self.memo.__getitem__, distinct), np.uint64, len(distinct))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
         size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         which = found.indices.to_numpy()
         document = np.repeat(np.arange(len(n)), n)

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_made: dict = {}
+from .common import kept
+
 PROBE = "It's a  Test:\tx1 é́.\n\nnaïve 'll don't\r\n12 |endoftext| Ünder\x0bscore _ok_ Σίγμας ΣΑΣ (\"end\") x!!, "
 #: Bare ASCII symbols: the pre-tokenizer parts them from letters.  The apostrophe isn't among them ('s, 'll).
 MARKS = '.,!?*#$%&|;:"()'
@@ -37,7 +38,7 @@ def plain(values: pa.Array) -> list:
 class WordIds:
     """``ids_many(texts)``: the ids of each text of an Arrow string array, as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,9 +54,7 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
-        if path not in _made:
-            _made[path] = cls(path)
-        return _made[path]
+        return kept(("words", path), lambda: cls(path))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
