@@ -23,7 +23,7 @@ def same_case(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     pairs = F.arrays_zip(F.slice(F.split(a, ""), F.lit(1), n).alias("x"), F.slice(F.split(b, ""), F.lit(1), n).alias("y"))
     agree = F.filter(pairs, lambda p: (upper(p["x"]) & upper(p["y"])) | (lower(p["x"]) & lower(p["y"])))
-    return F.when((n == 0) | n.isNull(), F.lit(0)).otherwise(F.size(agree))
+    return F.when((n == 0) | a.isNull() | b.isNull(), F.lit(0)).otherwise(F.size(agree))
 
 
 def local_name(uri: Column) -> Column:
