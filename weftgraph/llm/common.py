@@ -71,7 +71,7 @@ class Memo(dict):
     """A dict that computes missing values.  At ``limit`` entries it sets them aside and starts anew; what is
     asked for again comes back from the set aside ones, so that frequent keys stay."""
 
-    def __init__(self, make: Callable, limit: int = 200_000):
+    def __init__(self, make: Callable, limit: int = 60_000):
         super().__init__()
         self.make, self.limit, self.aside = make, limit, {}
 
@@ -161,7 +161,7 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
                     for out in f(*map(values, columns)) if as_lists else f(*columns):
                         rows.append(out)
                         held += 64 + sum(getattr(x, "nbytes", 0) or (len(x) if isinstance(x, (bytes, str, list)) else 0) for x in out)
-                        if held > 8 << 20:
+                        if held > 4 << 20:
                             yield to_batch(rows, arrow)
                             rows, held = [], 0
             if rows:
@@ -284,6 +284,11 @@ def part_by(df: DataFrame, column: str, bits) -> tuple[DataFrame, DataFrame]:
     return side(False), side(True)
 
 
+def perhaps_inside(numbers: np.ndarray, bits: Bits) -> np.ndarray:
+    """Which rows may be in the set; number -1 stands for none."""
+    return (numbers >= 0) & bits.perhaps(numbers)
+
+
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id isn't in the one column of ``ids``.  Only rows that a bitmap can't clear are shuffled."""
     ids = ids.toDF("_id").where("_id IS NOT NULL").distinct()

@@ -44,7 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     def __init__(self, words: int = 2):
         self.words = words
-        self.memo = Memo(xxhash.xxh64_intdigest, 150_000)
+        self.memo = Memo(xxhash.xxh64_intdigest, 60_000)
         rng = np.random.default_rng(SEED)
         self.factors = rng.integers(1, 1 << 63, words, np.uint64) * np.uint64(2) + np.uint64(1)
 

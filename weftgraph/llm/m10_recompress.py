@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, map_arrays, map_rows, part_by, ship, spread_id, staged
+from .common import bits_of, map_arrays, map_columns, map_rows, part_by, perhaps_inside, ship, spread_id, staged
 from .m08_minhash import MIX, mixed
 
 WINDOW, ROUNDS = 13, 2
@@ -289,11 +289,27 @@ def cleared(df: DataFrame, marks: DataFrame, schema: str, make, columns: list[st
     spark = df.sparkSession
     grouped = marks.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("_starts"))  # a document's own
     bits = spark.sparkContext.broadcast(bits_of(marks.select("doc_id").distinct().select(spread_id("doc_id").alias("n")), "n"))
-    outside, inside = part_by(df.select(*columns), "doc_id", bits)
+    clear = map_columns(
+        df.select(*columns, F.coalesce(F.when(F.col("doc_id").isNotNull(), spread_id("doc_id")), F.lit(-1)).alias("_n")),
+        [*columns, "_n"],
+        schema,
+        lambda: outside_rows(make(), bits.value),
+    )
+    inside = part_by(df.select(*columns), "doc_id", bits)[1]
     joined = inside.join(grouped, inside["doc_id"] == grouped["_doc"], "left").select(*columns, "_starts")
-    none = F.lit(None).cast("array<int>").alias("_starts")
-    both = (outside.select(*columns, none), joined)
-    return map_rows(both[0], [*columns, "_starts"], schema, make).unionByName(map_rows(both[1], [*columns, "_starts"], schema, make))
+    return clear.unionByName(map_rows(joined, [*columns, "_starts"], schema, make))
+
+
+def outside_rows(f, bits):
+    """``f`` on the rows that a bitmap clears, without window starts."""
+
+    def some(*columns):
+        *rest, numbers = columns
+        for row, held in zip(zip(*rest), perhaps_inside(np.asarray(numbers, np.int64), bits).tolist()):
+            if not held:
+                yield from f(*row, None)
+
+    return some
 
 
 def removed_words(n: int, starts, window: int) -> np.ndarray:

@@ -38,7 +38,7 @@ def plain(values: pa.Array) -> list:
 class WordIds:
     """``ids_many(texts)``: the ids of each text of an Arrow string array, as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
