@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def _kept(df: DataFrame, store: str | None) -> DataFrame:
     """Cut the lineage: a written table below ``store``, else a reliable checkpoint."""
     if store is None:
-        return df.checkpoint()
+        return cut(df)
     path = f"{store.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LITERAL, THING
+from .storage import cut
 
 
 def one_type(types: DataFrame) -> DataFrame:
@@ -78,11 +79,11 @@ def materialize(types: DataFrame, found: DataFrame) -> DataFrame:
 
 def transitive_closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """All (sub, super) that follow from ``edges``; paths double in each round, and cycles end by themselves."""
-    now = edges.select("sub", "super").distinct().checkpoint()
+    now = cut(edges.select("sub", "super").distinct())
     n = now.count()
     for _ in range(most_rounds):
         ahead = now.select(F.col("sub").alias("super"), F.col("super").alias("_far"))
-        now = now.unionByName(now.join(ahead, "super").select("sub", F.col("_far").alias("super"))).distinct().checkpoint()
+        now = cut(now.unionByName(now.join(ahead, "super").select("sub", F.col("_far").alias("super"))).distinct())
         more = now.count()
         if more == n:
             return now

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .components import connected_components
+from .storage import cut
 
 # which positions of a data set's triples are rewritten (fixed values)
 SUBJECT = ("anchor-text", "category-labels", "homepages", "infobox-property-definitions", "labels", "long-abstracts", "short-abstracts", "template-type-definitions")
@@ -19,12 +20,12 @@ def equivalence_classes(links: DataFrame, largest: int | None = None) -> DataFra
 
     The canonical name is the digest of the members' URIs, sorted and joined: it doesn't depend on link order.
     """
-    member = connected_components(links, "s", "o").select(F.col("node").alias("uri"), "component")
+    member = cut(connected_components(links, "s", "o").select(F.col("node").alias("uri"), "component"))
     names = member.groupBy("component").agg(F.count("*").alias("size"), F.expr("listagg(uri, '') WITHIN GROUP (ORDER BY uri)").alias("all"))
     if largest is not None:
         names = names.where(F.col("size") <= largest)
     names = names.select("component", "size", S.uri_digest(F.col("all")).alias("canonical"))
-    return member.join(names, "component").select("uri", "component", "size", "canonical")
+    return cut(member.join(names, "component").select("uri", "component", "size", "canonical"))  # joined up to three times
 
 
 def class_sizes(classes: DataFrame, top: int = 5000) -> DataFrame:

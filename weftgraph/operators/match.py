@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .storage import cut
 
 
 def label_index(labels: DataFrame) -> DataFrame:
@@ -39,11 +40,8 @@ def terminal_redirects(redirects: DataFrame, most_hops: int = 20) -> DataFrame:
     now, hops = step.withColumn("hops", F.lit(1).cast("long")), 1
     while hops < most_hops:
         ahead = now.select(F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("hops").alias("_h"))
-        now = (
-            now.join(ahead, now["o"] == ahead["_s"], "left")
-            .select("s", F.coalesce("_o", "o").alias("o"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-            .checkpoint()
-        )
+        far = now.join(ahead, now["o"] == ahead["_s"], "left")
+        now = cut(far.select("s", F.coalesce("_o", "o").alias("o"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")))
         hops *= 2
         if now.join(step.select(F.col("s").alias("o")), "o", "left_semi").isEmpty():
             return now
