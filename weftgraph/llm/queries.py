@@ -110,4 +110,30 @@ SELECT h.page_id, host, path, best.rule AS rule,
        coalesce(best.verdict, CASE WHEN starts_with(host, 'spam-farm.') OR contains(host, '.spam-farm.') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fit ON h.page_id = fit.page_id"""
 
-SQL: dict[str, str] = {"op1_line_quality": m01_lines.sql(), "op4_url_automaton": URL_SQL}
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM bad, range(13) r(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.k) AS text, count(*) AS n FROM words w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.k = w.k) GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY doc_id)),
+u AS (SELECT s.doc_id, g, n FROM s JOIN n ON n.doc_id = s.doc_id JOIN rep ON rep.doc_id = s.doc_id AND rep.rep = s.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+edge AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k) UNION SELECT doc_id, rep FROM rep WHERE doc_id <> rep),
+two AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, a FROM two UNION SELECT r.a, e.b FROM reach r JOIN two e ON r.b = e.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id"""
+
+SQL: dict[str, str] = {"op1_line_quality": m01_lines.sql(), "op4_url_automaton": URL_SQL, "op8_minhash_groups": NEAR_SQL, "op10_recompress": REPEATS_SQL}
