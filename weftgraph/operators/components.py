@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 
-def _kept(df: DataFrame, store: str | None) -> DataFrame:
-    """Cut the lineage: a written table below ``store``, else a reliable checkpoint."""
+LINKS_PER_FILE = 200_000
+
+
+def _kept(df: DataFrame, store: str | None, links: int | None = None) -> DataFrame:
+    """Cut the lineage: a written table below ``store``, else a reliable checkpoint; in files by the number of links."""
+    if links is not None:
+        df = df.coalesce(max(1, -(-links // LINKS_PER_FILE)))
     if store is None:
         return cut(df)
     path = f"{store.rstrip('/')}/{uuid.uuid4().hex}"
@@ -35,12 +40,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
         if not size[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # minima are written before they are joined: a join of two plain reads can be split where a node is hot
+        least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), store, size[0])
+        large = _kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), store, size[0])
         # here every u exceeds its v
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _kept(large.groupBy("u").agg(F.min("v").alias("m")), store, size[0])
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), store)
+        now = _kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), store, size[0])
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == size:
             break
