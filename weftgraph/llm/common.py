@@ -55,10 +55,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into shared storage and read it back: cuts the lineage, survives lost executors."""
+ROWS_PER_FILE = 25_000
+
+
+def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into shared storage and read it back: cuts the lineage, survives lost executors.
+
+    ``rows``, a measure of its size, sets the number of files: small tables in many files cost more than their rows.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -220,8 +228,10 @@ class Bits:
 
 
 def bits_of(df: DataFrame, column: str, bits_per_row: int = 32, most: int = 1 << 28) -> Bits:
-    """The bitmap of ``column`` (non-negative longs), built in Spark; between 2**20 and ``most`` bits reach the driver."""
-    df = staged(df.select(column), "bits")  # read twice: for its size, and for its bits
+    """The bitmap of ``column`` (non-negative longs), built in Spark; between 2**20 and ``most`` bits reach the driver.
+
+    ``df`` is read twice, for its size and for its bits: it should be a stored table or little more.
+    """
     n = df.count()
     size = 1 << 20
     while size < min(most, n * bits_per_row):
@@ -291,7 +301,7 @@ def perhaps_inside(numbers: np.ndarray, bits: Bits) -> np.ndarray:
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id isn't in the one column of ``ids``.  Only rows that a bitmap can't clear are shuffled."""
-    ids = ids.toDF("_id").where("_id IS NOT NULL").distinct()
+    ids = staged(ids.toDF("_id").where("_id IS NOT NULL").distinct(), "without-ids", rows=df.count())
     bits = df.sparkSession.sparkContext.broadcast(bits_of(ids.select(spread_id("_id").alias("n")), "n"))
     outside, inside = part_by(df, column, bits)
     return outside.unionByName(inside.join(ids, inside[column] == ids["_id"], "left_anti"))

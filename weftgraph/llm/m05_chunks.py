@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_of, map_rows, shared_dir
+from .common import bits_of, map_rows, shared_dir, staged
 
 UNIT, FILL = 576, b"\xff"
 LEAST, USUAL_BITS, MOST = 256, 10, 4096
@@ -99,6 +99,7 @@ OBJECTS = "row long, key {}, n_bytes long, digests array<binary>, lengths array<
 def write_store(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     spark = df.sparkSession
     repeated = digests(df, text).groupBy("slot", "digest").agg(F.count("*").alias("n")).where("n > 1").select("slot")
+    repeated = staged(repeated, "chunk-slots", rows=df.count())
     bits = spark.sparkContext.broadcast(bits_of(repeated, "slot"))  # perhaps shared: sure for all that are
 
     def make():

@@ -212,16 +212,19 @@ def near_duplicates(
     spark = df.sparkSession
 
     def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-        return staged(connected_components(edges, a, b, shared_dir(spark, "minhash-stars")), "minhash-components")
+        return staged(connected_components(edges, a, b, shared_dir(spark, "minhash-stars")), "minhash-components", rows=size)
 
     docs = staged(signed(df, shingle, bands, rows, key, text), "minhash", "none")
+    size = docs.count()
     full = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = staged(full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep"), "minhash-classes")
+    # what is grouped by a key is written before it is joined by it: a join of two plain reads can be split at hot keys
+    classes = staged(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-fingerprints", rows=size)
+    members = staged(full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep"), "minhash-classes", rows=size)
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     banded = full.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    inside = staged(banded.join(buckets, "key").select("key", "doc_id", "least").distinct(), "minhash-buckets")
+    buckets = staged(buckets, "minhash-keys", rows=size)
+    inside = staged(banded.join(buckets, "key").select("key", "doc_id", "least").distinct(), "minhash-buckets", rows=size)
     sets = staged(full_sets(df, inside.select("doc_id").distinct(), shingle, bands, rows, key, text), "minhash-sets", "none")
 
     # each document with the smallest of most of its buckets
@@ -230,16 +233,17 @@ def near_duplicates(
     for end in ("a", "b"):
         side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), F.col("shingles").alias("x" + end))
         stars = stars.join(side, end)
-    links = staged(confirmed(stars, percent, miss, bands * rows), "minhash-links")
+    links = staged(confirmed(stars, percent, miss, bands * rows), "minhash-links", rows=size)
     first = components(links, "a", "b")
 
     # clusters: components that share a bucket
     named = inside.join(first, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
-    open_ = staged(named.join(mixed_keys, "key").select("doc_id", "component", "low").distinct(), "minhash-open")
+    mixed_keys = staged(mixed_keys, "minhash-mixed", rows=size)
+    open_ = staged(named.join(mixed_keys, "key").select("doc_id", "component", "low").distinct(), "minhash-open", rows=size)
     clusters = components(open_.where("component <> low").select("component", "low").distinct(), "component", "low")
     clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    held = staged(open_.select("doc_id", "component").distinct().join(clusters, "component"), "minhash-clusters")
+    held = staged(open_.select("doc_id", "component").distinct().join(clusters, "component"), "minhash-clusters", rows=size)
     parts = held.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     sizes = sizes.select("cluster", "main", F.ceil(F.col("all") / block).alias("columns"), F.ceil((F.col("all") - F.col("most")) / block).alias("rows"))
@@ -252,7 +256,7 @@ def near_duplicates(
     as_outer = placed.where("outlier").select(*grid, F.pmod("h", "rows").alias("i"), F.explode(number("columns")).alias("j"), F.lit(True).alias("outer"))
     blocks = as_member.unionByName(as_outer).join(sets, "doc_id")
     later = blocks.groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, percent, miss), "a long, b long")
-    links = links.unionByName(staged(later, "minhash-links"))
+    links = links.unionByName(staged(later, "minhash-links", rows=size))
     last = components(links, "a", "b")
 
     names = members.join(last, members["rep"] == last["node"], "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))

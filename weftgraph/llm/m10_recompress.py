@@ -207,11 +207,13 @@ class Met:
         self.key, self.doc = key, doc
 
 
-def copies(df: DataFrame) -> DataFrame:
+def copies(df: DataFrame, rows: int) -> DataFrame:
     """Ids of documents whose whole text a document with a smaller id has."""
     known = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     least = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return known.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id").distinct()
+    # written before it is joined, so that the join can be split at the digest of a large group
+    least = staged(least.select("digest", "least"), "repeat-digests", rows=rows)
+    return known.join(least, "digest").where("doc_id > least").select("doc_id").distinct()
 
 
 def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -219,11 +221,12 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
     spark = df.sparkSession
     ship(spark)
     df = df.select("doc_id", "text").where("doc_id IS NOT NULL")
-    whole = staged(copies(df), "repeat-copies")
+    n = df.count()
+    whole = staged(copies(df, n), "repeat-copies", rows=n)
     copied = spark.sparkContext.broadcast(bits_of(whole.select(spread_id("doc_id").alias("n")), "n"))
     mistaken = part_by(df, "doc_id", copied)[1].join(whole, "doc_id", "left_anti")  # what the bitmap takes for copies
     df = df.withColumn("n", spread_id("doc_id")).unionByName(mistaken.withColumn("n", F.lit(-1).cast("long")))
-    bits = spark.sparkContext.broadcast(bits_of(repeated_symbols(df, copied, window, rounds), "key"))
+    bits = spark.sparkContext.broadcast(bits_of(staged(repeated_symbols(df, copied, window, rounds), "repeat-symbols", rows=n), "key"))
 
     def make():
         read, met = Reader(window), Met()
@@ -324,7 +327,7 @@ def removed_words(n: int, starts, window: int) -> np.ndarray:
 
 def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words joined by spaces."""
-    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats")
+    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats", rows=df.count())
 
     def make():
         def one(k, raw, starts):
@@ -344,7 +347,7 @@ def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -
 
 def strip_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The documents with repeated words, and the white space behind them, taken out of their texts."""
-    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats")
+    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats", rows=df.count())
     columns = ["doc_id", *[c for c in df.columns if c not in ("doc_id", "text")], "text"]
     word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
