@@ -15,6 +15,19 @@ def question_rows(titles: DataFrame, per_hit: int = 10) -> DataFrame:
     return placed.groupBy("domain", "hit").pivot("item", list(range(per_hit))).agg(F.first("title")).select("domain", "hit", *[F.col(str(i)).alias(f"raw_{i}") for i in range(per_hit)])
 
 
+def title_sample(titles: DataFrame, redirects: DataFrame, k: int, reject: str = "disambiguation") -> DataFrame:
+    """(domain, title): ``k`` titles of each source by the hash of their name, redirects replaced by their targets,
+    without titles that contain ``reject``.
+
+    A source's candidates are cut to their ``k`` smallest hashes by a window; Spark limits ranks before its shuffle.
+    """
+    to = redirects.groupBy("domain", "title").agg(F.max("target").alias("target"))
+    moved = titles.join(to, ["domain", "title"], "left").select("domain", F.coalesce("target", "title").alias("title")).distinct()
+    named = moved.where(~F.contains(F.lower("title"), F.lit(reject))).withColumn("h", F.md5(F.concat_ws("|", "domain", "title")))
+    order = Window.partitionBy("domain").orderBy("h", "title")
+    return named.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("domain", "title")
+
+
 def answers(batch: DataFrame, items: int = 10, targets: int = 2) -> DataFrame:
     """``Answer.{i}_mapping_dst{n}`` columns as rows (hit, worker, item, dst, answer)."""
     cells = [F.struct(F.lit(i).alias("item"), F.lit(n).alias("dst"), F.col(f"`Answer.{i}_mapping_dst{n}`").alias("answer")) for i in range(items) for n in range(1, targets + 1)]

@@ -87,6 +87,19 @@ def nearest_strings(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.join(best, ["key", "distance"]).select("key", "other", "distance")
 
 
+def values_by_key(triples: DataFrame) -> DataFrame:
+    """(key, value, n): the local names of the objects of each property; the multimap as rows, however large."""
+    return triples.groupBy(F.col("p").alias("key"), S.local_name(F.col("o")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def schema_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, other, how): counterparts of each key by shared values and by name, and always the empty one."""
+    by_value = best_value_overlap(left, right).select("key", "other", F.lit("value").alias("how"))
+    by_name = nearest_strings(left, right).select("key", "other", F.lit("name").alias("how"))
+    none = left.select("key", F.lit("null").alias("other"), F.lit("none").alias("how")).distinct()
+    return by_value.unionByName(by_name).unionByName(none)
+
+
 def sampled(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """The ``k`` rows of the smallest hash of their key: the same sample each time."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)

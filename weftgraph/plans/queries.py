@@ -488,6 +488,29 @@ def question_rows(spark, d):
     return crowd.question_rows(table(spark, d, "part").select(F.col("p_brand").alias("domain"), F.col("p_name").alias("title")), per_hit=4)
 
 
+@query("""WITH t AS (SELECT DISTINCT p_brand AS domain, CASE WHEN p_name LIKE 'red %' THEN replace(p_name, 'red ', 'blue ') ELSE p_name END AS title FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(domain || '|' || title), title) AS rn FROM t WHERE title NOT LIKE '%small%') SELECT domain, title FROM n WHERE rn <= 5""")
+def title_samples(spark, d):
+    t = table(spark, d, "part").select(F.col("p_brand").alias("domain"), F.col("p_name").alias("title")).distinct()
+    moved = t.where("title LIKE 'red %'").withColumn("target", F.replace("title", F.lit("red "), F.lit("blue ")))
+    return crowd.title_sample(t, moved, 5, reject="small")
+
+
+@query(f"{cte('kg_facts')} SELECT p AS key, split_part(o, '/', len(string_split(o, '/'))::INT) AS value, CAST(count(*) AS BIGINT) AS n FROM kg_facts WHERE p <> 'prop/part' GROUP BY ALL")
+def values_by_property(spark, d):
+    return overlap.values_by_key(view(spark, d, "kg_facts").where("p <> 'prop/part'"))
+
+
+@query("""WITH l AS (SELECT DISTINCT 'x/' || p_brand AS key, p_name AS value FROM part WHERE p_brand < 'Brand#2'), r AS (SELECT DISTINCT 'y/' || p_type AS other, p_name AS value FROM part),
+v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL), n AS (SELECT DISTINCT key, other, levenshtein(substr(key, 3), substr(other, 3)) AS d FROM (SELECT DISTINCT key FROM l), (SELECT DISTINCT other FROM r))
+SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
+UNION ALL SELECT key, other, 'name' FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY d) AS k FROM n) WHERE k = 1 UNION ALL SELECT DISTINCT key, 'null', 'none' FROM l""")
+def schema_candidates(spark, d):
+    p = table(spark, d, "part")
+    left = p.where("p_brand < 'Brand#2'").select(F.concat(F.lit("x/"), "p_brand").alias("key"), F.col("p_name").alias("value"))
+    return overlap.schema_candidates(left, p.select(F.concat(F.lit("y/"), "p_type").alias("key"), F.col("p_name").alias("value")))
+
+
 # --- sources, sinks and scalar functions ------------------------------------------------------------------------
 
 
