@@ -232,7 +232,7 @@ def near_duplicates(
     stars = centres.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a"))
     for end in ("a", "b"):
         side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), F.col("shingles").alias("x" + end))
-        stars = stars.join(side, end)
+        stars = stars.join(side.hint("merge"), end)  # the same plan at every size: sets are shuffled, never broadcast
     links = staged(confirmed(stars, percent, miss, bands * rows), "minhash-links", rows=size)
     first = components(links, "a", "b")
 
