@@ -498,9 +498,15 @@ def title_samples(spark, d):
 
 @query(f"{cte('kg_facts')} SELECT p AS key, split_part(o, '/', len(string_split(o, '/'))::INT) AS value, CAST(count(*) AS BIGINT) AS n FROM kg_facts WHERE p <> 'prop/part' GROUP BY ALL")
 def values_by_property(spark, d):
+    """Without the statements of ``prop/part``, as its SQL has it; ``values_by_property_all`` takes every statement."""
     return overlap.values_by_key(view(spark, d, "kg_facts").where("p <> 'prop/part'"))
 
 
+@query(f"{cte('kg_facts')} SELECT p AS key, split_part(o, '/', len(string_split(o, '/'))::INT) AS value, CAST(count(*) AS BIGINT) AS n FROM kg_facts GROUP BY ALL")
+def values_by_property_all(spark, d):
+    return overlap.values_by_key(view(spark, d, "kg_facts"))
+
+
 @query("""WITH l AS (SELECT DISTINCT 'x/' || p_brand AS key, p_name AS value FROM part WHERE p_brand < 'Brand#2'), r AS (SELECT DISTINCT 'y/' || p_type AS other, p_name AS value FROM part),
 v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL), n AS (SELECT DISTINCT key, other, levenshtein(substr(key, 3), substr(other, 3)) AS d FROM (SELECT DISTINCT key FROM l), (SELECT DISTINCT other FROM r))
 SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
