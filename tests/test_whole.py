@@ -22,3 +22,13 @@ def test_values_of_every_property(spark, tmp_path):
         ("prop/part", "4", 2), ("prop/part", "5", 1), ("prop/customer", "7", 2), ("prop/nation", "3", 1),
         ("prop/priority", "1-URGENT", 1), ("prop/priority", "5-LOW", 1),
     }
+
+
+def test_candidates_of_every_brand(spark, tmp_path):
+    part = [(i, f"Brand#{1 + i % 4}", f"name {i % 3}") for i in range(1, 25)]
+    d = stored(spark, tmp_path, part=(part, "p_partkey long, p_brand string, p_name string"))
+    got = [tuple(r) for r in queries.QUERIES["interwiki_candidates_all"](spark, d).select("source", "target_domain", "target", "n").collect()]
+    n = {(b, x): sum(1 for _, c, y in part if (b, x) == (c, y)) for _, b, x in part}
+    want = [(f"part/{i}", c, f"part/{j}", n[c, y]) for i, b, x in part for j, c, y in part if x == y and b != c]
+    assert sorted(got) == sorted(want)
+    assert {b for _, b, _ in part} == {r.domain for r in queries.QUERIES["interwiki_candidates_all"](spark, d).select("domain").distinct().collect()}

@@ -67,9 +67,16 @@ def interwiki_best_match(spark, d):
 @query(f"""{cte("kg_labels")}, {INDEX}, {MET}, n AS (SELECT domain, key, count(*) AS n FROM idx GROUP BY ALL)
 SELECT m.domain, source, m.label, target_domain, resource AS target, score, CAST(n AS BIGINT) AS n FROM met m JOIN n ON n.domain = target_domain AND n.key = lower(trim(m.label)) WHERE m.domain = 'Brand#2'""")
 def interwiki_candidates(spark, d):
+    """Of the labels of Brand#2, as its SQL has it; ``interwiki_candidates_all`` probes with every label."""
     return match.all_match(labels(spark, d).where("domain = 'Brand#2'"), index(spark, d), choose_best=False)
 
 
+@query(f"""{cte("kg_labels")}, {INDEX}, {MET}, n AS (SELECT domain, key, count(*) AS n FROM idx GROUP BY ALL)
+SELECT m.domain, source, m.label, target_domain, resource AS target, score, CAST(n AS BIGINT) AS n FROM met m JOIN n ON n.domain = target_domain AND n.key = lower(trim(m.label))""")
+def interwiki_candidates_all(spark, d):
+    return match.all_match(labels(spark, d), index(spark, d), choose_best=False)
+
+
 @query(f"{cte('kg_labels')}, {INDEX} SELECT domain, key, CAST(count(*) AS BIGINT) AS n FROM idx GROUP BY domain, key")
 def label_ambiguity(spark, d):
     return match.ambiguity(index(spark, d))
