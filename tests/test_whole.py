@@ -1,5 +1,8 @@
 """Queries over their whole tables, on small tables of which a filtered query would lose a part."""
 
+import random
+
+from weftgraph.operators import overlap
 from weftgraph.plans import queries
 
 
@@ -32,3 +35,38 @@ def test_candidates_of_every_brand(spark, tmp_path):
     want = [(f"part/{i}", c, f"part/{j}", n[c, y]) for i, b, x in part for j, c, y in part if x == y and b != c]
     assert sorted(got) == sorted(want)
     assert {b for _, b, _ in part} == {r.domain for r in queries.QUERIES["interwiki_candidates_all"](spark, d).select("domain").distinct().collect()}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def nearest(left, right):
+    best = {a: min(distance(a, b) for b in right) for a in left}
+    return {(f"x/{a}", f"y/{b}", best[a]) for a in left for b in right if distance(a, b) == best[a]}
+
+
+def test_nearest_of_every_name(spark, tmp_path):
+    part = [(1, "red anvil", "red awl"), (2, "old bolt", "bold"), (3, "cold cog", "bold"), (5, "zinc", "old")]
+    d = stored(spark, tmp_path, part=(part, "p_partkey long, p_name string, p_type string"))
+    got = {tuple(r) for r in queries.QUERIES["nearest_names_all"](spark, d).collect()}
+    assert got == nearest({p[1] for p in part}, {p[2] for p in part})
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BOUNDING_NAMES", 2)
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcé") for _ in range(rng.randrange(most)))
+    left, right = {word(12) for _ in range(70)} | {""}, {word(9) for _ in range(50)} | {"abc"}
+    a = spark.createDataFrame([(f"x/{n}",) for n in left] + [(None,)], "key string")
+    b = spark.createDataFrame([(f"y/{n}",) for n in right] + [(None,)], "key string")
+    got = [tuple(r) for r in overlap.nearest_strings(a, b, most_pairs=0).collect()]
+    assert len(got) == len(set(got)) and set(got) == nearest(left, right)
+    assert overlap.nearest_strings(a, b.where("key IS NULL"), most_pairs=0).count() == 0
+    salted = overlap._nearest_in_blocks(a, b.withColumnRenamed("key", "other"), 25_000, 100_000)
+    assert {tuple(r) for r in salted.collect()} == set(got)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .components import connected_components
+from .storage import cut
 
+BOUNDING_NAMES = 256
 STOP_TITLES = ("Main Page", "Sandbox", "Hauptseite")
 
 
@@ -72,16 +74,37 @@ def best_value_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return n.join(n.groupBy("key").agg(F.max("n").alias("n")), ["key", "n"]).select("key", "other", "n")
 
 
-def nearest_strings(left: DataFrame, right: DataFrame) -> DataFrame:
+def _nearest_in_blocks(a: DataFrame, b: DataFrame, n_a: int, n_b: int) -> DataFrame:
+    """As ``nearest_strings``, exactly: a few names bound each name's distance, and no nearer one differs more in length."""
+    a = a.where("key IS NOT NULL").select("key", S.local_name(F.col("key")).alias("x"))
+    b = b.where("other IS NOT NULL").select("other", S.local_name(F.col("other")).alias("y"))
+    names, others = a.select("x").distinct(), b.select("y").distinct()
+    few = others.orderBy(F.xxhash64("y"), "y").limit(BOUNDING_NAMES)
+    parts = 1 if n_b < 100_000 else -(-n_a // 10_000)
+
+    def within(bounds: DataFrame) -> DataFrame:
+        lengths = F.sequence(F.greatest(F.length("x") - F.col("most"), F.lit(0)), F.length("x") + F.col("most"))
+        probe = bounds.select("x", "most", F.explode(lengths).alias("n"), F.pmod(F.xxhash64("x"), F.lit(parts).cast("long")).alias("k"))
+        build = others.select("y", F.length("y").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("k"))
+        met = probe.join(F.broadcast(build) if n_b < 100_000 else build, ["n", "k"])
+        return met.select("x", "y", F.expr("levenshtein(x, y, most)").alias("distance")).where("distance >= 0")
+
+    first = names.join(F.broadcast(few)).groupBy("x").agg(F.min(F.levenshtein("x", "y")).alias("most"))
+    best = cut(within(first).groupBy("x").agg(F.min("distance").alias("most")))
+    return a.join(within(best), "x").join(b, "y").select("key", "other", "distance")
+
+
+def nearest_strings(left: DataFrame, right: DataFrame, most_pairs: int = 50_000_000) -> DataFrame:
     """(key, other, distance): the closest local names by edit distance, all ties.
 
-    The keys are names of a schema's properties or classes; both sides are checked to be few before they are crossed.
+    The keys are names of a schema's properties or classes.  Up to ``most_pairs`` all are compared, beyond that in
+    blocks of near lengths, with the same result.
     """
     a = left.select("key").distinct()
     b = right.select(F.col("key").alias("other")).distinct()
     n_a, n_b = a.count(), b.count()
-    if n_a * n_b > 50_000_000:
-        raise ValueError("too many names to compare all; block them first")
+    if n_a * n_b > most_pairs:
+        return _nearest_in_blocks(a, b, n_a, n_b)
     met = a.join(F.broadcast(b) if n_b < 100_000 else b).select("key", "other", F.levenshtein(S.local_name(F.col("key")), S.local_name(F.col("other"))).alias("distance"))
     best = met.groupBy("key").agg(F.min("distance").alias("distance"))
     return met.join(best, ["key", "distance"]).select("key", "other", "distance")

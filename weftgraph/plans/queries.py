@@ -428,10 +428,18 @@ def best_value_overlap(spark, d):
 @query("""WITH a AS (SELECT DISTINCT 'x/' || p_name AS key FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT 'y/' || p_type AS other FROM part),
 m AS (SELECT key, other, CAST(levenshtein(substr(key, 3), substr(other, 3)) AS INTEGER) AS distance FROM a, b) SELECT key, other, distance FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY distance) AS r FROM m) WHERE r = 1""")
 def nearest_names(spark, d):
+    """Of names with an even key, as its SQL has it; ``nearest_names_all`` takes every name."""
     p = table(spark, d, "part")
     return overlap.nearest_strings(p.where("p_partkey % 2 = 0").select(F.concat(F.lit("x/"), "p_name").alias("key")), p.select(F.concat(F.lit("y/"), "p_type").alias("key")))
 
 
+@query("""WITH a AS (SELECT DISTINCT 'x/' || p_name AS key FROM part), b AS (SELECT DISTINCT 'y/' || p_type AS other FROM part),
+m AS (SELECT key, other, CAST(levenshtein(substr(key, 3), substr(other, 3)) AS INTEGER) AS distance FROM a, b) SELECT key, other, distance FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY distance) AS r FROM m) WHERE r = 1""")
+def nearest_names_all(spark, d):
+    p = table(spark, d, "part")
+    return overlap.nearest_strings(p.select(F.concat(F.lit("x/"), "p_name").alias("key")), p.select(F.concat(F.lit("y/"), "p_type").alias("key")))
+
+
 @query("""WITH n AS (SELECT DISTINCT s_name AS x FROM supplier) SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS INTEGER) AS distance FROM n a JOIN n b ON a.x < b.x WHERE levenshtein(a.x, b.x) <= 1""")
 def near_names(spark, d):
     return overlap.near_names(table(spark, d, "supplier"), "s_name")
