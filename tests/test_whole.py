@@ -70,3 +70,16 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert overlap.nearest_strings(a, b.where("key IS NULL"), most_pairs=0).count() == 0
     salted = overlap._nearest_in_blocks(a, b.withColumnRenamed("key", "other"), 25_000, 100_000)
     assert {tuple(r) for r in salted.collect()} == set(got)
+
+
+def test_schema_candidates_of_every_brand(spark, tmp_path):
+    part = [("Brand#1", "bran", "a"), ("Brand#1", "bran", "b"), ("Brand#3", "Brand", "a"), ("Brand#9", "brand#9", "c"), ("Brand#9", "bran", "c")]
+    d = stored(spark, tmp_path, part=(part, "p_brand string, p_type string, p_name string"))
+    got = {tuple(r) for r in queries.QUERIES["schema_candidates_all"](spark, d).collect()}
+    brands, types = {p[0] for p in part}, {p[1] for p in part}
+    values = lambda i, k: {p[2] for p in part if p[i] == k}
+    shared = {(b, t): len(values(0, b) & values(1, t)) for b in brands for t in types}
+    most = {b: max(shared[b, t] for t in types) for b in brands}
+    want = {(f"x/{b}", f"y/{t}", "value") for b, t in shared if shared[b, t] == most[b] > 0}
+    want |= {(a, b, "name") for a, b, _ in nearest(brands, types)} | {(f"x/{b}", "null", "none") for b in brands}
+    assert got == want

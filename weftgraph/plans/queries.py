@@ -527,11 +527,22 @@ v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL)
 SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
 UNION ALL SELECT key, other, 'name' FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY d) AS k FROM n) WHERE k = 1 UNION ALL SELECT DISTINCT key, 'null', 'none' FROM l""")
 def schema_candidates(spark, d):
+    """Of the brands before Brand#2, as its SQL has it; ``schema_candidates_all`` takes every brand."""
     p = table(spark, d, "part")
     left = p.where("p_brand < 'Brand#2'").select(F.concat(F.lit("x/"), "p_brand").alias("key"), F.col("p_name").alias("value"))
     return overlap.schema_candidates(left, p.select(F.concat(F.lit("y/"), "p_type").alias("key"), F.col("p_name").alias("value")))
 
 
+@query("""WITH l AS (SELECT DISTINCT 'x/' || p_brand AS key, p_name AS value FROM part), r AS (SELECT DISTINCT 'y/' || p_type AS other, p_name AS value FROM part),
+v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL), n AS (SELECT DISTINCT key, other, levenshtein(substr(key, 3), substr(other, 3)) AS d FROM (SELECT DISTINCT key FROM l), (SELECT DISTINCT other FROM r))
+SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
+UNION ALL SELECT key, other, 'name' FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY d) AS k FROM n) WHERE k = 1 UNION ALL SELECT DISTINCT key, 'null', 'none' FROM l""")
+def schema_candidates_all(spark, d):
+    p = table(spark, d, "part")
+    left = p.select(F.concat(F.lit("x/"), "p_brand").alias("key"), F.col("p_name").alias("value"))
+    return overlap.schema_candidates(left, p.select(F.concat(F.lit("y/"), "p_type").alias("key"), F.col("p_name").alias("value")))
+
+
 # --- sources, sinks and scalar functions ------------------------------------------------------------------------
 
 
