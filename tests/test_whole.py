@@ -83,3 +83,10 @@ def test_schema_candidates_of_every_brand(spark, tmp_path):
     want = {(f"x/{b}", f"y/{t}", "value") for b, t in shared if shared[b, t] == most[b] > 0}
     want |= {(a, b, "name") for a, b, _ in nearest(brands, types)} | {(f"x/{b}", "null", "none") for b in brands}
     assert got == want
+
+
+def test_tokens_of_every_document(spark, tmp_path):
+    documents = [(1, "one two", "en"), (2, " un  deux\ttrois ", "fr"), (3, "eins", "de"), (4, "a b c d", None)]
+    d = stored(spark, tmp_path, documents=(documents, "doc_id long, text string, lang string"))
+    got = {tuple(r) for r in queries.QUERIES["corpus_tokens_all"](spark, d).collect()}
+    assert got == {(i, len(text.split())) for i, text, _ in documents}

@@ -585,10 +585,17 @@ def scalar_functions(spark, d):
 
 @query(r"SELECT doc_id AS tag, CAST(len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER) AS n_tokens FROM documents WHERE lang = 'en'")
 def corpus_tokens(spark, d):
+    """Of English documents, as its SQL has it; ``corpus_tokens_all`` takes every document."""
     t = corpus.tokenized(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("tag"), "text"))
     return t.select("tag", F.size("tokens").alias("n_tokens"))
 
 
+@query(r"SELECT doc_id AS tag, CAST(len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER) AS n_tokens FROM documents")
+def corpus_tokens_all(spark, d):
+    t = corpus.tokenized(table(spark, d, "documents").select(F.col("doc_id").alias("tag"), "text"))
+    return t.select("tag", F.size("tokens").alias("n_tokens"))
+
+
 @query(f"""{cte("kg_corpus")} SELECT CASE WHEN CAST(substr(tag, 5) AS BIGINT) % 9 = 4 THEN 'doc/' || (CAST(substr(tag, 5) AS BIGINT) - 1) ELSE tag END AS tag, md5(text) AS digest FROM kg_corpus
 UNION ALL SELECT 'own/' || doc_id, md5(text) FROM documents WHERE lang = 'de'""")
 def abstracts_corpus(spark, d):
