@@ -2,7 +2,7 @@
 
 import random
 
-from weftgraph.operators import overlap
+from weftgraph.operators import match, overlap
 from weftgraph.plans import queries
 
 
@@ -90,3 +90,9 @@ def test_tokens_of_every_document(spark, tmp_path):
     d = stored(spark, tmp_path, documents=(documents, "doc_id long, text string, lang string"))
     got = {tuple(r) for r in queries.QUERIES["corpus_tokens_all"](spark, d).collect()}
     assert got == {(i, len(text.split())) for i, text, _ in documents}
+
+
+def test_long_redirect_chains(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(100)] + [("a", "b"), ("b", "a"), ("c", "a")]
+    got = {r.s: (r.o, r.hops) for r in match.terminal_redirects(spark.createDataFrame(links, "s string, o string")).collect()}
+    assert got == {f"n{i}": ("n100", 100 - i) for i in range(100)} | {"a": ("b", None), "b": ("a", None), "c": ("a", None)}

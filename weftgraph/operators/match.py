@@ -33,18 +33,21 @@ def drop_redirecting(df: DataFrame, redirects: DataFrame, column: str = "s") ->
     return df.join(redirects.select(F.col("s").alias(column)).distinct(), column, "left_anti")
 
 
-def terminal_redirects(redirects: DataFrame, most_hops: int = 20) -> DataFrame:
-    """(s, o, hops): every redirect followed to its last target by doubling; sources on a cycle keep their own
-    target, with hops null."""
+def terminal_redirects(redirects: DataFrame) -> DataFrame:
+    """(s, o, hops): every redirect followed to its last target by doubling, however long the chain; sources on or
+    leading to a cycle keep their own target, with hops null."""
     step = redirects.groupBy("s").agg(F.max("o").alias("o")).where("s <> o")
-    now, hops = step.withColumn("hops", F.lit(1).cast("long")), 1
-    while hops < most_hops:
+    now, before = step.withColumn("hops", F.lit(1).cast("long")), None
+    # while a chain goes on, some source is one hop further than is followed, so each doubling settles at least one
+    while left := now.join(step.select(F.col("s").alias("o")), "o", "left_semi").count():
+        if left == before:
+            break
         ahead = now.select(F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("hops").alias("_h"))
         far = now.join(ahead, now["o"] == ahead["_s"], "left")
         now = cut(far.select("s", F.coalesce("_o", "o").alias("o"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")))
-        hops *= 2
-        if now.join(step.select(F.col("s").alias("o")), "o", "left_semi").isEmpty():
-            return now
+        before = left
+    else:
+        return now
     cyclic = now.join(step.select(F.col("s").alias("o")), "o", "left_semi")
     first = cyclic.select("s").join(step, "s").withColumn("hops", F.lit(None).cast("long"))
     return now.join(cyclic.select("s"), "s", "left_anti").unionByName(first)
