@@ -96,3 +96,9 @@ def test_long_redirect_chains(spark):
     links = [(f"n{i}", f"n{i + 1}") for i in range(100)] + [("a", "b"), ("b", "a"), ("c", "a")]
     got = {r.s: (r.o, r.hops) for r in match.terminal_redirects(spark.createDataFrame(links, "s string, o string")).collect()}
     assert got == {f"n{i}": ("n100", 100 - i) for i in range(100)} | {"a": ("b", None), "b": ("a", None), "c": ("a", None)}
+
+
+def test_every_month_and_a_gap(spark, tmp_path):
+    spark.sql("SELECT explode(array(DATE'2020-03-31', DATE'2020-05-01', DATE'2020-05-31', DATE'2020-07-02')) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in queries.QUERIES["rows_by_month_all"](spark, str(tmp_path)).collect()}
+    assert got == {("2020-03-31", 1), ("2020-04-30", 0), ("2020-05-31", 2), ("2020-06-30", 0), ("2020-07-31", 1)}
