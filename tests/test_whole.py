@@ -102,3 +102,10 @@ def test_every_month_and_a_gap(spark, tmp_path):
     spark.sql("SELECT explode(array(DATE'2020-03-31', DATE'2020-05-01', DATE'2020-05-31', DATE'2020-07-02')) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     got = {tuple(r) for r in queries.QUERIES["rows_by_month_all"](spark, str(tmp_path)).collect()}
     assert got == {("2020-03-31", 1), ("2020-04-30", 0), ("2020-05-31", 2), ("2020-06-30", 0), ("2020-07-31", 1)}
+
+
+def test_clusters_of_near_names(spark, tmp_path):
+    names = ["cold cog", "old cog", "old cot", "bolt", "bold", "anvil", "anvil"]
+    d = stored(spark, tmp_path, part=([(n,) for n in names], "p_name string"))
+    got = {tuple(r) for r in queries.QUERIES["name_clusters_all"](spark, d).collect()}
+    assert got == {("cold cog", "cold cog"), ("old cog", "cold cog"), ("old cot", "cold cog"), ("bolt", "bold"), ("bold", "bold"), ("anvil", "anvil")}

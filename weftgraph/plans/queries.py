@@ -455,9 +455,16 @@ def near_names(spark, d):
 
 @query("SELECT name, name AS cluster FROM (SELECT DISTINCT p_name AS name FROM part)")
 def name_clusters(spark, d):
+    """With two near names for a core, as its SQL has it; ``name_clusters_all`` joins every pair of near names."""
     return overlap.name_clusters(table(spark, d, "part"), "p_name", most=1, least_points=2)
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), e AS (SELECT a.x AS a, b.x AS b FROM n a, n b WHERE levenshtein(a.x, b.x) <= 1),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS name, min(b) AS cluster FROM r GROUP BY a""")
+def name_clusters_all(spark, d):
+    return overlap.name_clusters(table(spark, d, "part"), "p_name")
+
+
 # --- crowd ------------------------------------------------------------------------------------------------------
 
 MAJ = "maj AS (SELECT hit, item, answer, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY hit, item ORDER BY n DESC, answer) AS rn FROM (SELECT hit, item, answer, count(*) AS n FROM kg_votes GROUP BY ALL)) WHERE rn = 1)"
