@@ -70,7 +70,18 @@ def test_stripped_texts(spark):
     assert [got[k].lang for k in range(1, 6)] == ["en", "de", "fr", None, "x"]
 
 
-@settings(max_examples=80, deadline=None)
+def test_first_windows_elect_like_later_ones():
+    """A symbol whose context reaches before the first window's end, at a batch's very beginning."""
+    passage = [0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 0]
+
+    def key(words, at):
+        names = np.asarray(words, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return m.elected(names, np.zeros(len(words), np.int64), 1 + np.asarray(words) % 3, 13, 1)[at]
+
+    assert key([1, *passage], 1) == key([*passage, 1], 0)
+
+
+@settings(max_examples=500, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=13, max_size=25), st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12), st.integers(1, 3))
 def test_equal_windows_elect_alike(passage, before, after, rounds):
     """Whatever stands around a passage, its windows elect the same symbol, where any."""
@@ -85,3 +96,27 @@ def test_equal_windows_elect_alike(passage, before, after, rounds):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_driver_table(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
+
+
+def test_two_lanes_share_nothing(spark):
+    """Windows that agree in one lane alone aren't taken for each other."""
+    met = m.Met()
+    met.add(np.array([5, 9]), np.array([1, 1]), np.array([10, 10]))
+    assert met.smaller(np.array([5, 5, 9, 4]), np.array([1, 2, 1, 1]), np.array([11, 11, 10, 11])).tolist() == [True, False, False, False]
+    import pyarrow as pa
+
+    lanes = m.Reader(2)(pa.array(["a b", "a c"]))[0]
+    assert lanes[0][0] == lanes[0][2] and lanes[1][0] == lanes[1][2] and (lanes[0] != lanes[1]).all()
+
+
+def test_extra_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "a " + long, 5, b"\xff\x00", {"k": [1, None]}), (2, "x\ty " + long + " end", 6, None, None), (3, "alone", 7, b"", {})]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _n int, _doc binary, _runs map<string, array<int>>").selectExpr("*", "'q' AS _starts", "struct(1 AS a) AS n", "1 AS id")
+    got = {r.doc_id: r for r in m.strip_repeats(df).collect()}
+    assert m.strip_repeats(df).schema.names == df.columns
+    assert {k: (r.text, r._n, r._doc and bytes(r._doc), r._runs, r._starts, r.n.a, r.id) for k, r in got.items()} == {
+        k: ("x\ty end" if k == 2 else t, n, b, x, "q", 1, 1) for k, t, n, b, x in rows
+    }
+    with pytest.raises(TypeError):
+        m.digest_removals(df.selectExpr("CAST(doc_id AS string) AS doc_id", "text"))

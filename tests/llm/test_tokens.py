@@ -63,7 +63,12 @@ def test_bpe_any_text(tik, coder, text):
     assert coder.encode(text) == tik.encode_ordinary(text)
 
 
-@settings(max_examples=150, deadline=None)
+def test_bpe_edit_makes_a_contraction(tik, coder):
+    e = m02_bpe.TextEncoder(coder.v, P.PATTERN, "11'r1").replace(4, 4, "e")
+    assert e.tokens() == tik.encode_ordinary("11're1")
+
+
+@settings(max_examples=2000, deadline=None)
 @given(st.data())
 def test_bpe_edits(tik, coder, data):
     alphabet = st.sampled_from("abehnorst   '\n1!é")

@@ -44,12 +44,12 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent on a local master (tests on one machine) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="weft-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,7 +68,32 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = Non
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``staged`` tables that nothing to come reads: what was made of them is stored by now."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or one like it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_ids(df: DataFrame, column: str) -> DataFrame:
+    """Ids of any integer type as 64-bit ones; other types aren't taken."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must hold integers of at most 64 bits, not {kind}")
+    return df if kind == "bigint" else df.withColumn(column, F.col(column).cast("long"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,13 +270,15 @@ def bits_of(df: DataFrame, column: str, bits_per_row: int = 32, most: int = 1 <<
     return Bits(array, size)
 
 
-def rewrite_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """Keep, drop or change rows by one text column; all other columns pass through as they are.
+def rewrite_rows(df: DataFrame, column: str, make: Callable[[], Callable[..., list]], beside: str | None = None) -> DataFrame:
+    """Keep, drop or change rows by one text column; all other columns pass through as Arrow data, as they are.
 
     ``make()`` maps a list of texts (UTF-8 bytes or None) to a list of the same length: False drops the row, True
-    keeps it, a string replaces the text.
+    keeps it, a string replaces the text.  The values of a column ``beside`` go along as a second list; that column
+    isn't returned.
     """
     ship(df.sparkSession)
+    schema = df.drop(beside).schema if beside else df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task(make) as f:
@@ -259,49 +286,86 @@ def rewrite_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list],
                 at = batch.schema.get_field_index(column)
                 for i in range(0, batch.num_rows, 512):
                     part = batch.slice(i, 512)
-                    results = f(values(part.column(at)))
+                    more = [values(part.column(batch.schema.get_field_index(beside)))] if beside else []
+                    results = f(values(part.column(at)), *more)
                     changed = [r if isinstance(r, str) else None for r in results]
                     if any(c is not None for c in changed):
                         texts = pa.array(changed, part.column(at).type)
                         part = part.set_column(at, part.schema.field(at), pc.if_else(pc.is_valid(texts), texts, part.column(at)))
                     part = part.filter(pa.array([r is not False for r in results], pa.bool_()))
                     if part.num_rows:
-                        yield part
+                        yield part.drop_columns([beside]) if beside else part
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
 
 
 def spread_id(column: str):
-    """A non-negative 63-bit number from an id, for ``Bits``."""
-    return F.xxhash64(column).bitwiseAND(F.lit((1 << 63) - 1))
+    """A non-negative 63-bit number from an integer id, for ``Bits``."""
+    return F.xxhash64(F.col(column).cast("long")).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def part_by(df: DataFrame, column: str, bits) -> tuple[DataFrame, DataFrame]:
-    """(rows surely outside, rows perhaps inside) of a broadcast set of ``spread_id`` numbers; nulls are outside."""
-    ship(df.sparkSession)
+def perhaps_inside(numbers: np.ndarray, bits: Bits) -> np.ndarray:
+    """Which rows may be in the set; number -1 stands for none."""
+    return (numbers >= 0) & bits.perhaps(numbers)
 
-    def side(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-                part = batch.filter(pa.array((bits.value.perhaps(n) & (n >= 0)) == inside))
-                if part.num_rows:
-                    yield part
 
-        numbered = df.withColumn("_n", F.when(F.col(column).isNull(), F.lit(-1)).otherwise(spread_id(column)))
-        return numbered.mapInArrow(run, numbered.schema).drop("_n")
+class Members:
+    """Two bitmaps of a set of ids: of its members, and of other ids of the table that the first takes for members.
 
-    return side(False), side(True)
+    What isn't in the first is outside for sure; what is in the first alone is inside for sure.
+    """
 
+    def __init__(self, inside: Bits, mistaken: Bits):
+        self.inside, self.mistaken = inside, mistaken
 
-def perhaps_inside(numbers: np.ndarray, bits: Bits) -> np.ndarray:
-    """Which rows may be in the set; number -1 stands for none."""
-    return (numbers >= 0) & bits.perhaps(numbers)
+    def surely(self, numbers: np.ndarray) -> np.ndarray:
+        return perhaps_inside(numbers, self.inside) & ~self.mistaken.perhaps(numbers)
+
+    def unsettled(self, numbers: np.ndarray) -> np.ndarray:
+        return perhaps_inside(numbers, self.inside) & self.mistaken.perhaps(numbers)
+
+
+def members_of(ids: DataFrame, table: DataFrame, column: str = "doc_id"):
+    """The broadcast ``Members`` of a stored table of ``ids`` among the ids of ``table``.  Only ids are shuffled."""
+    spark = ids.sparkSession
+    inside = bits_of(ids.select(spread_id(ids.columns[0]).alias("n")), "n")
+    held = spark.sparkContext.broadcast(inside)
+    narrow = table.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id"), spread_id(column).alias("n"))
+    near = where_number(narrow, "n", lambda n: held.value.perhaps(n))
+    mistaken = staged(near.join(ids.toDF("member"), F.col("id") == F.col("member"), "left_anti").select("n").distinct(), "mistaken-ids")
+    out = spark.sparkContext.broadcast(Members(inside, bits_of(mistaken, "n")))
+    discard(mistaken)
+    return out
+
+
+def where_number(df: DataFrame, column: str, chosen: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows that ``chosen`` picks by the numbers in a column without nulls; all columns pass as they are."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            part = batch.filter(pa.array(chosen(batch.column(at).to_numpy(zero_copy_only=False))))
+            if part.num_rows:
+                yield part
+
+    return df.mapInArrow(run, df.schema)
+
+
+def numbered(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``df`` with the ``spread_id`` of its ids (null: -1) in a new column, and that column's name."""
+    name = fresh(df.columns, "_n")
+    return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(spread_id(column))), name
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose id isn't in the one column of ``ids``.  Only rows that a bitmap can't clear are shuffled."""
-    ids = staged(ids.toDF("_id").where("_id IS NOT NULL").distinct(), "without-ids", rows=df.count())
-    bits = df.sparkSession.sparkContext.broadcast(bits_of(ids.select(spread_id("_id").alias("n")), "n"))
-    outside, inside = part_by(df, column, bits)
-    return outside.unionByName(inside.join(ids, inside[column] == ids["_id"], "left_anti"))
+    """The rows whose id isn't in the one column of ``ids``; other columns, whatever their names, stay as they are.
+
+    Only rows that two bitmaps can't settle are shuffled.
+    """
+    ids = staged(ids.toDF("id").where("id IS NOT NULL").distinct(), "without-ids", rows=df.count())
+    held = members_of(ids, df, column)
+    rows, n = numbered(df, column)
+    outside = where_number(rows, n, lambda x: ~perhaps_inside(x, held.value.inside)).drop(n)
+    open_ = where_number(rows, n, lambda x: held.value.unsettled(x)).drop(n)
+    return outside.unionByName(open_.join(ids, open_[column] == ids["id"], "left_anti"))

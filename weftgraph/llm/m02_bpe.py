@@ -7,7 +7,9 @@ neighbouring pair of tokens encodes to itself.  So each prefix of a piece has on
 it, and the encoding is read by walking back from the end.  ``TextEncoder`` keeps the pieces of a whole text
 and re-splits only near an edit.
 
-Null texts encode as empty ones.  Rows are handled alone, so repeated rows, ties and empty tables need no rule.
+Null texts encode as empty ones.  Rows are handled alone, so repeated rows, ties and empty tables need no rule.  Only
+the key and the text are read, so other columns may have any name.  A text is encoded by one task, however long; its
+table of prefixes takes a few bytes per byte of the longest piece alone.
 """
 
 from __future__ import annotations
@@ -117,8 +119,15 @@ class PrefixTable:
 
 
 class TextEncoder:
-    """A text under edits: pieces with their prefix tables; an edit re-splits from the piece before it until the
-    old cuts recur."""
+    """A text under edits: pieces with their prefix tables; an edit re-splits from some pieces before it until the
+    old cuts recur.
+
+    How far before: the pattern looks at no more than the two characters behind an apostrophe, or the one character
+    behind the white space that it doesn't take whole.  So a piece from ``p`` to ``e`` hangs on characters before
+    ``max(p + 3, e + 2)`` alone.  Of the pieces that start at or before an edit, the last holds or touches it, and the
+    two before that may end where the edit begins or one character earlier; the fourth from the end ends two before
+    it, starts three before it, and stays.  Matching never looks back, so once a cut behind the edit recurs, all do.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, text: str = ""):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
@@ -132,7 +141,7 @@ class TextEncoder:
         """Replace ``text[start:end]``; tables of untouched pieces are kept, a grown last piece is extended."""
         shift = len(new) - (end - start)
         text = self.text = self.text[:start] + new + self.text[end:]
-        first = max(0, sum(1 for at, _ in self.pieces if at <= start) - 2)  # one piece earlier: white space looks ahead
+        first = max(0, sum(1 for at, _ in self.pieces if at <= start) - 3)
         kept, old = self.pieces[:first], self.pieces[first:]
         resume = {at + shift: i for i, (at, _) in enumerate(old) if at >= end + 1}
         at, fresh = (old[0][0] if old else 0), []

@@ -6,18 +6,22 @@ sequences get the same symbols everywhere, apart from a few at their ends.  Each
 context: the stretch of words that settles that it arises.  A window of words that holds a symbol's context holds
 that symbol in every document.
 
-Two Spark rounds find the repeats.  The first names globally: each window elects one of the symbols that it
-settles (the longest, in bytes), and elected symbols are grouped to find those of several documents.  A window can
-only repeat if its elected symbol does, which leaves few candidates.  The second verifies: candidate windows are
-grouped by a 96-bit hash of their words, and all but those of the smallest document are removed.
+Names are digests of what they name, so all tasks agree on them without exchanging tables of names; what Spark
+rounds settle is which symbols several documents share.  The first elects, for each window, one of the symbols that
+it settles (the longest, in bytes), and groups elected symbols: a window can only repeat if its elected symbol does,
+which leaves few candidates.  The second verifies: candidate windows are grouped by 128 bits of their words, in two
+lanes that share no intermediate value, and all but those of the smallest document are removed.  Naming stops after
+``ROUNDS`` rounds, since contexts widen by each: in windows of 13 words, symbols of a third round fit a third of all
+windows, those of a fourth next to none.
 
 Whole copies of a text are found first, by its digest; only the copy of the smallest id goes through the rounds.
 Tasks combine what they see before shuffling: a window that a task has met in a smaller document is settled there,
-so frequent passages leave a task about once.
+so frequent passages leave a task about once, and settled windows leave as runs.
 
-Null and empty texts have no words.  Rows without an id neither remove nor lose words.  Rows of equal id count as
-one document, so repeated rows don't remove each other.  Texts shorter than a window keep all words.  An empty table
-gives an empty result.
+Ids are integers.  Null and empty texts have no words.  Rows without an id neither remove nor lose words.  Rows of
+equal id count as one document, so repeated rows don't remove each other.  Texts shorter than a window keep all words.
+An empty table gives an empty result.  Columns of any name and type beside the id and the text are left as they are.
+A text is held by one task, which takes some 100 bytes per word.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, map_arrays, map_columns, map_rows, part_by, perhaps_inside, ship, spread_id, staged
+from .common import bits_of, discard, fresh, map_arrays, map_rows, members_of, numbered, perhaps_inside, rewrite_rows, ship, spread_id, staged, where_number, whole_ids
 from .m08_minhash import MIX, mixed
 
 WINDOW, ROUNDS = 13, 2
-WHOLE = -1  # as a window's start: all words, if they make a window
+WHOLE = -1  # as a run of windows: all words, if they make a window
 FAR = 1 << 40  # a context that reaches beyond a document's end fits no window
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -110,26 +114,28 @@ def elected(names: np.ndarray, document: np.ndarray, sizes: np.ndarray, window:
     key = (np.uint64(63) - long) << np.uint64(57) | s.name[fit] >> np.uint64(7)  # of equal length the smaller name
     first, spare = s.to[fit] - window, (window - span)[fit]
     for j in range(window):
-        use = np.flatnonzero((spare >= j) & (first + j >= 0))
-        if not len(use):
+        long_enough = spare >= j
+        if not long_enough.any():
             break
+        use = np.flatnonzero(long_enough & (first + j >= 0))
         np.minimum.at(best, first[use] + j, key[use])
     return best
 
 
-def window_hashes(names: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(lanes: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows that start ``at``, each from its own hashes of the words."""
     out = []
-    for lane in (1, 2):
+    for names, factor in zip(lanes, MIX[1:]):
         h = np.zeros(len(at), np.uint64)
         for j in range(window):
-            h = mixed(h + names[at + j]) * MIX[lane] + np.uint64(j)
+            h = mixed(h + names[at + j]) * factor + np.uint64(j)
         out.append(mixed(h).view(np.int64))
     return out[0], out[1]
 
 
 class Reader:
-    """Batches of texts as word hashes, document numbers, word sizes, places in the document, and whether a window can
-    start there.  Words are split and made distinct in Arrow; only distinct ones are hashed."""
+    """Batches of texts as two lanes of word hashes, document numbers, word sizes, places in the document, and whether a
+    window can start there.  Words are split and made distinct in Arrow; only distinct ones are hashed, to 128 bits."""
 
     def __init__(self, window: int):
         self.window = window
@@ -140,7 +146,7 @@ class Reader:
         found = split.flatten().dictionary_encode()
         words = found.dictionary.cast(pa.binary())
         distinct = words.to_numpy(zero_copy_only=False).tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
         size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         which = found.indices.to_numpy()
         document = np.repeat(np.arange(len(n)), n)
@@ -149,13 +155,12 @@ class Reader:
             which, document = which[real], document[real]
             n = np.bincount(document, minlength=len(n))
         place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return hashes[which], document, size[which], place, place + self.window <= n[document]
+        return (hashes[which, 0], hashes[which, 1]), document, size[which], place, place + self.window <= n[document]
 
 
-def first_copies(copied, ids: pa.Array, texts: pa.Array, numbers: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Without the rows whose number is in the bitmap; number -1 is in none."""
-    n = numbers.to_numpy()
-    mask = pa.array((n < 0) | ~copied.perhaps(n))
+def other_rows(copied, ids: pa.Array, texts: pa.Array, numbers: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Without the rows that are surely copies.  Copies that stay only cost their work: they lose all words anyway."""
+    mask = pa.array(~copied.surely(numbers.to_numpy()))
     return ids.filter(mask), texts.filter(mask)
 
 
@@ -166,9 +171,9 @@ def repeated_symbols(df: DataFrame, copied, window: int, rounds: int) -> DataFra
         read = Reader(window)
 
         def some(ids, texts, numbers):
-            ids, texts = first_copies(copied.value, ids, texts, numbers)
-            names, document, sizes, _, starts = read(texts)
-            best = elected(names, document, sizes, window, rounds)
+            ids, texts = other_rows(copied.value, ids, texts, numbers)
+            lanes, document, sizes, _, starts = read(texts)
+            best = elected(lanes[0], document, sizes, window, rounds)
             use = starts & (best != NONE)
             use[1:] &= ~((best[1:] == best[:-1]) & (document[1:] == document[:-1]) & starts[:-1])  # neighbours elect alike
             key, doc = best[use].view(np.int64), ids.to_numpy()[document[use]]
@@ -188,23 +193,33 @@ class Met:
     """Windows that a task has met in several documents, with the smallest of these; bounded."""
 
     def __init__(self, limit: int = 200_000):
-        self.limit, self.key, self.doc = limit, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def smaller(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return (self.key[at] == key) & (self.doc[at] < doc)
-
-    def add(self, key: np.ndarray, doc: np.ndarray) -> None:
-        key, doc = np.concatenate([self.key, key]), np.concatenate([self.doc, doc])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        key, doc = key[new], doc[new]
-        if len(key) > self.limit:  # those met most lately return at once
-            key, doc = key[:0], doc[:0]
-        self.key, self.doc = key, doc
+        self.limit, self.a, self.b, self.doc = limit, *(np.zeros(0, np.int64) for _ in range(3))
+
+    def smaller(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which windows (a, b) were met in a document before ``doc``."""
+        if not len(self.a):
+            return np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        return (self.a[at] == a) & (self.b[at] == b) & (self.doc[at] < doc)
+
+    def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.a) + len(a) > self.limit:  # those met most lately return at once
+            self.a, self.b, self.doc = self.a[:0], self.b[:0], self.doc[:0]
+        a, b, doc = np.concatenate([self.a, a]), np.concatenate([self.b, b]), np.concatenate([self.doc, doc])
+        order = np.lexsort((doc, b, a))
+        a, b, doc = a[order], b[order], doc[order]
+        new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)  # of windows that agree in a alone, one
+        self.a, self.b, self.doc = a[new][: self.limit], b[new][: self.limit], doc[new][: self.limit]
+
+
+def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows: their documents, and first start and number in one long."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype(np.int64)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)) if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], start[first] | start[last] - start[first] + 1 << 32
 
 
 def copies(df: DataFrame, rows: int) -> DataFrame:
@@ -217,56 +232,64 @@ def copies(df: DataFrame, rows: int) -> DataFrame:
 
 
 def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, start) of every window that a document with a smaller id holds too; ``WHOLE`` for copies of a text."""
+    """(doc_id, run) of the windows that a document with a smaller id holds too, as ``runs_of`` has them; ``WHOLE`` for
+    copies of a text."""
     spark = df.sparkSession
     ship(spark)
-    df = df.select("doc_id", "text").where("doc_id IS NOT NULL")
+    df = whole_ids(df.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL")
     n = df.count()
     whole = staged(copies(df, n), "repeat-copies", rows=n)
-    copied = spark.sparkContext.broadcast(bits_of(whole.select(spread_id("doc_id").alias("n")), "n"))
-    mistaken = part_by(df, "doc_id", copied)[1].join(whole, "doc_id", "left_anti")  # what the bitmap takes for copies
-    df = df.withColumn("n", spread_id("doc_id")).unionByName(mistaken.withColumn("n", F.lit(-1).cast("long")))
-    bits = spark.sparkContext.broadcast(bits_of(staged(repeated_symbols(df, copied, window, rounds), "repeat-symbols", rows=n), "key"))
+    copied = members_of(whole, df)
+    df = df.withColumn("n", spread_id("doc_id"))
+    symbols = staged(repeated_symbols(df, copied, window, rounds), "repeat-symbols", rows=n)
+    bits = spark.sparkContext.broadcast(bits_of(symbols, "key"))
+    discard(symbols)
 
     def make():
         read, met = Reader(window), Met()
         perhaps = bits.value.perhaps
 
         def some(ids, texts, numbers):
-            ids, texts = first_copies(copied.value, ids, texts, numbers)
-            names, document, sizes, place, starts = read(texts)
-            best = elected(names, document, sizes, window, rounds)
+            ids, texts = other_rows(copied.value, ids, texts, numbers)
+            lanes, document, sizes, place, starts = read(texts)
+            best = elected(lanes[0], document, sizes, window, rounds)
             at = np.flatnonzero(starts & ((best == NONE) | perhaps(best.view(np.int64))))
             if not len(at):
                 return
-            a, b = window_hashes(names, at, window)
-            b = b.astype(np.int32)
-            doc, start = ids.to_numpy()[document[at]], place[at].astype(np.int32)
+            a, b = window_hashes(lanes, at, window)
+            doc, start = ids.to_numpy()[document[at]], place[at]
             order = np.lexsort((doc, b, a))
             a, b, doc, start = a[order], b[order], doc[order], start[order]
             first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             begin = np.flatnonzero(first)
             group = np.cumsum(first) - 1
-            known = (doc > doc[begin][group]) | met.smaller(a, doc)
+            known = (doc > doc[begin][group]) | met.smaller(a, b, doc)
             several = doc[np.append(begin[1:], len(a)) - 1] > doc[begin]
-            met.add(a[begin][several], doc[begin][several])
-            # what is settled goes along, marked by a negative start, dealt by its document
-            yield np.where(known, mixed(doc.view(np.uint64) + MIX[0]).view(np.int64), a), b, doc, np.where(known, -1 - start, start)
+            met.add(a[begin][several], b[begin][several], doc[begin][several])
+            # what is settled goes along as runs, marked by a negative number, dealt by their documents
+            run_doc, run = runs_of(doc[known], start[known])
+            open_ = ~known
+            yield (
+                np.concatenate([mixed(run_doc.view(np.uint64) + MIX[0]).view(np.int64), a[open_]]),
+                np.concatenate([np.zeros(len(run), np.int64), b[open_]]),
+                np.concatenate([run_doc, doc[open_]]),
+                np.concatenate([-1 - run, start[open_]]),
+            )
 
         return some
 
-    found = map_arrays(df, ["doc_id", "text", "n"], "a long, b int, doc_id long, start int", make)
+    found = map_arrays(df, ["doc_id", "text", "n"], "a long, b long, doc_id long, run long", make)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = _parse_datatype_string("doc_id long, start int")
+    schema = _parse_datatype_string("doc_id long, run long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_a = last_b = least = None  # of the group that the batch before ended in
         for batch in batches:
-            a, b, doc, start = (batch.column(i).to_numpy() for i in range(4))
-            marks = start < 0
+            a, b, doc, runs = (batch.column(i).to_numpy() for i in range(4))
+            marks = runs < 0
             open_ = np.flatnonzero(~marks)
             if len(open_):
                 x, y, d = a[open_], b[open_], doc[open_]
@@ -277,91 +300,76 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
                 marks[open_] = d > mins[np.cumsum(first) - 1]
                 last_a, last_b, least = x[-1], y[-1], mins[-1]
             if marks.any():
-                start = np.where(start < 0, -1 - start, start)[marks]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[marks], pa.int64()), pa.array(start, pa.int32())], schema=arrow)
+                runs = np.where(runs < 0, -1 - runs, runs | 1 << 32)[marks]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[marks], pa.int64()), pa.array(runs, pa.int64())], schema=arrow)
 
     dealt = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "doc_id")
-    return dealt.mapInArrow(run, schema).unionByName(whole.select("doc_id", F.lit(WHOLE).alias("start")))
+    return dealt.mapInArrow(run, schema).unionByName(whole.select("doc_id", F.lit(WHOLE).cast("long").alias("run")))
 
 
-def cleared(df: DataFrame, marks: DataFrame, schema: str, make, columns: list[str]) -> DataFrame:
-    """Apply ``make()`` to each row's (``columns``..., list of removed window starts).
+def marked(df: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(rows surely without marks, other rows with the list of their marks, that list's column).
 
     Only rows that a bitmap of the marked ids can't clear are shuffled to meet their marks.
     """
-    spark = df.sparkSession
-    grouped = marks.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("_starts"))  # a document's own
-    bits = spark.sparkContext.broadcast(bits_of(marks.select("doc_id").distinct().select(spread_id("doc_id").alias("n")), "n"))
-    clear = map_columns(
-        df.select(*columns, F.coalesce(F.when(F.col("doc_id").isNotNull(), spread_id("doc_id")), F.lit(-1)).alias("_n")),
-        [*columns, "_n"],
-        schema,
-        lambda: outside_rows(make(), bits.value),
-    )
-    inside = part_by(df.select(*columns), "doc_id", bits)[1]
-    joined = inside.join(grouped, inside["doc_id"] == grouped["_doc"], "left").select(*columns, "_starts")
-    return clear.unionByName(map_rows(joined, [*columns, "_starts"], schema, make))
-
-
-def outside_rows(f, bits):
-    """``f`` on the rows that a bitmap clears, without window starts."""
-
-    def some(*columns):
-        *rest, numbers = columns
-        for row, held in zip(zip(*rest), perhaps_inside(np.asarray(numbers, np.int64), bits).tolist()):
-            if not held:
-                yield from f(*row, None)
-
-    return some
-
-
-def removed_words(n: int, starts, window: int) -> np.ndarray:
-    starts = np.asarray(starts, np.int64)
-    if (starts == WHOLE).any():
+    own = marks.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))  # a document's own
+    bits = df.sparkSession.sparkContext.broadcast(bits_of(marks.select("doc_id").distinct().select(spread_id("doc_id").alias("n")), "n"))
+    rows, n = numbered(df, "doc_id")
+    clear = where_number(rows, n, lambda x: ~perhaps_inside(x, bits.value)).drop(n)
+    inside = where_number(rows, n, lambda x: perhaps_inside(x, bits.value)).drop(n)
+    doc, runs = fresh(df.columns, "_doc"), fresh(df.columns, "_runs")
+    joined = inside.join(own.toDF(doc, runs), F.col("doc_id") == F.col(doc), "left").drop(doc)
+    return clear, joined, runs
+
+
+def removed_words(n: int, runs, window: int) -> np.ndarray:
+    """Which of ``n`` words are covered by the windows of some runs."""
+    runs = np.asarray(runs, np.int64)
+    if (runs == WHOLE).any():
         return np.full(n, n >= window)
+    start, many = runs & 0xFFFFFFFF, runs >> 32
     gone = np.zeros(n + 1, np.int64)
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, starts + window, -1)
+    np.add.at(gone, np.minimum(start, n), 1)
+    np.add.at(gone, np.minimum(start + many - 1 + window, n), -1)
     return np.cumsum(gone)[:n] > 0
 
 
 def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words joined by spaces."""
-    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats", rows=df.count())
+    df = whole_ids(df.select("doc_id", "text"), "doc_id")
+    marks = staged(repeats(df, window, rounds), "repeats", rows=df.count())
+    clear, joined, runs = marked(df, marks)
 
     def make():
-        def one(k, raw, starts):
-            words = (raw or b"").split()
-            if starts is not None and len(starts):
-                gone = removed_words(len(words), starts, window)
+        def one(k, raw, held=None):
+            words = kept = (raw or b"").split()
+            if held is not None and len(held):
+                gone = removed_words(len(words), held, window)
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                kept = words
             yield k, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
         return one
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return cleared(df, marks, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", make, ["doc_id", "text"])
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return map_rows(clear, ["doc_id", "text"], schema, make).unionByName(map_rows(joined, ["doc_id", "text", runs], schema, make))
 
 
 def strip_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The documents with repeated words, and the white space behind them, taken out of their texts."""
-    marks = staged(repeats(df.select("doc_id", "text"), window, rounds), "repeats", rows=df.count())
-    columns = ["doc_id", *[c for c in df.columns if c not in ("doc_id", "text")], "text"]
+    marks = staged(repeats(df, window, rounds), "repeats", rows=df.count())
+    clear, joined, runs = marked(df, marks)
     word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
     def make():
-        def one(*row):
-            *rest, raw, starts = row
-            rest = [x.decode() if isinstance(x, bytes) else x for x in rest]
-            if raw is not None and starts is not None and len(starts):
-                pieces = word.findall(raw)
-                gone = removed_words(len(pieces), starts, window)
-                raw = b"".join(w for w, g in zip(pieces, gone.tolist()) if not g)
-            yield (*rest, raw and raw.decode() if raw is None or raw else "")
-
-        return one
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return cleared(df, marks, schema, make, columns).select(*df.columns)
+        def one(raw, held):
+            if raw is None or held is None or not len(held):
+                return True
+            pieces = word.findall(raw)
+            gone = removed_words(len(pieces), held, window)
+            if not gone.any():
+                return True
+            return b"".join(w for w, g in zip(pieces, gone.tolist()) if not g).decode()
+
+        return lambda raws, held: list(map(one, raws, held))
+
+    return clear.unionByName(rewrite_rows(joined, "text", make, runs))
