@@ -1,36 +1,40 @@
 """Near-duplicate groups by MinHash, with sequential Bayesian verification.
 
-A document's set holds the hashes of its distinct word shingles.  Equal sets form classes, represented by their
-smallest id; only representatives go on.  Their signatures are cut into bands, and documents that agree in a band
+A document's set holds the hashes of its distinct word shingles.  Equal sets, confirmed by a 128-bit cryptographic
+digest of the whole set, form classes, represented by their smallest id; only representatives go on.  Their signatures are cut into bands, and documents that agree in a band
 meet in a bucket.  Candidate pairs are compared by batches of signature values: after each batch, a pair is dropped
 once the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``miss``;
 survivors are confirmed on their full sets.
 
 No bucket emits its pairs.  First, each document meets the smallest document of most of its buckets; these links
 give components.  Buckets that hold several components tie these into clusters.  In each cluster, the documents
-outside the largest component meet all others, in blocks of bounded size: a block finds the pairs that share a
+outside the largest component meet all others, in blocks bounded by documents and by bytes: a block finds the pairs that share a
 bucket and lie in different components, tests them in place, and yields one link per document and component.
 Pairs inside a component are never compared: they can't change the result.
 
 Null and empty texts have an empty set, and are linked with nothing.  A text with fewer words than a shingle has its
-whole word sequence as its one shingle.  Rows without an id are linked with nothing, keep a null component, and are
-kept.  Repeated ids count as one document.  An empty table gives an empty result.
+whole word sequence as its one shingle.  Ids are integers.  Rows without an id are linked with nothing, keep a null
+component, and are kept.  Repeated ids count as one document.  An empty table gives an empty result.  Columns beside
+the key and the text aren't read.  A text is held by one task, which takes some 100 bytes per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Memo, bits_of, map_columns, map_rows, shared_dir, spread_id, staged
+from .common import Memo, bits_of, discard, map_arrays, map_columns, map_rows, members_of, shared_dir, spread_id, staged, whole_ids
 
 BANDS, ROWS, SEED, BLOCK, BATCH = 40, 6, 8_128, 1000, 40
+BLOCK_BYTES = 8 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -96,20 +100,36 @@ def signed(df: DataFrame, shingle: int, bands: int, rows: int, key: str, text: s
 
         def one(k, raw):
             s = shingles(raw)
-            if not len(s):
-                yield k, 0, 0, 0, None
-                return
-            fp = [int(v.sum(dtype=np.uint64).astype(np.int64)) for v in (s, mixed(s ^ MIX[0]))]
-            yield k, len(s), *fp, sign(s)[0]
+            if len(s):
+                yield k, len(s), hashlib.blake2b(s, digest_size=16).digest(), sign(s)[0]
+            else:
+                yield k, 0, None, None
 
         return one
 
-    schema = f"doc_id {df.schema[key].dataType.simpleString()}, n_shingles long, fp1 long, fp2 long, keys array<long>"
-    return map_rows(df, [key, text], schema, make)
+    return map_rows(df, [key, text], "doc_id long, n_shingles long, digest binary, keys array<long>", make)
+
+
+def bucket_rows(signed_rows: DataFrame, copied, shared=None) -> DataFrame:
+    """(key, doc_id) of the bands' keys, without documents that are surely copies, and without keys that aren't in the
+    bitmap ``shared``, if given."""
+
+    def make():
+        def some(ids, numbers, keys):
+            others = pa.array(~copied.value.surely(numbers.to_numpy()))
+            ids, keys = ids.filter(others), keys.filter(others)
+            doc = np.repeat(ids.to_numpy(), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
+            key = keys.flatten().to_numpy()
+            use = slice(None) if shared is None else shared.value.perhaps(key)
+            yield key[use], doc[use]
+
+        return some
+
+    return map_arrays(signed_rows.withColumn("n", spread_id("doc_id")), ["doc_id", "n", "keys"], "key long, doc_id long", make)
 
 
 def full_sets(df: DataFrame, chosen: DataFrame, shingle: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """(doc_id, keys, signature, shingles) of the ``chosen`` ids, and of a few that a bitmap can't tell from them."""
+    """(doc_id, keys, signature, shingles, bytes that these take) of the ``chosen`` ids, and of a few that a bitmap can't tell from them."""
     bits = df.sparkSession.sparkContext.broadcast(bits_of(chosen.select(spread_id("doc_id").alias("n")), "n"))
 
     def make():
@@ -120,12 +140,12 @@ def full_sets(df: DataFrame, chosen: DataFrame, shingle: int, bands: int, rows:
             for k, raw, yes in zip(ids, raws, perhaps(np.asarray(numbers, np.int64)).tolist()):
                 if yes and len(s := shingles(raw)):
                     keys, signature = sign(s)
-                    yield k, keys.tobytes(), signature.tobytes(), s.tobytes()
+                    yield k, keys.tobytes(), signature.tobytes(), s.tobytes(), 1000 + s.nbytes
 
         return some
 
     texts = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL").withColumn("n", spread_id("doc_id"))
-    return map_columns(texts, ["doc_id", "n", "text"], "doc_id long, keys binary, signature binary, shingles binary", make)
+    return map_columns(texts, ["doc_id", "n", "text"], "doc_id long, keys binary, signature binary, shingles binary, bytes long", make)
 
 
 class Test:
@@ -214,18 +234,23 @@ def near_duplicates(
     def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return staged(connected_components(edges, a, b, shared_dir(spark, "minhash-stars")), "minhash-components", rows=size)
 
+    df = whole_ids(df, key)
     docs = staged(signed(df, shingle, bands, rows, key, text), "minhash", "none")
     size = docs.count()
     full = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # what is grouped by a key is written before it is joined by it: a join of two plain reads can be split at hot keys
-    classes = staged(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-fingerprints", rows=size)
-    members = staged(full.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep"), "minhash-classes", rows=size)
-    copies = members.where("doc_id <> rep").select("doc_id").distinct()
-    banded = full.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    buckets = staged(buckets, "minhash-keys", rows=size)
-    inside = staged(banded.join(buckets, "key").select("key", "doc_id", "least").distinct(), "minhash-buckets", rows=size)
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").select("digest", "rep")
+    classes = staged(classes, "minhash-digests", rows=size)
+    copies = full.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select("doc_id", "rep")
+    copies = staged(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "minhash-classes", rows=size)
+    copied = members_of(copies.select("doc_id"), full)
+    buckets = bucket_rows(full, copied).groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    buckets = staged(buckets.where("least < most").select("key", "least"), "minhash-keys", rows=size)
+    # the keys of several documents, as a bitmap: most keys are of one alone, and needn't be shuffled again
+    shared = spark.sparkContext.broadcast(bits_of(buckets, "key"))
+    inside = staged(bucket_rows(full, copied, shared).join(buckets.hint("merge"), "key").select("key", "doc_id", "least").distinct(), "minhash-buckets", rows=size)
     sets = staged(full_sets(df, inside.select("doc_id").distinct(), shingle, bands, rows, key, text), "minhash-sets", "none")
+    discard(classes, buckets)
 
     # each document with the smallest of most of its buckets
     centres = inside.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("n"))
@@ -243,10 +268,25 @@ def near_duplicates(
     open_ = staged(named.join(mixed_keys, "key").select("doc_id", "component", "low").distinct(), "minhash-open", rows=size)
     clusters = components(open_.where("component <> low").select("component", "low").distinct(), "component", "low")
     clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    held = staged(open_.select("doc_id", "component").distinct().join(clusters, "component"), "minhash-clusters", rows=size)
-    parts = held.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    sizes = sizes.select("cluster", "main", F.ceil(F.col("all") / block).alias("columns"), F.ceil((F.col("all") - F.col("most")) / block).alias("rows"))
+    held = open_.select("doc_id", "component").distinct().join(clusters, "component")
+    held = held.join(sets.groupBy("doc_id").agg(F.max("bytes").alias("bytes")), "doc_id")
+    held = staged(held, "minhash-weighed", rows=size)
+    parts = held.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.struct("n", "component")
+    sizes = parts.groupBy("cluster").agg(
+        F.max_by("component", main).alias("main"),
+        F.sum("n").alias("all"),
+        F.max("n").alias("most"),
+        F.sum("bytes").alias("all_bytes"),
+        F.max_by("bytes", main).alias("most_bytes"),
+    )
+    parts_of = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES))
+    sizes = sizes.select(
+        "cluster",
+        "main",
+        parts_of(F.col("all"), F.col("all_bytes")).alias("columns"),
+        parts_of(F.col("all") - F.col("most"), F.col("all_bytes") - F.col("most_bytes")).alias("rows"),
+    )
     placed = held.join(sizes, "cluster").select(
         "doc_id", "component", "cluster", "rows", "columns", (F.col("component") != F.col("main")).alias("outlier"), F.xxhash64("doc_id").alias("h")
     )
@@ -259,8 +299,10 @@ def near_duplicates(
     links = links.unionByName(staged(later, "minhash-links", rows=size))
     last = components(links, "a", "b")
 
-    names = members.join(last, members["rep"] == last["node"], "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
-    names = names.groupBy("_doc").agg(F.min("_component").alias("_component"))
+    discard(sets)
+    of_copies = copies.join(last, copies["rep"] == last["node"], "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
+    of_others = last.select(F.col("node").alias("_doc"), F.col("component").alias("_component")).join(copies.select(F.col("doc_id").alias("_doc")), "_doc", "left_anti")
+    names = staged(of_copies.unionByName(of_others), "minhash-names", rows=size)
     out = docs.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_doc"), "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
