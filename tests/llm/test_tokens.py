@@ -115,6 +115,54 @@ def test_orc(spark, docs, tmp_path):
     assert [(r.doc_id, r.start) for r in rows] == [(None, 0), (-1, 2), (5, 3), (5, 6)]
 
 
+def test_orc_starts_of_sparse_ids(spark):
+    """Random 64-bit ids, a third of all rows under one id, several files and groups of files; no window over all rows."""
+    rng = np.random.default_rng(3)
+    ids = [int(i) for i in rng.integers(-(1 << 62), 1 << 62, 400)] + [7] * 200
+    rows = [(k, "w " * int(n)) for k, n in zip(ids, rng.integers(0, 9, 600))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = m07_orc.store_documents(df, queries.WORD_BPE, 2, rows_per_block=16)
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    windows = [line for line in plan.splitlines() if line.startswith("Arguments: [") and "windowspecdefinition" in line]
+    assert windows and all(not line.rstrip().endswith("ROWS)") and line.count("], [") >= 1 for line in windows)
+    got = sorted(got.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    sizes = spark.createDataFrame([(i, i % 5 + 1) for i in range(40)], "file int, size long")
+    bases = {r.file: r.base for r in m07_orc.file_bases(sizes, group=7).collect()}
+    assert bases == {i: sum(j % 5 + 1 for j in range(i)) for i in range(40)}
+
+
+def test_orc_layout(spark, tmp_path):
+    """Stripes, run-length ids, row index and Bloom filter are in the files, and ids outside are pruned."""
+    from pyarrow import orc
+
+    rows = [(i, f"word{i % 50} and more " * 3) for i in range(30_000)]
+    path = str(tmp_path / "orc")
+    m07_orc.write_orc(spark.createDataFrame(rows, "doc_id long, text string"), path, queries.WORD_BPE, 2, bytes_per_file=1 << 20, stripe_bytes=1 << 16)
+    files = sorted(tmp_path.glob("orc/*.orc"))
+    assert len(files) > 1 and all(orc.ORCFile(f).nstripes > 1 for f in files)
+    spans = [orc.ORCFile(f).read(columns=["doc_id"]).column(0).to_numpy() for f in files]
+    assert all((np.diff(x) > 0).all() for x in spans) and all(a[-1] < b[0] for a, b in zip(spans, spans[1:]))
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(
+        spark._jvm.org.apache.hadoop.fs.Path(str(files[0])), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+    )
+    assert reader.getRowIndexStride() == 10_000
+    stripe = reader.getStripes().get(0)
+    kinds, encodings = set(), set()
+    footer = reader.rows().readStripeFooter(stripe) if hasattr(reader.rows(), "readStripeFooter") else None
+    if footer is not None:
+        kinds = {str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())}
+        encodings = {str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())}
+        assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds and "DIRECT_V2" in encodings
+    found = m07_orc.lookup(spark, path, [17, 29_999, 99_999_999])
+    assert sorted(r.doc_id for r in found.collect()) == [17, 29_999]
+    assert "PushedFilters: [In(doc_id" in found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+
+
 @pytest.mark.parametrize("per_partition", [4_000_000, 3000])
 def test_packing(docs, per_partition):
     rows = m03_packing.pack(docs, queries.WORD_BPE, 1, 64, per_partition).collect()

@@ -2,11 +2,15 @@
 
 Documents are range-partitioned and sorted by id, so file ``k`` holds lower ids than file ``k + 1``; each file's
 stripes can be read in parallel and are skipped by the row index's minimum, maximum and Bloom filter when ids
-are looked up.  What is reported is read back from the files: counts, checksums, and each document's start among
-all ids, by prefix sums over blocks of ids (one small row per block) and within a block.
-
-Null texts count as empty and hold the end id alone.  Null document ids sort first.  Repeated ids are kept as
-rows of their own, in the order of their contents.  An empty table writes no row and reads back as an empty one.
+are looked up.  Every row also holds its file's number and its place there, two columns that run-length encoding makes
+next to free.  What is reported is read back from the files: counts, checksums, and each document's start among all
+ids, by sums over blocks of places, over files, over groups of files, and within a block.  All of these are bounded,
+whatever the ids' values are.
+
+Ids are integers.  Null texts count as empty and hold the end id alone.  Null document ids sort first.  Repeated ids
+are kept as rows of their own, in the order of their contents' hash and of where they were read; a range of equal
+ids is split by these too.  An empty table writes no row and reads back as an empty one.  Columns beside the key and the text aren't read.
+A text is tokenized by one task.
 """
 
 from __future__ import annotations
@@ -14,36 +18,42 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, map_rows, shared_dir
+from .common import map_columns, map_rows, shared_dir, whole_ids
 from .word_tokens import WordIds
 
-FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
+FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>, file int, place long"
+FILES_PER_GROUP = 4096
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     def make():
         words = WordIds.of(tokenizer_path)
         end = np.uint32(end_id)
+        file, place = TaskContext.get().partitionId(), 0
 
         def some(keys, texts):
+            nonlocal place
             for k, ids in zip(keys.to_pylist(), words.ids_many(texts)):
                 ids = np.append(ids, end)
-                yield k, ids.size, ids.view("<i4")
+                yield k, ids.size, ids.view("<i4"), file, place
+                place += 1
 
         return some
 
     return map_columns(df, [key, text], FILE_SCHEMA, make, as_lists=False)
 
 
-def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 32 << 20, stripe_bytes: int = 16 << 20) -> None:
+def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 32 << 20, stripe_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> None:
     """Sort texts by id, tokenize in that order, write.  The texts are shuffled, once; ids are not."""
-    spark = df.sparkSession
+    df = whole_ids(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
     total = df.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     files = max(1, -(-(total["b"] or 0) // bytes_per_file))
-    ordered = df.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "content", "read_at"]
+    ordered = df.withColumns({"content": F.xxhash64("text"), "read_at": F.spark_partition_id()}).repartitionByRange(files, *order).sortWithinPartitions(*order)
     (
         tokenized(ordered, tokenizer_path, end_id)
         .write.option("compression", "zstd")
@@ -62,57 +72,57 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """Documents by id: the predicate reaches the ORC reader, which prunes stripes and row groups."""
-    return read_orc(spark, path).where(F.col("doc_id").isin(doc_ids))
+    return read_orc(spark, path).where(F.col("doc_id").isin(doc_ids)).drop("file", "place")
 
 
-def starts(df: DataFrame, size: Column, order: list[str], block: Column, sizes: DataFrame | None = None) -> DataFrame:
-    """Add ``start``, the sum of ``size`` over all rows before, in ascending ``order``.
+def file_bases(sizes: DataFrame, group: int = FILES_PER_GROUP) -> DataFrame:
+    """(file, base): the sum of all files before, from (file, size).
 
-    ``block`` must not decrease along ``order``.  Sizes are summed per block, the block sums are summed up over
-    the small block table, and rows are summed up inside their blocks only.  ``sizes``: where the same rows'
-    sizes can be read more cheaply.
+    Files are summed up within groups of ``group`` files; the groups, one in ``files / group``, in one row's array.
     """
-    rows = df.withColumn("_size", size).withColumn("_block", block)
-    sums = (df if sizes is None else sizes).select(size.alias("_size"), block.alias("_block"))
-    sums = sums.groupBy("_block").agg(F.sum("_size").alias("_sum"))
-    # two levels: blocks within groups of blocks, so that no window sees more than a bounded run of blocks
-    sums = sums.withColumn("_group", F.floor(F.col("_block") / 4096))
-    groups = sums.groupBy("_group").agg(F.sum("_sum").alias("_gsum"))
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_gbase", F.coalesce(F.sum("_gsum").over(before), F.lit(0))).select("_group", "_gbase")
-    inside = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_bbase", F.coalesce(F.sum("_sum").over(inside), F.lit(0)))
-    bases = sums.join(groups, sums["_group"].eqNullSafe(groups["_group"])).select("_block", (F.col("_bbase") + F.col("_gbase")).alias("_base"))
-    bases = bases.withColumnRenamed("_block", "_of")
-    within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(bases, rows["_block"].eqNullSafe(bases["_of"]))
-        .withColumn("start", F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
-        .drop("_size", "_block", "_base", "_of")
-    )
+    files = sizes.withColumn("g", F.floor(F.col("file") / group))
+    inside = Window.partitionBy("g").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    groups = sizes.groupBy(F.floor(F.col("file") / group).alias("g")).agg(F.sum("size").alias("size"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct("g", "size"))).alias("all"))
+    sums = F.aggregate("all", F.array(F.lit(0).cast("long")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x["size"]))
+    bases = listed.select(F.explode(F.arrays_zip(F.col("all.g").alias("g"), F.slice(sums, 1, F.size("all")).alias("base"))).alias("x"))
+    return files.join(bases.select(F.col("x.g").alias("g"), F.col("x.base").alias("group_base")), "g").select("file", (F.col("before") + F.col("group_base")).alias("base"))
+
+
+def starts(df: DataFrame, sizes: DataFrame, rows_per_block: int) -> DataFrame:
+    """Add ``start``, the sum of ``n_tokens`` over all rows before, in order of file and place.
+
+    ``sizes``: the same rows' file, place and n_tokens, where they can be read more cheaply.
+    """
+    block = F.floor(F.col("place") / rows_per_block).alias("block")
+    blocks = sizes.groupBy("file", block).agg(F.sum("n_tokens").alias("size"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    bases = file_bases(blocks.groupBy("file").agg(F.sum("size").alias("size")))
+    blocks = blocks.join(bases, "file").select("file", "block", (F.col("before") + F.col("base")).alias("base"))
+    within = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("block", block).join(blocks, ["file", "block"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
 
 
 def digests(df: DataFrame) -> DataFrame:
     """Counts and checksums of the ids as the files hold them."""
 
     def make():
-        def one(k, n, ids):
+        def one(k, n, ids, file, place):
             raw = np.ascontiguousarray(ids, "<i4")
-            yield k, int(raw.size), zlib.crc32(raw.tobytes())
+            yield k, int(raw.size), zlib.crc32(raw.tobytes()), file, place
 
         return one
 
-    return map_rows(df, ["doc_id", "n_tokens", "ids"], "doc_id long, n_tokens long, ids_crc32 long", make)
+    return map_rows(df, ["doc_id", "n_tokens", "ids", "file", "place"], "doc_id long, n_tokens long, ids_crc32 long, file int, place long", make)
 
 
-def store_documents(df: DataFrame, tokenizer_path: str, end_id: int, rows_per_block: int = 2048) -> DataFrame:
+def store_documents(df: DataFrame, tokenizer_path: str, end_id: int, rows_per_block: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write, read back, and report doc_id, start, n_tokens, ids_crc32."""
     spark = df.sparkSession
     path = shared_dir(spark, "orc-ids")
-    write_orc(df, path, tokenizer_path, end_id)
-    back = digests(read_orc(spark, path))
-    # ids cut into blocks by value: null first
-    block = F.coalesce(F.floor(F.col("doc_id") / rows_per_block), F.lit(-(1 << 60)))
-    narrow = read_orc(spark, path).select("doc_id", "n_tokens")  # the column of ids isn't read for these
-    out = starts(back, F.col("n_tokens"), ["doc_id", "n_tokens", "ids_crc32"], block, narrow)
-    return out.select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
+    write_orc(df, path, tokenizer_path, end_id, key=key, text=text)
+    narrow = read_orc(spark, path).select("file", "place", "n_tokens")  # the column of ids isn't read for these
+    out = starts(digests(read_orc(spark, path)), narrow, rows_per_block)
+    return out.select(F.col("doc_id").alias(key), F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
