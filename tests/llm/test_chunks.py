@@ -44,15 +44,20 @@ def test_round_trip(spark, tmp_path, parts):
     assert sorted((str(r.key), bytes(r.payload)) for r in got) == sorted((str(k), m.payload_of(t and t.encode())) for k, t in rows)
     chunks = spark.read.parquet(f"{path}/chunks").collect()
     assert len(chunks) == len({bytes(r.digest) for r in chunks}) > 0
-    held = sum(len(r.body) for r in chunks) + sum(len(r.own) for r in spark.read.parquet(f"{path}/objects").collect())
+    held = sum(len(r.body) for r in chunks) + sum(len(r.media) for r in spark.read.parquet(f"{path}/objects").collect())
     assert held < 0.6 * sum(len(r.payload) for r in got)
     out = m.store_documents(docs).collect()
+    stored = {}  # what the table of containers holds for each text
+    for r in spark.read.parquet(f"{path}/objects").collect():
+        media = bytes(r.media)
+        stored.setdefault(TEXTS[r.key] if r.key is not None else "short", set()).add((len(media), hashlib.sha256(media).hexdigest()))
     by_text = {}
     for r in out:
         t = TEXTS[r.doc_id] if r.doc_id is not None else "short"
         p = m.payload_of(t and t.encode())
         assert r.n_bytes == len((t or "").encode()) and r.payload_bytes == len(p) and r.payload_sha256 == hashlib.sha256(p).hexdigest()
         assert r.tail_crc32 == zlib.crc32(p[-32:]) and p[: r.n_bytes] == (t or "").encode() and len(p) % 576 == 0
+        assert (r.media_bytes, r.media_sha256) in stored[t]
         by_text.setdefault(t, set()).add((r.media_bytes, r.media_sha256, r.feature))
     assert all(len(x) == 1 for x in by_text.values()) and len(out) == len(rows)
     assert m.store_documents(docs.limit(0)).count() == 0
@@ -63,3 +68,16 @@ def test_bits(spark):
     bits = bits_of(spark.createDataFrame([(n,) for n in numbers], "x long"), "x")
     assert bits.perhaps(np.asarray(numbers)).all()
     assert not bits.perhaps(np.asarray([2, 9, 40_000])).any()
+
+
+def test_broken_containers_are_refused():
+    chunks = m.cut(PASSAGE.encode())
+    names = [hashlib.sha256(c).digest() for c in chunks]
+    media = m.container(chunks, names, [i % 2 == 0 for i in range(len(chunks))])
+    bodies = dict(zip(names, chunks))
+    assert m.opened(media, bodies) == chunks
+    for broken in (media[:-1], media[:50] + b"?" + media[51:], b"CDC2" + media[4:]):
+        with pytest.raises((ValueError, KeyError)):
+            m.opened(broken, bodies)
+    with pytest.raises(ValueError):
+        m.opened(media, {d: c + b"x" for d, c in bodies.items()})

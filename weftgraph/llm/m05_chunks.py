@@ -1,15 +1,17 @@
 """Media payloads as content-defined chunks.
 
 A rolling gear hash cuts each payload where the hash's leading bits are zero, so that equal passages are cut alike
-wherever they stand.  Chunks are known by their SHA-256.  A chunk of one payload alone is kept beside that payload's
-ordered chunk list; a chunk that several payloads share is kept once, in a table of its own, found by counting
-digests in Spark.  Reading joins the lists with that table, rebuilds each payload and verifies every digest.
+wherever they stand.  Chunks are known by their SHA-256.  A payload is stored as a container: the ordered list of its
+chunks, each with length and digest, and the bytes of those that no other payload has.  A chunk that several payloads
+share is kept once, in a table of its own, found by counting digests in Spark; containers only name it.  Reading joins
+containers with that table, rebuilds each payload and verifies every digest.
 
-The store has two Parquet tables, ``objects`` (one row per payload: its chunk list, its unshared bytes) and
-``chunks`` (one row per shared digest).  Payloads without a shared chunk are read without a shuffle.
+The store has two Parquet tables, ``objects`` (one row per payload: its container, and the digests that it only names)
+and ``chunks`` (one row per shared digest).  Payloads without a shared chunk are read without a shuffle.
 
 A null or empty text gives the padding alone.  Repeated rows are stored as often as they occur, sharing all
-chunks; null keys are kept; an empty table gives empty tables.
+chunks; null keys are kept; an empty table gives empty tables.  Columns beside the key and the text aren't read.  A
+payload is held by one task, which takes about 30 times its bytes for the gear hash.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_of, map_rows, shared_dir, staged
+from .common import bits_of, discard, map_rows, shared_dir, staged
 
 UNIT, FILL = 576, b"\xff"
 LEAST, USUAL_BITS, MOST = 256, 10, 4096
@@ -93,7 +96,37 @@ def digests(df: DataFrame, text: str) -> DataFrame:
     return map_rows(df, [text], "slot long, digest binary", make)
 
 
-OBJECTS = "row long, key {}, n_bytes long, digests array<binary>, lengths array<int>, shared array<boolean>, own binary"
+OBJECTS = "row long, key {}, n_bytes long, media binary, refs array<binary>"
+MAGIC, ELSEWHERE = b"CDC1", 1 << 31
+
+
+def container(chunks: list[bytes], names: list[bytes], shared: list[bool]) -> bytes:
+    """The stored form of a payload: per chunk its length (with the top bit for a chunk kept elsewhere), its digest, and
+    its bytes unless kept elsewhere."""
+    out = [MAGIC]
+    for c, d, s in zip(chunks, names, shared):
+        out += [struct.pack("<I", len(c) | ELSEWHERE * s), d] if s else [struct.pack("<I", len(c)), d, c]
+    return b"".join(out)
+
+
+def opened(media: bytes, bodies: dict[bytes, bytes]) -> list[bytes]:
+    """The verified chunks of a container; ``bodies`` has those kept elsewhere."""
+    if media[:4] != MAGIC:
+        raise ValueError("not a container")
+    out, at = [], 4
+    while at < len(media):
+        (size,) = struct.unpack_from("<I", media, at)
+        d, at = media[at + 4 : at + 36], at + 36
+        if size & ELSEWHERE:
+            c = bodies[d]
+            size ^= ELSEWHERE
+        else:
+            c = media[at : at + size]
+            at += size
+        if len(c) != size or hashlib.sha256(c).digest() != d:
+            raise ValueError("a chunk doesn't match its digest")
+        out.append(c)
+    return out
 
 
 def write_store(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
@@ -101,6 +134,7 @@ def write_store(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
     repeated = digests(df, text).groupBy("slot", "digest").agg(F.count("*").alias("n")).where("n > 1").select("slot")
     repeated = staged(repeated, "chunk-slots", rows=df.count())
     bits = spark.sparkContext.broadcast(bits_of(repeated, "slot"))  # perhaps shared: sure for all that are
+    discard(repeated)
 
     def make():
         task, count = TaskContext.get().partitionId() << 40, 0
@@ -111,7 +145,7 @@ def write_store(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
             chunks = cut(payload_of(raw))
             names = [hashlib.sha256(c).digest() for c in chunks]
             shared = perhaps(np.fromiter(map(slot, names), np.int64, len(names))).tolist()
-            yield task + count, k, len(raw or b""), names, [*map(len, chunks)], shared, b"".join(c for c, s in zip(chunks, shared) if not s)
+            yield task + count, k, len(raw or b""), container(chunks, names, shared), list(dict.fromkeys(d for d, s in zip(names, shared) if s))
             count += 1
 
         return one
@@ -138,66 +172,50 @@ def write_store(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
     bodies.groupBy("digest").agg(F.first("body").alias("body")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
 
-def container(names: list[bytes], chunks: list[bytes]) -> bytes:
-    """The stored form of one payload by itself: its chunk list in order, each with length, digest and bytes."""
-    return b"CDC1" + b"".join(struct.pack("<I", len(c)) + d + c for d, c in zip(names, chunks))
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(key, n_bytes, digests, lengths, payload), every chunk verified against its digest."""
+def read_with(spark: SparkSession, path: str, schema: str, finish: Callable[..., tuple]) -> DataFrame:
+    """``finish(key, n_bytes, chunks, media)`` of every payload, as rows of ``schema``; every chunk is verified."""
     objects = spark.read.parquet(f"{path}/objects")
     chunks = spark.read.parquet(f"{path}/chunks")
-    kind = objects.schema["key"].dataType.simpleString()
 
     def rebuild():
-        def one(k, n, names, lengths, shared, own, bodies):
-            found = {i: bytes(b) for i, b in ((x["i"], x["body"]) for x in bodies or [])}
-            out, at = [], 0
-            for i, (d, size, s) in enumerate(zip(names, lengths, shared)):
-                if s:
-                    c = found[i]
-                else:
-                    c = own[at : at + size]
-                    at += size
-                if hashlib.sha256(c).digest() != d:
-                    raise ValueError("a chunk doesn't match its digest")
-                out.append(c)
-            yield k, n, names, [int(x) for x in lengths], b"".join(out)
+        def one(k, n, media, bodies):
+            yield finish(k, n, opened(media, {bytes(x["digest"]): bytes(x["body"]) for x in bodies or []}), media)
 
         return one
 
-    refs = objects.where(F.exists("shared", lambda s: s)).select("row", F.explode(F.filter(F.transform(F.arrays_zip("digests", "shared"), lambda x, i: F.struct(i.alias("i"), x["digests"].alias("digest"), x["shared"].alias("s"))), lambda x: x["s"])).alias("x"))
-    refs = refs.select("row", F.col("x.i").alias("i"), F.col("x.digest").alias("digest"))
-    bodies = refs.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("i", "body")).alias("bodies"))  # a payload's own
-    columns = ["key", "n_bytes", "digests", "lengths", "shared", "own", "bodies"]
-    none = F.lit(None).cast("array<struct<i:int,body:binary>>").alias("bodies")
-    mixed = objects.where(F.exists("shared", lambda s: s)).join(bodies, "row").select(*columns)
-    single = objects.where(~F.exists("shared", lambda s: s)).select(*columns[:-1], none)
-    schema = f"key {kind}, n_bytes long, digests array<binary>, lengths array<int>, payload binary"
+    refs = objects.where(F.size("refs") > 0).select("row", F.explode("refs").alias("digest"))
+    bodies = refs.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))  # a payload's own
+    columns = ["key", "n_bytes", "media", "bodies"]
+    none = F.lit(None).cast("array<struct<digest:binary,body:binary>>").alias("bodies")
+    mixed = objects.where(F.size("refs") > 0).join(bodies, "row").select(*columns)
+    single = objects.where(F.size("refs") == 0).select(*columns[:-1], none)
     return map_rows(single, columns, schema, rebuild).unionByName(map_rows(mixed, columns, schema, rebuild))
 
 
-def features(df: DataFrame) -> DataFrame:
-    """Digests of what was read back, and a feature string: chunks, their mean size, and the bytes' mean and spread."""
-    kind = df.schema["key"].dataType.simpleString()
+def key_type(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path}/objects").schema["key"].dataType.simpleString()
 
-    def make():
-        def one(k, n, names, lengths, payload):
-            cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-            media = container(names, [payload[a:b] for a, b in zip(cuts, cuts[1:])])
-            values = np.frombuffer(payload, np.uint8).astype(np.int64)
-            spread = int((values * values).sum()) // values.size - (int(values.sum()) // values.size) ** 2
-            feature = f"chunks={len(names)};chunk_bytes={len(payload) // len(names)};mean={int(values.sum()) // values.size};spread={spread}"
-            yield k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-        return one
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """(key, n_bytes, lengths, payload, media)."""
+    schema = f"key {key_type(spark, path)}, n_bytes long, lengths array<int>, payload binary, media binary"
+    return read_with(spark, path, schema, lambda k, n, chunks, media: (k, n, [*map(len, chunks)], b"".join(chunks), media))
 
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_rows(df, ["key", "n_bytes", "digests", "lengths", "payload"], schema, make)
+
+def features(k, n: int, chunks: list[bytes], media: bytes) -> tuple:
+    """Digests of what was read back, and a feature string: chunks, their mean size, and the bytes' mean and spread."""
+    payload = b"".join(chunks)
+    values = np.frombuffer(payload, np.uint8).astype(np.int64)
+    mean = int(values.sum()) // values.size
+    spread = int((values * values).sum()) // values.size - mean**2
+    feature = f"chunks={len(chunks)};chunk_bytes={len(payload) // len(chunks)};mean={mean};spread={spread}"
+    return k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def store_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the store into shared storage, read it back, and report on the bytes read."""
-    path = shared_dir(df.sparkSession, "chunks")
+    spark = df.sparkSession
+    path = shared_dir(spark, "chunks")
     write_store(df, path, key, text)
-    return features(read_store(df.sparkSession, path)).withColumnRenamed("key", key)
+    schema = f"key {key_type(spark, path)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return read_with(spark, path, schema, features).withColumnRenamed("key", key)
