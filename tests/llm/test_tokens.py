@@ -190,16 +190,51 @@ def test_packing(docs, per_partition):
     assert m03_packing.pack(docs.limit(0), queries.WORD_BPE, 1).count() == 0
 
 
+def plain_hilbert(point, bits):
+    """The curve's definition cell by cell, one point and one bit at a time."""
+    x, n = list(point), len(point)
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        t ^= q - 1 if x[n - 1] & q else 0
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
 def test_hilbert_curve_is_continuous():
     for n, bits in ((2, 4), (3, 3), (4, 2)):
         side = 1 << bits
-        points = {}
-        for k in range(side**n):
-            p, x = [], k
-            for _ in range(n):
-                p.append(x % side)
-                x //= side
-            points[m03_packing.hilbert_key(p, bits)] = p
+        grid = np.array(np.meshgrid(*[range(side)] * n)).reshape(n, -1).T
+        keys = m03_packing.hilbert_keys(grid, bits)
+        assert keys.tolist() == [plain_hilbert(p, bits) for p in grid.tolist()]
+        points = dict(zip(keys.tolist(), grid.tolist()))
         assert sorted(points) == list(range(side**n))
         for k in range(side**n - 1):
             assert sum(abs(a - b) for a, b in zip(points[k], points[k + 1])) == 1
+
+
+def test_packing_follows_the_curve(spark):
+    """Documents of a topic, dealt at random, end up next to each other; the pieces' order is that of the plain keys."""
+    rng = np.random.default_rng(8)
+    topics = [[f"{c}{i}" for i in range(30)] for c in ("alpha", "beta", "gamma", "delta", "mu", "nu")]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], 60))) for i in rng.permutation(240).tolist()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = m03_packing.pack(df, queries.WORD_BPE, 1, 512).collect()
+    order = list(dict.fromkeys(r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))))
+    projector = m03_packing.Projector(WordIds.of(queries.WORD_BPE).size)
+    texts = dict(rows)
+    keys = {}
+    for k, t in texts.items():
+        y = projector.place(np.asarray(word_ids(t) + [1]))
+        cell = np.clip((1 / (1 + np.exp(-1.702 * y)) * (1 << projector.bits)).astype(int), 0, (1 << projector.bits) - 1)
+        keys[k] = plain_hilbert(cell.tolist(), projector.bits)
+    assert order == sorted(texts, key=lambda k: (keys[k], k))
+    alike = sum(a % 6 == b % 6 for a, b in zip(order, order[1:])) / (len(order) - 1)
+    assert alike > 0.5  # 0.17 by chance

@@ -7,8 +7,9 @@ another into sequences of a fixed length: neighbours on the curve, which are ali
 are cut where a sequence ends, so only the last sequence of a partition has padding; partitions are sized in
 tokens, which keeps padding below ``length / tokens_per_partition``.
 
-A null text is an empty document: its end id alone.  Repeated rows are packed as often as they occur.  An empty
-table gives no piece.  Null ids sort first.
+Ids are integers.  A null text is an empty document: its end id alone.  Repeated rows are packed as often as they
+occur.  An empty table gives no piece.  Null ids sort first.  Columns beside the key and the text aren't read.  A text
+is tokenized by one task and travels as one row of two bytes per token.
 """
 
 from __future__ import annotations
@@ -21,39 +22,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, ship, staged, to_batch
+from .common import map_columns, ship, staged, to_batch, whole_ids
 from .word_tokens import WordIds
 
 DIMENSIONS, BITS, BUCKETS, SEED = 4, 8, 4096, 20_210_917
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def hilbert_key(point: list[int], bits: int) -> int:
-    """Position of an integer point (coordinates below ``2**bits``) on the Hilbert curve, after Skilling (2004)."""
-    x, n = list(point), len(point)
+def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of integer points (one per row, coordinates below ``2**bits``) on the Hilbert curve, after Skilling
+    (2004); all points go through each step together."""
+    x = [c.astype(np.int64) for c in np.asarray(points).T]
+    n = len(x)
     q = 1 << (bits - 1)
     while q > 1:  # undo the rotations, from the coarsest cell down
         low = q - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= low
-            else:
-                swap = (x[0] ^ x[i]) & low
-                x[0] ^= swap
-                x[i] ^= swap
+            high = (x[i] & q) > 0
+            swap = np.where(high, 0, (x[0] ^ x[i]) & low)
+            x[0] = x[0] ^ np.where(high, low, swap)
+            if i:
+                x[i] = x[i] ^ swap
         q >>= 1
     for i in range(1, n):  # Gray code
-        x[i] ^= x[i - 1]
-    flip, q = 0, 1 << (bits - 1)
+        x[i] = x[i] ^ x[i - 1]
+    flip, q = np.zeros(len(x[0]), np.int64), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            flip ^= q - 1
+        flip = flip ^ np.where(x[n - 1] & q, q - 1, 0)
         q >>= 1
-    x = [v ^ flip for v in x]
-    key = 0
+    key = np.zeros(len(x[0]), np.int64)
     for b in range(bits - 1, -1, -1):
         for v in x:
-            key = key << 1 | v >> b & 1
+            key = key << 1 | (v ^ flip) >> b & 1
     return key
 
 
@@ -66,12 +66,14 @@ class Projector:
         self.bucket = rng.integers(0, buckets, vocabulary)
         self.matrix = rng.standard_normal((buckets, dimensions))
 
-    def key(self, ids: np.ndarray) -> int:
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """A document's point before it is cut into cells."""
         counts = np.bincount(self.bucket[ids], minlength=self.buckets)
-        norm = float(np.sqrt((counts * counts).sum())) or 1.0
-        y = counts @ self.matrix / norm
-        cells = (1 / (1 + np.exp(-1.702 * y)) * (1 << self.bits)).astype(int)  # near the normal distribution's quantile
-        return hilbert_key(np.clip(cells, 0, (1 << self.bits) - 1).tolist(), self.bits)
+        return counts @ self.matrix / (float(np.sqrt((counts * counts).sum())) or 1.0)
+
+    def keys(self, places: list[np.ndarray]) -> np.ndarray:
+        cells = (1 / (1 + np.exp(-1.702 * np.asarray(places))) * (1 << self.bits)).astype(np.int64)  # near the normal distribution's quantile
+        return hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1), self.bits)
 
 
 def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,9 +86,13 @@ def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
         end = np.uint32(end_id)
 
         def some(keys, texts):
-            for k, ids in zip(keys.to_pylist(), words.ids_many(texts)):
+            documents, places = [], []
+            for ids in words.ids_many(texts):
                 ids = np.append(ids, end)
-                yield projector.key(ids), k, ids.size, ids.astype(kind).tobytes()
+                places.append(projector.place(ids))
+                documents.append((ids.size, ids.astype(kind).tobytes()))
+            if documents:
+                yield from ((p, k, n, raw) for p, k, (n, raw) in zip(projector.keys(places).tolist(), keys.to_pylist(), documents))
 
         return some
 
@@ -96,6 +102,7 @@ def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
 def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, tokens_per_partition: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     ship(df.sparkSession)
+    df = whole_ids(df, key)
     placed = staged(curve_documents(df, tokenizer_path, end_id, key, text), "curve")  # else sorting would tokenize twice
     tokens = placed.agg(F.sum("n_tokens")).first()[0] or 0
     partitions = max(1, -(-tokens // tokens_per_partition))
