@@ -219,7 +219,7 @@ def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)) if len(doc) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc))[: len(first)] - 1
-    return doc[first], start[first] | start[last] - start[first] + 1 << 32
+    return doc[first], start[first] | (start[last] - start[first] + 1) << 32
 
 
 def copies(df: DataFrame, rows: int) -> DataFrame:
@@ -258,7 +258,7 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
                 return
             a, b = window_hashes(lanes, at, window)
             doc, start = ids.to_numpy()[document[at]], place[at]
-            order = np.lexsort((doc, b, a))
+            order = np.lexsort((start, doc, b, a))
             a, b, doc, start = a[order], b[order], doc[order], start[order]
             first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             begin = np.flatnonzero(first)
@@ -268,12 +268,17 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
             met.add(a[begin][several], b[begin][several], doc[begin][several])
             # what is settled goes along as runs, marked by a negative number, dealt by their documents
             run_doc, run = runs_of(doc[known], start[known])
-            open_ = ~known
+            # one word over and over gives equal windows next to each other: these are one row
+            same = ~first
+            same[1:] &= (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)
+            open_ = np.flatnonzero(~known & ~same)  # a run's windows are known together
+            begins = np.append(np.flatnonzero(~same), len(a))
+            length = begins[np.searchsorted(begins, open_) + 1] - open_
             yield (
                 np.concatenate([mixed(run_doc.view(np.uint64) + MIX[0]).view(np.int64), a[open_]]),
                 np.concatenate([np.zeros(len(run), np.int64), b[open_]]),
                 np.concatenate([run_doc, doc[open_]]),
-                np.concatenate([-1 - run, start[open_]]),
+                np.concatenate([-1 - run, start[open_] | length << 32]),
             )
 
         return some
@@ -300,7 +305,7 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
                 marks[open_] = d > mins[np.cumsum(first) - 1]
                 last_a, last_b, least = x[-1], y[-1], mins[-1]
             if marks.any():
-                runs = np.where(runs < 0, -1 - runs, runs | 1 << 32)[marks]
+                runs = np.where(runs < 0, -1 - runs, runs)[marks]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[marks], pa.int64()), pa.array(runs, pa.int64())], schema=arrow)
 
     dealt = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "doc_id")
