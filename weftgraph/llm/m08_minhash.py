@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Memo, bits_of, discard, map_arrays, map_columns, map_rows, members_of, shared_dir, spread_id, staged, whole_ids
 
-BANDS, ROWS, SEED, BLOCK, BATCH = 40, 6, 8_128, 1000, 40
+BANDS, ROWS, SEED, BLOCK, BATCH = 60, 8, 8_128, 1000, 40
 BLOCK_BYTES = 8 << 20
+COMPARED = 240  # values of a signature that pairs are compared by
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -73,14 +74,14 @@ class Signer:
         self.fold = rng.integers(1, 1 << 63, rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys (non-negative 63-bit), and the signature's low 16 bits per value."""
+        """Band keys (non-negative 63-bit), and the low 16 bits of the signature's first ``COMPARED`` values."""
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         least = np.full(self.bands * self.rows, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(x), 512):
             np.minimum(least, np.multiply.outer(self.factors, x[at : at + 512]).min(axis=1), out=least)
         keys = (mixed(least.reshape(self.bands, self.rows).astype(np.uint64)) * self.fold).sum(axis=1, dtype=np.uint64)
         keys = mixed(keys + np.arange(self.bands, dtype=np.uint64) * MIX[0])
-        return (keys >> np.uint64(1)).astype(np.int64), least.astype(np.uint16)
+        return (keys >> np.uint64(1)).astype(np.int64), least[:COMPARED].astype(np.uint16)
 
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
@@ -258,7 +259,7 @@ def near_duplicates(
     for end in ("a", "b"):
         side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), F.col("shingles").alias("x" + end))
         stars = stars.join(side.hint("merge"), end)  # the same plan at every size: sets are shuffled, never broadcast
-    links = staged(confirmed(stars, percent, miss, bands * rows), "minhash-links", rows=size)
+    links = staged(confirmed(stars, percent, miss, min(COMPARED, bands * rows)), "minhash-links", rows=size)
     first = components(links, "a", "b")
 
     # clusters: components that share a bucket
