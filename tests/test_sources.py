@@ -51,6 +51,23 @@ def test_malformed_lines(spark):
         ntriples.parse_lines(df, mode="OTHER")
 
 
+def test_long_literals(spark):
+    rows = [("a" * n, "literal") for n in (10**4, 10**6)] + [('\\\\\\"' * n, "literal") for n in (10**4, 10**5)] + [("http://" + "x" * 10**6, "iri")]
+    df = spark.createDataFrame([(A, LABEL, o, k, "" if k == "iri" else "@en") for o, k in rows], "s string, p string, o string, o_kind string, ext string")
+    text = ntriples.lines_of(df)
+    for mode in ntriples.MODES:
+        assert sorted(ntriples.parse_lines(text, mode=mode).select("o", "o_kind").collect()) == sorted(rows)
+    open_ = text.select(F.expr("substr(value, 1, length(value) - 8)").alias("value"))
+    assert ntriples.parse_lines(open_, mode="DROPMALFORMED").count() == 0
+    assert ntriples.parse_lines(open_, mode="PERMISSIVE").where("_corrupt IS NOT NULL").count() == len(rows)
+    odd = lines(spark, [f'<{A}> <{LABEL}> "a\x01b>c\x85d\u2028e" . # \x85', f'<{A}> <{LABEL}> "a>b"^^<http://d> .', f"<{A}> <{LABEL}> <> .", None])
+    assert sorted((r.o, r.o_kind, r.ext) for r in ntriples.parse_lines(odd.withColumn("_parts", F.lit(1))).collect()) == [
+        ("", "iri", ""),
+        ("a\x01b>c\x85d\u2028e", "literal", ""),
+        ("a>b", "literal", "^^<http://d>"),
+    ]
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.nt").write_text("\n".join(x for x, _ in GOOD))  # no final newline
     df = ntriples.read_ntriples(spark, str(tmp_path / "a.nt"))
@@ -80,6 +97,37 @@ def test_wiki_tars(spark, tmp_path):
     assert ntriples.read_wiki_tars(spark, str(tmp_path / "*.tar.gz"), ["homepages"]).count() == 0
 
 
+def test_tar_streams(spark, tmp_path):
+    """Members of many sizes, with long names, without a final newline, beside members that aren't wanted."""
+    want = []
+    for file, shape in (("1~en~a~a.host.tar.gz", tarfile.PAX_FORMAT), ("2~en~b~b.host.tar.gz", tarfile.GNU_FORMAT), ("3~en~c~c.host.tar.gz", tarfile.USTAR_FORMAT)):
+        with tarfile.open(tmp_path / file, "w:gz", format=shape) as tar:
+            for i, n in enumerate((0, 1, 3, 40, 700)):
+                folder = "d" * (60 if shape == tarfile.USTAR_FORMAT else 120)
+                name = f"{folder}/enwiki-20170801-labels{i}" + "x" * 30 + ".ttl"
+                text = "".join(f"line é {i} {k}\r{'y' * (k * 7 % 600)}\n" for k in range(n))[: None if i % 2 else -1]
+                for m, body in ((name, text), (f"other{i}.txt", "z\n" * 300)):
+                    info = tarfile.TarInfo(m)
+                    info.size = len(body.encode())
+                    tar.addfile(info, io.BytesIO(body.encode()))
+                want += [(file, name, x) for x in text.removesuffix("\n").split("\n") if text]
+    got = ntriples.member_lines(spark, str(tmp_path / "*.tar.gz")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_alignment_details(spark, tmp_path):
+    df = spark.createDataFrame([("a~b", "http://a/1", "http://b/1", "=", 1.0), ("a~c", "http://a/1", "null", "%", 1.0)], "pair string, source string, target string, relation string, confidence double")
+    onto = "struct<about:string,location:string,formalism:string,formalism_uri:string>"
+    details = spark.createDataFrame([("a~b", ("http://a&b", "file:a<b", "OWL", "http://owl"), ("http://b", "", "", ""))], f"pair string, onto1 {onto}, onto2 {onto}")
+    for r in alignment.documents(df, {"method": "by <hand> & eye"}, details).collect():
+        (tmp_path / f"{r.pair}~evaluation.xml").write_text(r.xml)
+    got = {r.pair: r for r in alignment.read_details(spark, str(tmp_path / "*.xml")).collect()}
+    assert got["a~b"].onto1.asDict() == {"about": "http://a&b", "location": "file:a<b", "formalism": "OWL", "formalism_uri": "http://owl"}
+    assert got["a~b"].onto2.asDict() == {"about": "http://b", "location": "", "formalism": "", "formalism_uri": ""}
+    assert got["a~c"].onto1.about == "http://a" and got["a~c"].extension == got["a~b"].extension == {"method": "by <hand> & eye"}
+    assert alignment.read_alignments(spark, str(tmp_path / "*.xml")).count() == 2
+
+
 def test_alignment_round_trip(spark, tmp_path):
     rows = [("a~b", "http://a/resource/X&Y", "http://b/resource/<Z>", "=", 1.0), ("a~b", "http://a/resource/Q", "null", "%", 0.25), ("a~c", "null", "http://c/class/K", "%", 1.0)]
     df = spark.createDataFrame(rows, "pair string, source string, target string, relation string, confidence double")
@@ -97,11 +145,10 @@ def test_alignment_round_trip(spark, tmp_path):
 def test_dumps(spark, tmp_path):
     text = "<mediawiki>\n<siteinfo><sitename>Demo</sitename></siteinfo>\n<page>\n<title>Main Page</title>\n<ns>0</ns>\n</page>\n<page>\n<title>Talk:X</title>\n<ns>1</ns>\n</page>\n<page>\n<title>Real</title>\n<ns>0</ns>\n</page>\n</mediawiki>\n"
     (tmp_path / "d.xml").write_text(text)
-    found = dumps.numbered_lines(spark, str(tmp_path / "d.xml"))
-    assert sorted(r.title for r in dumps.page_titles(found).collect()) == ["Main Page", "Real"]
+    assert sorted(r.title for r in dumps.page_titles(spark, str(tmp_path / "d.xml")).collect()) == ["Main Page", "Real"]
     assert sorted(r.title for r in dumps.page_titles_xml(spark, str(tmp_path / "d.xml")).collect()) == ["Main Page", "Real"]
-    assert [r.site for r in dumps.site_names(found).collect()] == ["Demo"]
-    titles = dumps.page_titles(found).select(F.col("file").alias("domain"), "title")
+    assert [r.site for r in dumps.site_names(spark, str(tmp_path / "d.xml")).collect()] == ["Demo"]
+    titles = dumps.page_titles(spark, str(tmp_path / "d.xml")).select(F.col("file").alias("domain"), "title")
     assert [r.title for r in overlap.without_stop_titles(titles).collect()] == ["Real"]
 
 

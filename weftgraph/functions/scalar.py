@@ -1,4 +1,4 @@
-"""Column functions; all run inside whole-stage code generation."""
+"""Column functions, all in the JVM; those over arrays (``same_case``, ``dot``) interpret a lambda per element."""
 
 from __future__ import annotations
 
@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or one like it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -31,7 +39,7 @@ def local_name(uri: Column) -> Column:
 
 
 def after_prefix(uri: Column, length: int) -> Column:
-    return F.substring(uri, length + 1, 1 << 20)
+    return F.substr(uri, F.lit(length + 1), F.length(uri))
 
 
 def wiki_domain(url: Column) -> Column:
@@ -123,6 +131,17 @@ def xml_escaped(text: Column) -> Column:
     return text
 
 
+def xml_unescaped(text: Column) -> Column:
+    for sign, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
+def first_bytes(content: Column, n: int = 500) -> Column:
+    """The key by which contents are compared first."""
+    return F.substring(content, 1, n)
+
+
 def tokens(text: Column) -> Column:
     return F.split(strip(text), r"\s+")
 

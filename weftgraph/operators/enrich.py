@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import LITERAL, THING
+from ..functions.scalar import triple_line
+from ..schemas import DOMAIN_P, LITERAL, RANGE_P, SUBCLASS_P, THING, TYPE_P
 from .storage import cut
 
 
@@ -98,3 +99,30 @@ def supported(found: DataFrame, mapping: DataFrame, closure: DataFrame) -> DataF
     met = found.join(a, "sub").join(b, "super")
     related = closure.select(F.col("sub").alias("_a"), F.col("super").alias("_b"))
     return met.join(related, ["_a", "_b"], "left_semi").select(*found.columns).distinct()
+
+
+def _statements(s, p, o) -> list:
+    return [s.alias("s"), p.alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("ext")]
+
+
+def restriction_triples(found: DataFrame) -> DataFrame:
+    """Domain and range statements, as triples, from (p, side, type)."""
+    side = F.when(F.col("side") == "domain", F.lit(DOMAIN_P)).otherwise(F.lit(RANGE_P))
+    return found.select(*_statements(F.col("p"), side, F.col("type")))
+
+
+def type_triples(found: DataFrame) -> DataFrame:
+    """Type statements, as triples, from (s, o)."""
+    return found.select(*_statements(F.col("s"), F.lit(TYPE_P), F.col("o")))
+
+
+def subclass_triples(found: DataFrame) -> DataFrame:
+    """Subclass statements, as triples, from (sub, super)."""
+    return found.select(*_statements(F.col("sub"), F.lit(SUBCLASS_P), F.col("super")))
+
+
+def subclass_lines(found: DataFrame) -> DataFrame:
+    """Lines of N-Triples from (sub, super, ratio, label_sub, label_super), each with its evidence as a comment behind."""
+    line = triple_line(F.col("sub"), F.lit(SUBCLASS_P), F.col("super"), F.lit("iri"), F.lit(""))
+    name = lambda c: F.concat(F.lit("<<"), F.coalesce(c, F.lit("")), F.lit(">>"))
+    return found.select(F.concat_ws(" ", line, F.lit("#"), F.round("ratio", 6).cast("string"), F.lit(":"), name(F.col("label_sub")), F.lit("subclass of"), name(F.col("label_super"))).alias("value"))

@@ -28,10 +28,12 @@ WIKI_META = _struct(
     "full_dump_url:string full_compression:string full_date:string full_time:string"
 )
 
+# vocabulary (fixed values)
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 LABEL_P, TYPE_P, SUBCLASS_P = RDFS + "label", RDF + "type", RDFS + "subClassOf"
 DOMAIN_P, RANGE_P, LITERAL = RDFS + "domain", RDFS + "range", RDFS + "Literal"
 SAME_AS_P, EQ_CLASS_P, EQ_PROPERTY_P, THING = OWL + "sameAs", OWL + "equivalentClass", OWL + "equivalentProperty", OWL + "Thing"
+CLASS, DATATYPE_PROPERTY, OBJECT_PROPERTY = OWL + "Class", OWL + "DatatypeProperty", OWL + "ObjectProperty"
 NULL = "null"  # "no counterpart" in alignments

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import xml_escaped
+from ..functions.scalar import xml_escaped, xml_unescaped
 
+# the format's header and footer (fixed values)
 HEAD = """<?xml version="1.0" encoding="utf-8"?>
-<rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#">
+<rdf:RDF xmlns="http://knowledgeweb.semanticweb.org/heterogeneity/alignment" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xsd="http://www.w3.org/2001/XMLSchema#" xmlns:align="http://knowledgeweb.semanticweb.org/heterogeneity/alignment">
 <Alignment>
 <xml>yes</xml>
 <level>0</level>
@@ -41,6 +42,39 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# element names that the format itself uses; others are extension fields (fixed values)
+FORMAT_TAGS = ("entity1", "entity2", "relation", "measure", "Cell", "map", "Alignment", "xml", "level", "type", "onto1", "onto2", "Ontology", "location", "formalism", "Formalism")
+
+
+def read_details(spark: SparkSession, path: str) -> DataFrame:
+    """(pair, onto1, onto2, extension): of each ontology about, location, formalism and its URI; the extension fields as
+    a map.  Files are read from cell to cell, so their size doesn't matter."""
+    rows = spark.read.option("lineSep", "<map>").text(path).select("value", F.split(F.element_at(F.split("_metadata.file_path", "/"), -1), "~").alias("f"))
+    field = r"<(?:[\w.-]+:)?([\w.-]+)>([^<]*)</(?:[\w.-]+:)?\1>"
+    found = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(field), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))])
+    own = F.transform(F.filter(found, lambda x: ~x["k"].isin(*FORMAT_TAGS)), lambda x: F.struct(x["k"].alias("key"), xml_unescaped(x["v"]).alias("value")))
+
+    def ontology(i: int):
+        body = F.regexp_extract("value", rf"(?s)<onto{i}>(.*?)</onto{i}>", 1)
+        part = lambda pattern: xml_unescaped(F.trim(F.regexp_extract(body, pattern, 1)))
+        about = F.when(body.contains("<Ontology"), part(r'<Ontology[^>]*rdf:about="([^"]*)"')).otherwise(xml_unescaped(F.regexp_replace(body, r"^\s+|\s+$", "")))
+        return F.struct(
+            about.alias("about"),
+            part("<location>([^<]*)</location>").alias("location"),
+            part(r'<Formalism[^>]*align:name="([^"]*)"').alias("formalism"),
+            part(r'<Formalism[^>]*align:uri="([^"]*)"').alias("formalism_uri"),
+        )
+
+    pair = F.concat_ws("~", F.col("f")[0], F.col("f")[1])
+    head = F.col("value").contains("<Alignment")
+    return (
+        rows.select(pair.alias("pair"), *[F.when(head, ontology(i)).alias(f"onto{i}") for i in (1, 2)], own.alias("own"))
+        .groupBy("pair")
+        .agg(F.first("onto1", True).alias("onto1"), F.first("onto2", True).alias("onto2"), F.flatten(F.collect_list("own")).alias("own"))
+        .select("pair", "onto1", "onto2", F.map_from_entries("own").alias("extension"))
+    )
+
+
 def cells(alignment: DataFrame) -> DataFrame:
     """(pair, cell) as XML text."""
     text = F.concat(
@@ -57,17 +91,34 @@ def cells(alignment: DataFrame) -> DataFrame:
     return alignment.select("pair", text.alias("cell"))
 
 
-def documents(alignment: DataFrame, extension: dict[str, str] | None = None) -> DataFrame:
-    """(pair, xml): one document per pair, cells in order.  An alignment between two schemas is small."""
-    ontology = lambda i: F.concat(F.lit(f'<onto{i}><Ontology rdf:about="http://'), xml_escaped(F.split("pair", "~")[i - 1]), F.lit(f'"/></onto{i}>\n'))
-    fields = "".join(f"<{k}>{v}</{k}>\n" for k, v in (extension or {}).items())
+def documents(alignment: DataFrame, extension: dict[str, str] | None = None, ontologies: DataFrame | None = None) -> DataFrame:
+    """(pair, xml): one document per pair, cells in order.  An alignment between two schemas is small.
+
+    ``ontologies`` has ``onto1`` and ``onto2`` per pair, as ``read_details`` gives them; for others the name's parts stand.
+    """
+    if ontologies is None:
+        ontologies = alignment.select("pair").distinct().select("pair", *[F.lit(None).cast("struct<about:string,location:string,formalism:string,formalism_uri:string>").alias(f"onto{i}") for i in (1, 2)])
+
+    def ontology(i: int):
+        x = F.col(f"onto{i}")
+        about = F.coalesce(x["about"], F.concat(F.lit("http://"), F.split("pair", "~")[i - 1]))
+        formalism = F.concat(F.lit('<formalism><Formalism align:name="'), xml_escaped(x["formalism"]), F.lit('" align:uri="'), xml_escaped(x["formalism_uri"]), F.lit('"/></formalism>'))
+        inner = F.concat(
+            F.when(F.coalesce(x["location"], F.lit("")) != "", F.concat(F.lit("<location>"), xml_escaped(x["location"]), F.lit("</location>"))).otherwise(""),
+            F.when(F.coalesce(x["formalism"], F.lit("")) != "", formalism).otherwise(""),
+        )
+        end = F.when(inner == "", F.lit('"/>')).otherwise(F.concat(F.lit('">'), inner, F.lit("</Ontology>")))
+        return F.concat(F.lit(f'<onto{i}><Ontology rdf:about="'), xml_escaped(about), end, F.lit(f"</onto{i}>\n"))
+
+    fields = "".join(f"<{k}>{v}</{k}>\n" for k, v in ((k, v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")) for k, v in (extension or {}).items()))
     body = cells(alignment).groupBy("pair").agg(F.array_join(F.array_sort(F.collect_list("cell")), "\n").alias("body"))
+    body = body.join(ontologies.select("pair", "onto1", "onto2"), "pair", "left")
     return body.select("pair", F.concat(F.lit(HEAD), ontology(1), ontology(2), F.lit(fields), "body", F.lit("\n" + FOOT)).alias("xml"))
 
 
-def write_alignments(alignment: DataFrame, path: str, extension: dict[str, str] | None = None) -> None:
+def write_alignments(alignment: DataFrame, path: str, extension: dict[str, str] | None = None, ontologies: DataFrame | None = None) -> None:
     """A folder per pair with one XML document each."""
-    documents(alignment, extension).select("pair", F.col("xml").alias("value")).write.partitionBy("pair").text(path)
+    documents(alignment, extension, ontologies).select("pair", F.col("xml").alias("value")).write.partitionBy("pair").text(path)
 
 
 def read_hand_written(spark: SparkSession, path: str) -> DataFrame:

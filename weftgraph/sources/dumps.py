@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schemas import WIKI_META
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): whole files' lines in order.  A dump is one file; its lines are numbered where it is read."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
-    return lines.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+def _records(spark: SparkSession, path: str | list[str], mark: str) -> DataFrame:
+    """(file, value): the texts between one ``mark`` and the next, however long the file; a plain file is split."""
+    return spark.read.option("lineSep", mark).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
 
 
-def page_titles(lines: DataFrame) -> DataFrame:
-    """(file, title) of pages of the main name space: a title line followed by its ``<ns>0</ns>``."""
-    after = F.lead("value").over(Window.partitionBy("file").orderBy("line_no"))
-    found = lines.select("file", F.regexp_extract("value", "<title>(.*?)</title>", 1).alias("title"), F.contains(after, F.lit("<ns>0</ns>")).alias("main"))
-    return found.where("title <> '' AND main").select("file", "title")
+def page_titles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, title) of pages of the main name space: a title whose next line holds ``<ns>0</ns>``."""
+    title = F.regexp_extract("value", r"^([^\n]*?)</title>[^\n]*\n[^\n]*<ns>0</ns>", 1)
+    return _records(spark, path, "<title>").select("file", title.alias("title")).where("title <> ''")
 
 
 def page_titles_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +26,27 @@ def page_titles_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("ns = '0'").select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "title")
 
 
-def site_names(lines: DataFrame) -> DataFrame:
-    """(file, site): the first ``<sitename>`` of each file."""
-    found = lines.select("file", "line_no", F.regexp_extract("value", "<sitename>(.*?)</sitename>", 1).alias("site")).where("site <> ''")
-    return found.groupBy("file").agg(F.min_by("site", "line_no").alias("site"))
+def site_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, site): the ``<sitename>`` of each file; of several the smallest."""
+    found = _records(spark, path, "<sitename>").select("file", F.regexp_extract("value", r"^([^\n]*?)</sitename>", 1).alias("site"))
+    return found.where("site <> ''").groupBy("file").agg(F.min("site").alias("site"))
+
+
+def listing(paths: Column) -> Column:
+    """The parts of a dump's path ``.../id~lang~name~host.tar.gz``: (wiki_id, lang, domain, file)."""
+    file = F.element_at(F.split(paths, "/"), -1)
+    part = lambda i: S.name_part(file, i)
+    return F.struct(part(0).try_cast("long").alias("wiki_id"), part(1).alias("lang"), part(2).alias("domain"), file.alias("file"))
+
+
+def read_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length, wiki_id, lang, domain, file) of files; their contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", listing(F.col("path")).alias("x")).select("path", "length", "x.*")
+
+
+def natural_order(df: DataFrame, name: str) -> DataFrame:
+    """By the number that a file's name begins with, then by name."""
+    return df.orderBy(S.name_part(F.col(name), 0).try_cast("long"), name)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -62,12 +77,26 @@ def flatten_crawl(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, ITEM).alias("x")).select(*metadata_record(F.col("x")))
 
 
+# the pattern of a statistics page's link to a dump, with its date and time behind (fixed value)
+DUMP_LINK = r'(?i)<a href="(http://[^<>"]+pages_(current|full)\.xml\.([^<>"]+))">(?:(\d{4}-\d{2}-\d{2}) (\d\d:\d\d:\d\d))?'
+
+
 def dump_links(html: Column) -> Column:
-    """All dump links of a page as an array of (type, url, compression)."""
-    pattern = r'href="(http[^"]*/([^/"]*?_(?:pages_(?:current|full)))\.xml\.(7z|gz|bz2))"'
-    hit = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
-    found = F.arrays_zip(hit(2).alias("t"), hit(1).alias("u"), hit(3).alias("c"))
-    return F.transform(found, lambda x: F.struct(F.substring_index(x["t"], "_", -1).alias("type"), x["u"].alias("url"), x["c"].alias("compression")))
+    """All dump links of a page, in order, as an array of (type, url, compression, date, time)."""
+    names = ("url", "type", "compression", "date", "time")
+    found = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(DUMP_LINK), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    return F.transform(found, lambda x: F.struct(F.lower(x["type"]).alias("type"), *[x[n].alias(n) for n in ("url", "compression", "date", "time")]))
+
+
+def last_dump_links(pages: DataFrame, html: str) -> DataFrame:
+    """Columns ``current_*`` and ``full_*`` (dump_url, compression, date, time) beside the page: of each type the last
+    link with a date, empty where there is none."""
+    out = pages.withColumn("_links", dump_links(F.col(html)))
+    for kind in ("current", "full"):
+        last = F.try_element_at(F.filter("_links", lambda x: (x["type"] == kind) & (x["date"] != "")), F.lit(-1))
+        names = {"dump_url": "url", "compression": "compression", "date": "date", "time": "time"}
+        out = out.withColumns({f"{kind}_{n}": F.coalesce(last[x], F.lit("")) for n, x in names.items()})
+    return out.drop("_links")
 
 
 def guessed_dump_urls(metadata: DataFrame, base: str) -> DataFrame:
@@ -86,6 +115,11 @@ def usable(metadata: DataFrame, dump_ids: DataFrame | None = None, lang: str = "
     return out if dump_ids is None else out.join(dump_ids.select("id").distinct(), "id", "left_semi")
 
 
+def with_dumps(metadata: DataFrame, dumps: DataFrame) -> DataFrame:
+    """Metadata joined with the dump (path, file) of its id; sites without a dump are left out."""
+    return metadata.join(dumps.select(F.col("wiki_id").alias("id"), "path", "file"), "id")
+
+
 def with_dump_url(metadata: DataFrame) -> DataFrame:
     return metadata.where("current_dump_url IS NOT NULL AND current_dump_url <> ''")
 
@@ -107,6 +141,35 @@ def crowd_answers_xml(df: DataFrame, column: str) -> DataFrame:
     return pairs.select(*rest, F.explode("x").alias("x")).select(*rest, F.col("x.q").alias("question"), F.col("x.a").alias("answer"))
 
 
+#: What a list of crowd tasks and of their assignments holds, as JSON lines.
+HIT = "HITId string, HITTypeId string, RequesterAnnotation string, Title string"
+ASSIGNMENT = "AssignmentId string, HITId string, WorkerId string, AssignmentStatus string, Answer string"
+
+
+def read_hits(spark: SparkSession, path: str, type_id: str | None = None, batch_id: str | None = None) -> DataFrame:
+    """Task records, of one type or one batch if asked for; the batch is named in the requester's annotation."""
+    hits = spark.read.schema(HIT).json(path)
+    if type_id is not None:
+        hits = hits.where(F.col("HITTypeId") == type_id)
+    if batch_id is not None:
+        hits = hits.where(F.element_at(S.annotation(F.col("RequesterAnnotation")), "BatchId") == batch_id)
+    return hits
+
+
+def task_answers(hits: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(hit, worker, question, answer) of the tasks' assignments."""
+    own = assignments.join(hits.select("HITId").distinct(), "HITId", "left_semi")
+    return crowd_answers_xml(own.select(F.col("HITId").alias("hit"), F.col("WorkerId").alias("worker"), "Answer"), "Answer")
+
+
+def cached_titles(spark: SparkSession, path: str, make) -> DataFrame:
+    """(file, title) kept as Parquet at ``path``: made once by ``make()``, read from then on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.schema("file string, title string").parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(tag, text) from JSON lines ``[tag, text]``."""
     x = F.from_json("value", "array<string>")
@@ -121,11 +184,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, escape='"')
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge elements as text parts, ``nodes`` and ``edges``; headers are a constant line around them."""
-    nodes.select(F.format_string('<node id="%s"><data key="degree">%d</data></node>', S.xml_escaped(F.col("domain")), "degree").alias("value")).write.text(f"{path}/nodes")
+# the parts of a GraphML document (fixed values)
+GRAPHML_HEAD = """<?xml version="1.0" encoding="utf-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+<key attr.name="degree" attr.type="long" for="node" id="degree"/>
+<key attr.name="weight" attr.type="long" for="edge" id="weight"/>
+<graph edgedefault="undirected">"""
+GRAPHML_FOOT = "</graph>\n</graphml>"
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, value): the document's head, nodes, edges and foot, to be put in order of ``part``."""
+    spark = nodes.sparkSession
+    line = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit(text).alias("value"))
+    node = F.format_string('<node id="%s"><data key="degree">%d</data></node>', S.xml_escaped(F.col("domain")), "degree")
     edge = F.format_string('<edge source="%s" target="%s"><data key="weight">%d</data></edge>', S.xml_escaped(F.col("src")), S.xml_escaped(F.col("dst")), "weight")
-    edges.select(edge.alias("value")).write.text(f"{path}/edges")
+    body = nodes.select(F.lit(1).alias("part"), node.alias("value")).unionByName(edges.select(F.lit(2).alias("part"), edge.alias("value")))
+    return line(0, GRAPHML_HEAD).unionByName(body).unionByName(line(3, GRAPHML_FOOT))
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One GraphML document: the text files of the folder, in order of their names."""
+    graphml_lines(nodes, edges).repartitionByRange("part").sortWithinPartitions("part").select("value").write.text(path)
 
 
 def filled(template: str, row: dict[str, str]) -> str:
