@@ -19,16 +19,24 @@ def tokenized(corpus: DataFrame) -> DataFrame:
     return corpus.select("tag", S.tokens(F.lower("text")).alias("tokens"))
 
 
-def tfidf_vectors(corpus: DataFrame, size: int = 256) -> DataFrame:
-    """(uri, vector): hashed term frequencies weighted by inverse document frequency, of unit length."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def term_weights(corpus: DataFrame, size: int) -> DataFrame:
+    """(uri, bucket, weight): term frequencies, terms hashed to ``size`` buckets by the first 28 bits of their MD5, times
+    log((documents + 1) / (documents with the bucket + 1)), scaled to unit length per document."""
+    t = tokenized(corpus.where("text IS NOT NULL"))
+    bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("long"), F.lit(size)).cast("int")
+    tf = t.select(F.col("tag").alias("uri"), F.explode("tokens").alias("token")).groupBy("uri", bucket.alias("bucket")).agg(F.count("*").alias("tf"))
+    df = tf.groupBy("bucket").agg(F.count("*").alias("df"))  # ``size`` rows
+    n = corpus.agg(F.count("*").alias("n"))  # one row
+    weighed = tf.join(F.broadcast(df), "bucket").join(n).select("uri", "bucket", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
+    length = weighed.groupBy("uri").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    return weighed.join(length, "uri").where("l > 0").select("uri", "bucket", (F.col("w") / F.col("l")).alias("weight"))
 
-    t = tokenized(corpus)
-    tf = HashingTF(numFeatures=size, inputCol="tokens", outputCol="tf").transform(t)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted)
-    return unit.select(F.col("tag").alias("uri"), vector_to_array("unit", "float32").alias("vector"))
+
+def tfidf_vectors(corpus: DataFrame, size: int = 256) -> DataFrame:
+    """(uri, vector) of ``term_weights``; all zero for a document without any."""
+    own = term_weights(corpus, size).groupBy("uri").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))  # ``size`` entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
+    return corpus.select(F.col("tag").alias("uri")).join(own, "uri", "left").select("uri", dense.alias("vector"))
 
 
 def document_vectors(corpus: DataFrame, size: int = 64, window: int = 5, least: int = 5, iterations: int = 1, seed: int = 7) -> DataFrame:

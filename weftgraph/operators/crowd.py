@@ -44,6 +44,11 @@ def valid_answers(votes: DataFrame, domain: str = "domain") -> DataFrame:
     return votes.where((F.col("answer") == "no match") | F.col("answer").startswith(F.col(domain)))
 
 
+def rejected_answers(votes: DataFrame, domain: str = "domain") -> DataFrame:
+    """What ``valid_answers`` leaves out, for a report."""
+    return votes.where(~F.coalesce((F.col("answer") == "no match") | F.col("answer").startswith(F.col(domain)), F.lit(False)))
+
+
 def majority(votes: DataFrame, by: list[str]) -> DataFrame:
     """(by..., answer, n): the most frequent answer; ties by the smaller answer."""
     n = votes.groupBy(*by, "answer").agg(F.count("*").alias("n"))

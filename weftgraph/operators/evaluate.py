@@ -6,7 +6,7 @@ counterpart".  A partial gold standard judges only what it names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -92,18 +92,56 @@ def thresholds(system: DataFrame) -> DataFrame:
     return system.select(F.round("confidence", 2).alias("threshold")).distinct()
 
 
+def _cents(confidence: Column) -> Column:
+    """The largest threshold of two decimals, in hundredths, that a confidence reaches."""
+    near = F.round(confidence, 2)
+    return F.round(near * 100).cast("long") - F.when(confidence < near, 1).otherwise(0)
+
+
+def counts_by_threshold(system: DataFrame, gold: DataFrame) -> DataFrame:
+    """(pair, threshold, tp, fp, fn): ``counts`` of every pair in ``gold`` at every threshold of ``system``.
+
+    Each link is counted once, at the confidence it has; figures at a threshold are sums over that and what lies above.
+    A missed cell's false links are those above its own link's confidence, so a hit takes them back from there down.
+    """
+    links = system.where("relation = '=' AND confidence IS NOT NULL").groupBy("pair", "source", "target").agg(_cents(F.max("confidence")).alias("at"))
+    cells = gold.select("pair", "source", "target").join(links.withColumnRenamed("at", "hit"), ["pair", "source", "target"], "left")
+    no_target, no_source = F.col("target") == "null", F.col("source") == "null"
+    full = cells.where(~no_target & ~no_source)
+    hits = full.where("hit IS NOT NULL").select("pair", F.col("hit").alias("at"), F.lit(1).alias("tp"), F.lit(0).alias("fp"))
+    parts = [hits]
+    for end, alone in (("source", no_target), ("target", ~no_target & no_source)):
+        met = links.groupBy("pair", end, "at").agg(F.count("*").alias("n"))
+        plain = cells.where(alone).groupBy("pair", end).agg(F.count("*").alias("k")).join(met, ["pair", end])
+        parts.append(plain.select("pair", "at", F.lit(0).alias("tp"), (F.col("k") * F.col("n")).alias("fp")))
+        missed = full.groupBy("pair", end, "hit").agg(F.count("*").alias("k")).join(met, ["pair", end]).where("hit IS NULL OR at > hit")
+        wrong = (F.col("k") * F.col("n")).alias("fp")
+        parts.append(missed.select("pair", "at", F.lit(0).alias("tp"), wrong))
+        parts.append(missed.where("hit IS NOT NULL").select("pair", F.col("hit").alias("at"), F.lit(0).alias("tp"), (-wrong).alias("fp")))
+    events = parts[0]
+    for part in parts[1:]:
+        events = events.unionByName(part)
+    events = events.groupBy("pair", "at").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    # one row of all thresholds, two decimals each: every pair gets a mark at each
+    grid = thresholds(system).where("threshold IS NOT NULL").agg(F.collect_list("threshold").alias("all"))
+    sizes = gold.groupBy("pair").agg(F.sum(F.when(~no_target & ~no_source, 1).otherwise(0)).alias("cells"))
+    marks = sizes.join(grid).select("pair", "cells", F.explode("all").alias("threshold"))
+    marks = marks.select("pair", F.round(F.col("threshold") * 100).cast("long").alias("at"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), "cells", "threshold")
+    none = [F.lit(None).cast("long").alias("cells"), F.lit(None).cast("double").alias("threshold")]
+    above = Window.partitionBy("pair").orderBy(F.desc("at"))  # of equal values all
+    summed = marks.unionByName(events.select("*", *none)).withColumns({"tp": F.sum("tp").over(above), "fp": F.sum("fp").over(above)})
+    return summed.where("threshold IS NOT NULL").select("pair", "threshold", "tp", F.col("fp").cast("long").alias("fp"), (F.col("cells") - F.col("tp")).alias("fn"))
+
+
 def leave_one_out(system: DataFrame, gold: DataFrame) -> DataFrame:
     """(pair, threshold, tp, fp, fn, precision, recall, f): each pair judged at the threshold that gives the others the
     best macro F (ties: the smallest; none to choose from: 0, which keeps all).
 
     One aggregation scores every (pair, threshold); a fold's training figures are then its totals over all pairs
-    less the fold's own.  The number of thresholds is at most 101.
+    less the fold's own.
     """
-    grid = F.broadcast(thresholds(system))  # two decimals: 101 values at most
-    cut = system.join(grid, F.col("confidence") >= F.col("threshold"))
     pairs = gold.select("pair").distinct()
-    cells = gold.join(grid)
-    scored = scores(counts(cut, cells, ["pair", "threshold"])).select("pair", "threshold", "tp", "fp", "fn", "precision", "recall", "f")
+    scored = scores(counts_by_threshold(system, gold)).select("pair", "threshold", "tp", "fp", "fn", "precision", "recall", "f")
     own = system.select("pair", F.round("confidence", 2).alias("threshold")).distinct()  # a fold's candidates come from the others
     own = own.withColumn("mine", F.lit(1))
     holders = own.groupBy("threshold").agg(F.count("*").alias("holders"))

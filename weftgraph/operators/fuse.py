@@ -18,12 +18,15 @@ ALL_POSITIONS = ("infobox-properties",)
 def equivalence_classes(links: DataFrame, largest: int | None = None) -> DataFrame:
     """(uri, component, size, canonical) from links (s, o); classes beyond ``largest`` are left out.
 
-    The canonical name is the digest of the members' URIs, sorted and joined: it doesn't depend on link order.
+    The canonical name is the digest of the members' URIs, sorted and joined: it doesn't depend on link order.  A class
+    without a bound on its size is one string in one task, of 2 GB at most.
     """
     member = cut(connected_components(links, "s", "o").select(F.col("node").alias("uri"), "component"))
-    names = member.groupBy("component").agg(F.count("*").alias("size"), F.expr("listagg(uri, '') WITHIN GROUP (ORDER BY uri)").alias("all"))
-    if largest is not None:
-        names = names.where(F.col("size") <= largest)
+    named = member
+    if largest is not None:  # before any class is put in a string
+        small = member.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= largest)
+        named = member.join(small, "component", "left_semi")
+    names = named.groupBy("component").agg(F.count("*").alias("size"), F.expr("listagg(uri, '') WITHIN GROUP (ORDER BY uri)").alias("all"))
     names = names.select("component", "size", S.uri_digest(F.col("all")).alias("canonical"))
     return cut(member.join(names, "component").select("uri", "component", "size", "canonical"))  # joined up to three times
 

@@ -53,14 +53,24 @@ def terminal_redirects(redirects: DataFrame) -> DataFrame:
     return now.join(cyclic.select("s"), "s", "left_anti").unionByName(first)
 
 
+def _scored(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """(label, key, other, score) for each distinct label and each distinct index label of its key.
+
+    Scores depend on the two labels alone: they are computed once per pair of spellings, not per statement.
+    """
+    probe = labels.select("label", S.label_key(F.col("label")).alias("key")).distinct()
+    build = index.select("key", F.col("label").alias("other")).distinct()
+    return probe.join(build, "key").withColumn("score", S.same_case(S.strip(F.col("label")), F.col("other")).cast("long"))
+
+
 def near_match(labels: DataFrame, index: DataFrame) -> DataFrame:
     """(source, label, target, score): for each labelled source, the candidate of one index whose label agrees in
     most letters' case; ties by the smaller resource.  An only candidate needs no score."""
-    probe = labels.select(F.col("s").alias("source"), "label", S.label_key(F.col("label")).alias("key"))
-    build = index.select("key", F.col("label").alias("other"), "resource")
-    met = probe.join(build, "key").withColumn("score", S.same_case(S.strip(F.col("label")), F.col("other")).cast("long"))
-    best = met.groupBy("source", "label").agg(F.max("score").alias("score"), F.min_by("resource", F.struct(-F.col("score"), "resource")).alias("target"))
-    return best.select("source", "label", "target", "score")
+    least = index.groupBy("key", F.col("label").alias("other")).agg(F.min("resource").alias("resource"))
+    met = _scored(labels, index).join(least, ["key", "other"])
+    best = met.groupBy("label").agg(F.max("score").alias("score"), F.min_by("resource", F.struct(-F.col("score"), "resource")).alias("target"))
+    sources = labels.select(F.col("s").alias("source"), "label").distinct()
+    return sources.join(best, "label").select("source", "label", "target", "score")
 
 
 def near_match_cascade(labels: DataFrame, *indexes: DataFrame) -> DataFrame:
@@ -78,18 +88,22 @@ def all_match(labels: DataFrame, index: DataFrame, choose_best: bool = True) ->
 
     One candidate is taken as it is; of several, the one whose letters' case agrees most (ties: smaller resource),
     or all of them, with their number in ``n``, where ``choose_best`` is off.
+
+    The winner depends on the label and the other domain, not on the source: winners are found once for each distinct
+    label, and sources join them last.
     """
-    probe = labels.select(F.col("domain"), F.col("s").alias("source"), "label", S.label_key(F.col("label")).alias("key")).distinct()
-    build = index.select(F.col("domain").alias("target_domain"), "key", F.col("label").alias("other"), "resource")
-    met = probe.join(build, "key").where("domain <> target_domain")
-    met = met.withColumn("score", S.same_case(S.strip(F.col("label")), F.col("other")).cast("long"))
+    sources = labels.select("domain", F.col("s").alias("source"), "label").distinct()
+    scored = _scored(labels, index)
     by = ["domain", "source", "label", "target_domain"]
     if choose_best:
-        return met.groupBy(*by).agg(
-            F.min_by("resource", F.struct(-F.col("score"), "resource")).alias("target"), F.max("score").alias("score"), F.count("*").alias("n")
-        )
+        spellings = index.groupBy(F.col("domain").alias("target_domain"), "key", F.col("label").alias("other")).agg(F.min("resource").alias("resource"), F.count("*").alias("n"))
+        best = scored.join(spellings, ["key", "other"]).groupBy("label", "target_domain")
+        best = best.agg(F.min_by("resource", F.struct(-F.col("score"), "resource")).alias("target"), F.max("score").alias("score"), F.sum("n").alias("n"))
+        return sources.join(best, "label").where("domain <> target_domain").select(*by, "target", "score", "n")
     sizes = ambiguity(index).select(F.col("domain").alias("target_domain"), "key", "n")
-    return met.join(sizes, ["target_domain", "key"]).select(*by, F.col("resource").alias("target"), "score", "n")
+    held = index.select(F.col("domain").alias("target_domain"), "key", F.col("label").alias("other"), "resource").join(sizes, ["target_domain", "key"])
+    met = sources.join(scored, "label").join(held, ["key", "other"]).where("domain <> target_domain")
+    return met.select(*by, F.col("resource").alias("target"), "score", "n")
 
 
 def with_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

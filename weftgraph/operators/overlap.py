@@ -33,6 +33,11 @@ def shared_titles(titles: DataFrame, least: int = 0, most_sources: int | None =
     return out.select("src", "dst", "n", S.jaccard(F.col("n"), F.col("n_src"), F.col("n_dst")).alias("jaccard"))
 
 
+def different_names(pairs: DataFrame, least: int = 100) -> DataFrame:
+    """Pairs (src, dst, n, ...) that share more than ``least`` titles and whose names aren't the same but for dashes."""
+    return pairs.where((F.col("n") > least) & (S.without_dashes(F.col("src")) != S.without_dashes(F.col("dst"))))
+
+
 def overlap_graph(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (domain, degree, weight) and edges (src, dst, weight)."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("domain"), "n")
@@ -124,5 +129,5 @@ def schema_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """The ``k`` rows of the smallest hash of their key: the same sample each time."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
+    """The ``k`` rows of the smallest digest of their key: the same sample each time."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k)

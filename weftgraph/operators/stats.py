@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+from .storage import cut
+
 
 def statements_and_subjects(triples: DataFrame, by: list[str] | None = None) -> DataFrame:
     return triples.groupBy(*(by or [])).agg(F.count("*").alias("statements"), F.count_distinct("s").alias("subjects"))
@@ -81,18 +84,17 @@ def monthly(df: DataFrame, ts: Column) -> DataFrame:
 
 
 def rank_series(df: DataFrame, value: str, key: str) -> DataFrame:
-    """(key, value, rank) from the largest value on.
+    """(key, value, rank) from the largest value on; equal values by key.
 
-    Counts of equal values give each value its first rank by a running sum over distinct values; only rows of equal
-    value are numbered together.
+    Rows are sorted into ranges and numbered within each; what lies before a range is a sum over ranges, a row each.
     """
-    from pyspark.sql import Window
-
-    per = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col(value).alias("_v"), "_base")
-    nth = F.row_number().over(Window.partitionBy(value).orderBy(key))
-    return df.withColumn("_nth", nth).join(per, F.col(value).eqNullSafe(F.col("_v"))).select(key, value, (F.col("_base") + F.col("_nth")).alias("rank"))
+    order = [F.desc(value), F.asc(key)]
+    ranged = cut(df.select(key, value).repartitionByRange(*order).select(key, value, F.spark_partition_id().alias("_range")))
+    listed = ranged.groupBy("_range").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_range", "n"))).alias("all"))
+    sums = F.aggregate("all", F.array(F.lit(0).cast("long")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x["n"]))
+    before = listed.select(F.explode(F.arrays_zip(F.col("all._range").alias("_range"), F.slice(sums, 1, F.size("all")).alias("_base"))).alias("x")).select("x.*")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_nth", nth).join(before, "_range").select(key, value, (F.col("_base") + F.col("_nth")).alias("rank"))
 
 
 def functional_dependence(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,3 +108,31 @@ def duplicate_contents(df: DataFrame, key: str, content: str) -> DataFrame:
     """(digest, members, first) of contents that several rows share."""
     counted = df.groupBy(F.md5(content).alias("digest")).agg(F.count("*").alias("members"), F.min(key).alias("first"))
     return counted.where("members > 1")
+
+
+def same_files(files: DataFrame) -> DataFrame:
+    """(digest, path) of files (path, content) whose contents several have.  Contents are compared by their first bytes
+    first, so most are never digested."""
+    near = files.groupBy(S.first_bytes(F.col("content")).alias("_start")).agg(F.count("*").alias("n")).where("n > 1").select("_start")
+    some = files.withColumn("_start", S.first_bytes(F.col("content"))).join(near, "_start").select(S.content_digest(F.col("content")).alias("digest"), "path")
+    return some.join(some.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digest")
+
+
+def linked_duplicates(same: DataFrame, crawl: DataFrame) -> DataFrame:
+    """(digest, names): of each group (digest, wiki_id, name) of equal dumps, those whose site still links a dump (id,
+    url), where more than one does."""
+    linked = crawl.where("url <> ''").select(F.col("id").alias("wiki_id")).distinct()
+    named = same.join(linked, "wiki_id", "left_semi").groupBy("digest").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"), F.count("*").alias("n"))
+    return named.where("n > 1").select("digest", "names")
+
+
+def last_standing(probes: DataFrame) -> DataFrame:
+    """(group, candidate, hits) of the candidates that are left when, round by round, those short of the most hits so far
+    drop out; ``probes`` has group, candidate, round, hit (0 or 1).
+
+    Among equals so far, most hits so far means a hit in this round: the survivors are those whose row of hits, in
+    order of rounds, is the largest of their group.
+    """
+    rows = probes.groupBy("group", "candidate").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "hit"))), lambda x: x["hit"]).alias("row"))
+    best = rows.groupBy("group").agg(F.max("row").alias("row"))
+    return rows.join(best, ["group", "row"]).select("group", "candidate", F.aggregate("row", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"))

@@ -36,6 +36,28 @@ VIEWS: dict[str, str] = {
     "kg_vectors": """SELECT concat('part/', CAST(vec_id AS STRING)) AS uri, embedding AS vector FROM {embeddings}""",
     "kg_votes": """SELECT concat('hit', CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING)) AS hit, 0 AS item, concat('w', CAST(event_id % 5 AS STRING)) AS worker, event_type AS answer FROM {events}""",
     "kg_corpus": """SELECT concat('doc/', CAST(doc_id AS STRING)) AS tag, text FROM {documents}""",
+    # what the dumps of all sources hold
+    "kg_dump": """SELECT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) ELSE concat(' ', p_name) END AS o, 'literal' AS o_kind, '@en' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'labels' AS dataset FROM {part}
+  UNION ALL SELECT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + 0 AS STRING)) AS s, 'http://kg.example.org/redirects' AS p, concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey - 1 AS STRING)) AS o, 'iri' AS o_kind, '' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'transitive-redirects' AS dataset FROM {part} WHERE p_partkey % 7 IN (5, 6)
+  UNION ALL SELECT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + 0 AS STRING)) AS s, 'http://kg.example.org/disambiguates' AS p, concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + k AS STRING)) AS o, 'iri' AS o_kind, '' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'disambiguations' AS dataset FROM {part} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) d WHERE p_partkey % 10 = 0
+  UNION ALL SELECT DISTINCT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/class/', replace(p_type, ' ', '_')) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, p_type AS o, 'literal' AS o_kind, '@en' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'template-type-definitions' AS dataset FROM {part}
+  UNION ALL SELECT DISTINCT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/class/', replace(p_type, ' ', '_')) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, concat('Typ ', p_type) AS o, 'literal' AS o_kind, '@de' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'template-type-definitions' AS dataset FROM {part}
+  UNION ALL SELECT DISTINCT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/class/', replace(p_type, ' ', '_')) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/2002/07/owl#Class' AS o, 'iri' AS o_kind, '' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'template-type-definitions' AS dataset FROM {part}
+  UNION ALL SELECT DISTINCT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/property/size', CAST(p_size AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, concat('size ', CAST(p_size AS STRING)) AS o, 'literal' AS o_kind, '@en' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'infobox-property-definitions' AS dataset FROM {part}
+  UNION ALL SELECT DISTINCT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/property/size', CAST(p_size AS STRING)) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#Property' AS o, 'iri' AS o_kind, '' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'infobox-property-definitions' AS dataset FROM {part}
+  UNION ALL SELECT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + 0 AS STRING)) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, concat('http://kg.example.org/', replace(p_brand, '#', ''), '/class/', replace(p_type, ' ', '_')) AS o, 'iri' AS o_kind, '' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'template-type' AS dataset FROM {part}
+  UNION ALL SELECT concat('http://kg.example.org/', replace(p_brand, '#', ''), '/resource/', CAST(p_partkey + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#comment' AS p, concat(p_name, ' is a ', p_type) AS o, 'literal' AS o_kind, '@en' AS ext, CAST(substr(p_brand, 7) AS BIGINT) AS wiki_id, 'en' AS lang, replace(p_brand, '#', '') AS domain, 'short-abstracts' AS dataset FROM {part} WHERE p_partkey % 5 > 0""",
+    # a reference ontology of size classes, and what its names redirect to
+    "kg_ontology": """SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/2002/07/owl#Class' AS o, 'iri' AS o_kind, '' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x
+  UNION ALL SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, concat('Size ', CAST(n AS STRING)) AS o, 'literal' AS o_kind, '@en' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 4 > 0
+  UNION ALL SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, concat('Weite ', CAST(n AS STRING)) AS o, 'literal' AS o_kind, '@de' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 4 < 2
+  UNION ALL SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf' AS p, concat('http://kg.example.org/ontology/S', CAST(n + 1 AS STRING)) AS o, 'iri' AS o_kind, '' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 6 > 0
+  UNION ALL SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf' AS p, concat('http://other.example.org/S', CAST(n AS STRING)) AS o, 'iri' AS o_kind, '' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 6 = 1
+  UNION ALL SELECT concat('http://kg.example.org/ontology/p', CAST(n AS STRING)) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/2002/07/owl#DatatypeProperty' AS o, 'iri' AS o_kind, '' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 2 = 0
+  UNION ALL SELECT concat('http://kg.example.org/ontology/p', CAST(n AS STRING)) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/2002/07/owl#ObjectProperty' AS o, 'iri' AS o_kind, '' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 3 = 0
+  UNION ALL SELECT concat('http://kg.example.org/ontology/p', CAST(n AS STRING)) AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, concat(' property ', CAST(n AS STRING)) AS o, 'literal' AS o_kind, '@en' AS ext FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 5 > 0""",
+    "kg_ontology_redirects": """SELECT concat('http://kg.example.org/ontology/S', CAST(n + 0 AS STRING)) AS s, concat('http://kg.example.org/ontology/S', CAST(n - 1 AS STRING)) AS o FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 9 = 0
+  UNION ALL SELECT concat('http://kg.example.org/ontology/p', CAST(n AS STRING)), concat('http://kg.example.org/ontology/q', CAST(n AS STRING)) FROM (SELECT DISTINCT p_size AS n FROM {part}) x WHERE n % 8 = 0""",
     # gold: same name and type in two brands; every third without a counterpart
     "kg_gold": """SELECT concat('brand~', a.p_brand) AS pair, concat('http://kg.example.org/', a.p_brand, '/resource/', CAST(a.p_partkey AS STRING)) AS source,
   CASE WHEN a.p_partkey % 3 = 0 THEN 'null' ELSE concat('http://kg.example.org/', b.p_brand, '/resource/', CAST(b.k AS STRING)) END AS target,

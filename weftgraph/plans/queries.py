@@ -64,13 +64,6 @@ def interwiki_best_match(spark, d):
     return match.all_match(labels(spark, d), index(spark, d))
 
 
-@query(f"""{cte("kg_labels")}, {INDEX}, {MET}, n AS (SELECT domain, key, count(*) AS n FROM idx GROUP BY ALL)
-SELECT m.domain, source, m.label, target_domain, resource AS target, score, CAST(n AS BIGINT) AS n FROM met m JOIN n ON n.domain = target_domain AND n.key = lower(trim(m.label)) WHERE m.domain = 'Brand#2'""")
-def interwiki_candidates(spark, d):
-    """Of the labels of Brand#2, as its SQL has it; ``interwiki_candidates_all`` probes with every label."""
-    return match.all_match(labels(spark, d).where("domain = 'Brand#2'"), index(spark, d), choose_best=False)
-
-
 @query(f"""{cte("kg_labels")}, {INDEX}, {MET}, n AS (SELECT domain, key, count(*) AS n FROM idx GROUP BY ALL)
 SELECT m.domain, source, m.label, target_domain, resource AS target, score, CAST(n AS BIGINT) AS n FROM met m JOIN n ON n.domain = target_domain AND n.key = lower(trim(m.label))""")
 def interwiki_candidates_all(spark, d):
@@ -369,15 +362,6 @@ def column_sums(spark, d):
     return stats.sums(table(spark, d, "lineitem"), ["l_quantity", "l_tax"])
 
 
-@query("""WITH c AS (SELECT last_day(o_orderdate) AS month, count(*) AS n FROM orders WHERE month(o_orderdate) <> 5 GROUP BY 1),
-e AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(month))::TIMESTAMP, date_trunc('month', max(month))::TIMESTAMP, INTERVAL 1 MONTH))) AS month FROM c)
-SELECT strftime(CAST(e.month AS DATE), '%Y-%m-%d') AS month, CAST(coalesce(n, 0) AS BIGINT) AS n FROM e LEFT JOIN c ON CAST(c.month AS DATE) = CAST(e.month AS DATE)""")
-def rows_by_month(spark, d):
-    """Without May, as its SQL has it, to show months that are filled; ``rows_by_month_all`` counts every order."""
-    out = stats.monthly(table(spark, d, "orders").where("month(o_orderdate) <> 5"), F.col("o_orderdate"))
-    return out.withColumn("month", F.date_format("month", "yyyy-MM-dd"))
-
-
 @query("""WITH c AS (SELECT last_day(o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1),
 e AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(month))::TIMESTAMP, date_trunc('month', max(month))::TIMESTAMP, INTERVAL 1 MONTH))) AS month FROM c)
 SELECT strftime(CAST(e.month AS DATE), '%Y-%m-%d') AS month, CAST(coalesce(n, 0) AS BIGINT) AS n FROM e LEFT JOIN c ON CAST(c.month AS DATE) = CAST(e.month AS DATE)""")
@@ -433,14 +417,6 @@ def best_value_overlap(spark, d):
     return overlap.best_value_overlap(t.where("key < 'Brand#2'"), t.where("key >= 'Brand#2'"))
 
 
-@query("""WITH a AS (SELECT DISTINCT 'x/' || p_name AS key FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT 'y/' || p_type AS other FROM part),
-m AS (SELECT key, other, CAST(levenshtein(substr(key, 3), substr(other, 3)) AS INTEGER) AS distance FROM a, b) SELECT key, other, distance FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY distance) AS r FROM m) WHERE r = 1""")
-def nearest_names(spark, d):
-    """Of names with an even key, as its SQL has it; ``nearest_names_all`` takes every name."""
-    p = table(spark, d, "part")
-    return overlap.nearest_strings(p.where("p_partkey % 2 = 0").select(F.concat(F.lit("x/"), "p_name").alias("key")), p.select(F.concat(F.lit("y/"), "p_type").alias("key")))
-
-
 @query("""WITH a AS (SELECT DISTINCT 'x/' || p_name AS key FROM part), b AS (SELECT DISTINCT 'y/' || p_type AS other FROM part),
 m AS (SELECT key, other, CAST(levenshtein(substr(key, 3), substr(other, 3)) AS INTEGER) AS distance FROM a, b) SELECT key, other, distance FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY distance) AS r FROM m) WHERE r = 1""")
 def nearest_names_all(spark, d):
@@ -453,12 +429,6 @@ def near_names(spark, d):
     return overlap.near_names(table(spark, d, "supplier"), "s_name")
 
 
-@query("SELECT name, name AS cluster FROM (SELECT DISTINCT p_name AS name FROM part)")
-def name_clusters(spark, d):
-    """With two near names for a core, as its SQL has it; ``name_clusters_all`` joins every pair of near names."""
-    return overlap.name_clusters(table(spark, d, "part"), "p_name", most=1, least_points=2)
-
-
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), e AS (SELECT a.x AS a, b.x AS b FROM n a, n b WHERE levenshtein(a.x, b.x) <= 1),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS name, min(b) AS cluster FROM r GROUP BY a""")
 def name_clusters_all(spark, d):
@@ -526,28 +496,11 @@ def title_samples(spark, d):
     return crowd.title_sample(t, moved, 5, reject="small")
 
 
-@query(f"{cte('kg_facts')} SELECT p AS key, split_part(o, '/', len(string_split(o, '/'))::INT) AS value, CAST(count(*) AS BIGINT) AS n FROM kg_facts WHERE p <> 'prop/part' GROUP BY ALL")
-def values_by_property(spark, d):
-    """Without the statements of ``prop/part``, as its SQL has it; ``values_by_property_all`` takes every statement."""
-    return overlap.values_by_key(view(spark, d, "kg_facts").where("p <> 'prop/part'"))
-
-
 @query(f"{cte('kg_facts')} SELECT p AS key, split_part(o, '/', len(string_split(o, '/'))::INT) AS value, CAST(count(*) AS BIGINT) AS n FROM kg_facts GROUP BY ALL")
 def values_by_property_all(spark, d):
     return overlap.values_by_key(view(spark, d, "kg_facts"))
 
 
-@query("""WITH l AS (SELECT DISTINCT 'x/' || p_brand AS key, p_name AS value FROM part WHERE p_brand < 'Brand#2'), r AS (SELECT DISTINCT 'y/' || p_type AS other, p_name AS value FROM part),
-v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL), n AS (SELECT DISTINCT key, other, levenshtein(substr(key, 3), substr(other, 3)) AS d FROM (SELECT DISTINCT key FROM l), (SELECT DISTINCT other FROM r))
-SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
-UNION ALL SELECT key, other, 'name' FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY d) AS k FROM n) WHERE k = 1 UNION ALL SELECT DISTINCT key, 'null', 'none' FROM l""")
-def schema_candidates(spark, d):
-    """Of the brands before Brand#2, as its SQL has it; ``schema_candidates_all`` takes every brand."""
-    p = table(spark, d, "part")
-    left = p.where("p_brand < 'Brand#2'").select(F.concat(F.lit("x/"), "p_brand").alias("key"), F.col("p_name").alias("value"))
-    return overlap.schema_candidates(left, p.select(F.concat(F.lit("y/"), "p_type").alias("key"), F.col("p_name").alias("value")))
-
-
 @query("""WITH l AS (SELECT DISTINCT 'x/' || p_brand AS key, p_name AS value FROM part), r AS (SELECT DISTINCT 'y/' || p_type AS other, p_name AS value FROM part),
 v AS (SELECT key, other, count(*) AS n FROM l JOIN r USING (value) GROUP BY ALL), n AS (SELECT DISTINCT key, other, levenshtein(substr(key, 3), substr(other, 3)) AS d FROM (SELECT DISTINCT key FROM l), (SELECT DISTINCT other FROM r))
 SELECT key, other, 'value' AS how FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM v) WHERE k = 1
@@ -598,13 +551,6 @@ def scalar_functions(spark, d):
     )
 
 
-@query(r"SELECT doc_id AS tag, CAST(len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER) AS n_tokens FROM documents WHERE lang = 'en'")
-def corpus_tokens(spark, d):
-    """Of English documents, as its SQL has it; ``corpus_tokens_all`` takes every document."""
-    t = corpus.tokenized(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("tag"), "text"))
-    return t.select("tag", F.size("tokens").alias("n_tokens"))
-
-
 @query(r"SELECT doc_id AS tag, CAST(len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS INTEGER) AS n_tokens FROM documents")
 def corpus_tokens_all(spark, d):
     t = corpus.tokenized(table(spark, d, "documents").select(F.col("doc_id").alias("tag"), "text"))
@@ -612,12 +558,12 @@ def corpus_tokens_all(spark, d):
 
 
 @query(f"""{cte("kg_corpus")} SELECT CASE WHEN CAST(substr(tag, 5) AS BIGINT) % 9 = 4 THEN 'doc/' || (CAST(substr(tag, 5) AS BIGINT) - 1) ELSE tag END AS tag, md5(text) AS digest FROM kg_corpus
-UNION ALL SELECT 'own/' || doc_id, md5(text) FROM documents WHERE lang = 'de'""")
+UNION ALL SELECT 'own/' || doc_id, md5(text) FROM documents """)
 def abstracts_corpus(spark, d):
     docs = view(spark, d, "kg_corpus").select(F.col("tag").alias("s"), F.col("text").alias("o"))
     k = F.substring("s", 5, 20).cast("long")
     redirects = docs.where(k % 9 == 4).select("s", F.concat(F.lit("doc/"), (k - 1).cast("string")).alias("o"))
-    own = table(spark, d, "documents").where("lang = 'de'").select(F.concat(F.lit("own/"), F.col("doc_id").cast("string")).alias("s"), F.col("text").alias("o"))
+    own = table(spark, d, "documents").select(F.concat(F.lit("own/"), F.col("doc_id").cast("string")).alias("s"), F.col("text").alias("o"))
     return corpus.abstracts_corpus(docs, redirects, own).select("tag", F.md5("text").alias("digest"))
 
 
@@ -631,3 +577,6 @@ def usable_sources(spark, d):
 def document_embeddings(spark, d):
     """Hashed TF-IDF vectors of the corpus; held against plain counts in the tests."""
     return corpus.tfidf_vectors(view(spark, d, "kg_corpus"), 64).select("uri", F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
+
+
+from . import dump_queries  # noqa: E402, F401  registers its queries beside these

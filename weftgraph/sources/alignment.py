@@ -18,13 +18,19 @@ HEAD = """<?xml version="1.0" encoding="utf-8"?>
 FOOT = "</Alignment>\n</rdf:RDF>\n"
 
 
+def _pair(rows: DataFrame):
+    """The pair that a row is of: its folder ``pair=...`` if there is one, else the first two parts of its file's name."""
+    if "pair" in rows.columns:
+        return F.col("pair").cast("string")
+    return F.array_join(F.slice(F.split(F.element_at(F.split("_metadata.file_path", "/"), -1), "~"), 1, 2), "~")
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(pair, source, target, relation, confidence); the pair is the first two parts of the file's name."""
+    """(pair, source, target, relation, confidence), from files named ``a~b~...`` or from what ``write_alignments`` made."""
     schema = "entity1 struct<`_rdf:resource`: string>, entity2 struct<`_rdf:resource`: string>, relation string, measure struct<_VALUE: string>"
     rows = spark.read.format("xml").option("rowTag", "Cell").schema(schema).load(path)
-    file = F.split(F.element_at(F.split("_metadata.file_path", "/"), -1), "~")
     return rows.select(
-        F.concat_ws("~", file[0], file[1]).alias("pair"),
+        _pair(rows).alias("pair"),
         F.col("entity1.`_rdf:resource`").alias("source"),
         F.col("entity2.`_rdf:resource`").alias("target"),
         F.trim("relation").alias("relation"),
@@ -36,9 +42,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(pair, onto1, onto2): the ontologies' identifiers."""
     schema = "onto1 struct<Ontology: struct<`_rdf:about`: string>>, onto2 struct<Ontology: struct<`_rdf:about`: string>>"
     rows = spark.read.format("xml").option("rowTag", "Alignment").schema(schema).load(path)
-    file = F.split(F.element_at(F.split("_metadata.file_path", "/"), -1), "~")
     return rows.select(
-        F.concat_ws("~", file[0], file[1]).alias("pair"), F.col("onto1.Ontology.`_rdf:about`").alias("onto1"), F.col("onto2.Ontology.`_rdf:about`").alias("onto2")
+        _pair(rows).alias("pair"), F.col("onto1.Ontology.`_rdf:about`").alias("onto1"), F.col("onto2.Ontology.`_rdf:about`").alias("onto2")
     )
 
 
@@ -49,7 +54,7 @@ FORMAT_TAGS = ("entity1", "entity2", "relation", "measure", "Cell", "map", "Alig
 def read_details(spark: SparkSession, path: str) -> DataFrame:
     """(pair, onto1, onto2, extension): of each ontology about, location, formalism and its URI; the extension fields as
     a map.  Files are read from cell to cell, so their size doesn't matter."""
-    rows = spark.read.option("lineSep", "<map>").text(path).select("value", F.split(F.element_at(F.split("_metadata.file_path", "/"), -1), "~").alias("f"))
+    rows = spark.read.option("lineSep", "<map>").text(path)
     field = r"<(?:[\w.-]+:)?([\w.-]+)>([^<]*)</(?:[\w.-]+:)?\1>"
     found = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(field), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))])
     own = F.transform(F.filter(found, lambda x: ~x["k"].isin(*FORMAT_TAGS)), lambda x: F.struct(x["k"].alias("key"), xml_unescaped(x["v"]).alias("value")))
@@ -65,10 +70,9 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
             part(r'<Formalism[^>]*align:uri="([^"]*)"').alias("formalism_uri"),
         )
 
-    pair = F.concat_ws("~", F.col("f")[0], F.col("f")[1])
     head = F.col("value").contains("<Alignment")
     return (
-        rows.select(pair.alias("pair"), *[F.when(head, ontology(i)).alias(f"onto{i}") for i in (1, 2)], own.alias("own"))
+        rows.select(_pair(rows).alias("pair"), *[F.when(head, ontology(i)).alias(f"onto{i}") for i in (1, 2)], own.alias("own"))
         .groupBy("pair")
         .agg(F.first("onto1", True).alias("onto1"), F.first("onto2", True).alias("onto2"), F.flatten(F.collect_list("own")).alias("own"))
         .select("pair", "onto1", "onto2", F.map_from_entries("own").alias("extension"))

@@ -213,3 +213,18 @@ def filled(template: str, row: dict[str, str]) -> str:
     for k, v in row.items():
         template = template.replace("${" + k + "}", v)
     return template
+
+
+def filled_rows(df: DataFrame, template: str, column: str = "text") -> DataFrame:
+    """Each row's columns put into a template's ``${column}`` places; names without a column stay as they are."""
+    pieces, rest = [], template
+    names = {c: df[c].cast("string") for c in df.columns}
+    while "${" in rest:
+        before, _, rest = rest.partition("${")
+        name, end, behind = rest.partition("}")
+        if end and name in names:
+            pieces += [F.lit(before), F.coalesce(names[name], F.lit(""))]
+            rest = behind
+        else:
+            pieces.append(F.lit(before + "${"))
+    return df.withColumn(column, F.concat(*pieces, F.lit(rest)))

@@ -191,3 +191,57 @@ def read_wiki_tars(spark: SparkSession, path: str | list[str], datasets: list[st
         name_part(F.col("file"), 2).alias("domain"),
         F.regexp_replace(dataset_of_member(base), r"\.ttl$", "").alias("dataset"),
     )
+
+
+def write_wiki_tars(dump: DataFrame, path: str, date: str = "20170801") -> DataFrame:
+    """One ``id~lang~name~name.host.tar.gz`` per source in ``path``, with a member per data set; (file, members) of each.
+
+    Archives can't be written piecewise, so a source is one task's work, and ``path`` must be a folder that all executors
+    have mounted.  Members are collected in scratch files, not in memory; an archive appears under its name when it is
+    complete, so that a task can be run again.
+    """
+    import pyarrow as pa
+
+    file = F.concat_ws("~", F.col("wiki_id").cast("string"), "lang", "domain", F.concat("domain", F.lit(".example.org.tar.gz")))
+    member = F.concat("lang", F.lit(f"wiki-{date}-"), "dataset", F.lit(".ttl"))
+    line = triple_line(*(F.col(c) for c in ("s", "p", "o", "o_kind", "ext")))
+    rows = dump.select(file.alias("file"), member.alias("member"), line.alias("value"))
+
+    def run(batches):
+        import os
+        import tarfile
+        import tempfile
+        import uuid
+
+        os.makedirs(path, exist_ok=True)
+        at, tar, aside, name, scratch, n = None, None, None, None, None, 0
+
+        def close_member():
+            info = tarfile.TarInfo(name)
+            info.size = scratch.tell()
+            scratch.seek(0)
+            tar.addfile(info, scratch)
+            scratch.close()
+
+        def close_file():
+            tar.close()
+            os.replace(aside, os.path.join(path, at))
+            return pa.RecordBatch.from_pydict({"file": [at], "members": pa.array([n], pa.int32())})
+
+        for batch in batches:
+            for f, m, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (f, m) != (at, name):
+                    if name is not None:
+                        close_member()
+                    if f != at:
+                        if at is not None:
+                            yield close_file()
+                        aside = os.path.join(path, f".{uuid.uuid4().hex}")
+                        at, tar, n = f, tarfile.open(aside, "w:gz"), 0
+                    name, scratch, n = m, tempfile.TemporaryFile(), n + 1
+                scratch.write(value.encode() + b"\n")
+        if at is not None:
+            close_member()
+            yield close_file()
+
+    return rows.repartition("file").sortWithinPartitions("file", "member").mapInArrow(run, "file string, members int")
