@@ -1,13 +1,18 @@
 """Line-first quality rules.
 
-Every line with a word is judged alone, by rules on its punctuation, on navigation bars and on boilerplate; lines
-that fail are removed, and a document that loses too much of its text by that is rejected as a whole.  Counts of
-the document's words, symbols, repeated lines and repeated word windows are reported beside, and feed the base
-rule.
+Every line with a word is judged alone, by rules on its punctuation, on navigation and on boilerplate; lines that fail
+are removed, and a document that loses too much of its text by that is rejected as a whole.  Counts of the document's
+words, symbols, repeated lines and repeated word windows are reported beside, and feed the base rule.
+
+Most rules look at a line's form and so hold in any language: its end, its symbols, bars between items, links among its
+words, digits among its characters, signs of ownership.  Two lists of phrases, in the four languages that the corpus is
+in, are parameters for the rest.
 
 A null or empty text has no words: its counts are 0, it fails the base rule, and its cleaned text is empty.
 Equal texts get equal verdicts; rows are judged alone, so ties and repeated rows need no rule, and an empty
-table gives an empty result.  Columns other than the key and the text aren't read.
+table gives an empty result.  ``clean`` reads the key and the text alone; ``cleaned_documents`` returns all other
+columns, whatever their names and types, as they are.  A text is judged by one task, which holds its words and 3-word
+windows, some 300 bytes per word.
 """
 
 from __future__ import annotations
@@ -18,22 +23,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, rewrite_rows
+from .common import WORD, map_rows, rewrite_rows
 
 SYMBOLS = "#*$%&|<>"
+# notices and menu items in English, French, German and Spanish (fixed values)
 BOILERPLATE = (
-    "accept cookies",
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "subscribe to our newsletter",
-    "terms of service",
-    "terms of use",
-)
-NAVIGATION = ("back to top", "home", "log in", "login", "menu", "next page", "previous page", "share this", "sign in", "sign up", "skip to content")
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
+    "subscribe to our newsletter", "terms of service", "terms of use",
+    "accepter les cookies", "tous droits réservés", "cliquez ici", "politique de confidentialité", "abonnez-vous", "conditions d'utilisation", "mentions légales",
+    "cookies akzeptieren", "alle rechte vorbehalten", "hier klicken", "datenschutzerklärung", "newsletter abonnieren", "nutzungsbedingungen",
+    "aceptar cookies", "todos los derechos reservados", "haga clic aquí", "política de privacidad", "suscríbete", "términos de uso", "aviso legal",
+)
+NAVIGATION = (
+    "back to top", "home", "log in", "login", "menu", "next page", "previous page", "share this", "sign in", "sign up", "skip to content",
+    "accueil", "haut de page", "page suivante", "page précédente", "se connecter", "partager",
+    "startseite", "nach oben", "nächste seite", "vorherige seite", "anmelden", "teilen", "zum inhalt",
+    "inicio", "volver arriba", "página siguiente", "página anterior", "iniciar sesión", "compartir",
+)
+BARS = "|»›•·"
+OWNED = "©®™"
+LINK = r"://|^www\.|[^@]@[^@]+\.[^@]"
 SENTENCE_END = r"""[.!?…:]["')\]]*([\x20\x09-\x0D]|$)"""
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -43,28 +52,39 @@ class LineRules:
     symbols_per_100_words: int = 10
     shouts_per_100_words: int = 50
     bars: int = 3
+    links_per_100_words: int = 50
+    digits_per_100_chars: int = 40
     navigation_words: int = 6
     boilerplate_words: int = 12
     lost_percent: int = 30
     least_words: int = 50
     repeat_percent: int = 50
+    boilerplate: tuple[str, ...] = BOILERPLATE
+    navigation: tuple[str, ...] = NAVIGATION
 
 
 def rule_broken(line: str, n_words: int, rules: LineRules) -> str | None:
     """The first rule that a line breaks.  The sentence end is searched last: most lines end with one."""
     if 100 * sum(map(line.count, SYMBOLS)) > rules.symbols_per_100_words * n_words or 100 * line.count("!!") > rules.shouts_per_100_words * n_words:
         return "punctuation"
-    if line.count("|") >= rules.bars:
+    if sum(map(line.count, BARS)) >= rules.bars:
+        return "navigation"
+    raw = line.encode()
+    digits = len(raw) - len(raw.translate(None, b"0123456789"))
+    if 100 * digits > rules.digits_per_100_chars * (len(line) - sum(map(line.count, " \t\n\x0b\x0c\r"))):
+        return "boilerplate"
+    if ("@" in line or "://" in line or "www." in line) and 100 * sum(bool(_link(w)) for w in _words(line)) > rules.links_per_100_words * n_words:
         return "navigation"
     if n_words <= rules.boilerplate_words:
         low = line.translate(UPPER)
-        if n_words <= rules.navigation_words and low.lstrip(" \t\n\x0b\x0c\r").startswith(NAVIGATION):
+        if n_words <= rules.navigation_words and low.lstrip(" \t\n\x0b\x0c\r").startswith(rules.navigation):
             return "navigation"
-        if any(x in low for x in BOILERPLATE):
+        if any(x in low for x in rules.boilerplate) or any(x in line for x in OWNED):
             return "boilerplate"
     return None if _ended(line) else "punctuation"
 
 
+_link, _words = re.compile(LINK).search, re.compile(WORD).findall
 _ended = re.compile(SENTENCE_END).search
 
 
@@ -149,7 +169,8 @@ def sql(rules: LineRules = LineRules()) -> str:
     lists = lambda xs, f: " OR ".join(f(x) for x in xs)
     symbols = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
     shouts = "(length({0}) - length(replace({0}, '!!', ''))) / 2"
-    ended = SENTENCE_END.replace("'", "''")
+    quoted = lambda x: x.replace("'", "''")
+    ended = quoted(SENTENCE_END)
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -160,9 +181,11 @@ WITH d AS (
 ), judged AS (
   SELECT *, (100 * {symbols.format("ln")} > {rules.symbols_per_100_words} * n
     OR 100 * ({shouts.format("ln")}) > {rules.shouts_per_100_words} * n
-    OR length(ln) - length(replace(ln, '|', '')) >= {rules.bars}
-    OR n <= {rules.navigation_words} AND ({lists(NAVIGATION, lambda x: f"starts_with(ltrim(low, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{x}')")})
-    OR n <= {rules.boilerplate_words} AND ({lists(BOILERPLATE, lambda x: f"contains(low, '{x}')")})
+    OR length(regexp_replace(ln, '[^{BARS}]', '', 'g')) >= {rules.bars}
+    OR 100 * length(regexp_replace(ln, '[^0-9]', '', 'g')) > {rules.digits_per_100_chars} * length(regexp_replace(ln, '[\x20\x09-\x0D]', '', 'g'))
+    OR 100 * len(list_filter(regexp_extract_all(ln, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '{LINK}'))) > {rules.links_per_100_words} * n
+    OR n <= {rules.navigation_words} AND ({lists(rules.navigation, lambda x: f"starts_with(ltrim(low, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{quoted(x)}')")})
+    OR n <= {rules.boilerplate_words} AND ({lists(rules.boilerplate, lambda x: f"contains(low, '{quoted(x)}')")} OR regexp_matches(ln, '[{OWNED}]'))
     OR NOT regexp_matches(ln, '{ended}')) AS broken
   FROM line WHERE n > 0
 ), lines AS (
