@@ -166,3 +166,17 @@ def test_ring_odd_rows(spark):
     got = m06_ring.shard(df, 2, 4).collect()
     assert len(got) == 4 and sorted(r.shard for r in got) == [0, 0, 1, 1]
     assert m06_ring.shard(df.limit(0), 8, 8).count() == 0
+
+
+def test_ring_with_a_hot_key(spark):
+    """A third of all rows under a null key, many of them alike, in a cell that is ranked in parts."""
+    rows = [(k, f"t{k % 5}") for k in range(600)] + [(None, "same")] * 200 + [(None, f"o{i % 9}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for cell_rows in (20, 1_000_000):
+        got = m06_ring.shard(df, cell_rows=cell_rows).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(k) for k, _ in rows)
+        shards = {}
+        for r in got:
+            shards.setdefault(r.shard, []).append(r.slot)
+        assert sorted(shards) == list(range(8)) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+        assert all(sorted(x) == list(range(len(x))) for x in shards.values())

@@ -7,9 +7,12 @@ stay and how many move on: a fold over arcs and rounds, on one small row, whose
 parameters only.  Rows then find their shard by their rank in their arc.  Capacities differ by at most one and add
 up to the number of rows, so counts do as well; a key moves only where a full shard pushes it on.
 
-Rows shuffle once, without their texts, by ring cell: keys spread evenly there however skewed sources or texts
-are.  A null text has no bytes (size 1, checksum of the empty string); null keys and repeated keys are ordinary
-keys that share a cell, where ties fall to checksum and size.  An empty table gives an empty result.
+Texts are read once; what is needed of a row, its key, size and checksum, is written and shuffled by ring cell.  Keys
+spread evenly there however skewed sources or texts are.  A cell of more than ``cell_rows`` rows, as one of null or
+repeated keys can be, is ranked in parts, which also follow the partition that a row was read in.  A null text has no
+bytes (size 1, checksum of the empty string); null keys and repeated keys are ordinary keys that share a cell, where
+ties fall to checksum and size.  Keys can be of any type that casts to a string.  An empty table gives an empty
+result.  Columns beside the key and the text aren't read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 CELLS = 1 << 16
+PARTS = 256  # of a cell with many rows
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, list[int]]]:
@@ -81,7 +87,7 @@ def settle(cells: DataFrame, points: list[tuple[int, list[int]]], shards: int) -
     return taken.withColumn("slot0", F.coalesce(F.sum("keys").over(earlier), F.lit(0)))
 
 
-def shard(df: DataFrame, shards: int = 8, vnodes: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(df: DataFrame, shards: int = 8, vnodes: int = 64, key: str = "doc_id", text: str = "text", cell_rows: int = 1_000_000) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of every row; rows per shard differ by at most one."""
     points = ring(shards, vnodes)
     arcs = len(points)
@@ -91,8 +97,10 @@ def shard(df: DataFrame, shards: int = 8, vnodes: int = 64, key: str = "doc_id",
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body).alias("text_crc32"),
         cell_of(F.col(key)).alias("cell"),
+        F.spark_partition_id().alias("read_in"),
     )
-    cells = df.select(cell_of(F.col(key)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    rows = staged(rows, "ring-rows")
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"))
     ends = F.array(*[F.lit(c) for c, _ in points])
     # place of each cell in its arc: keys in ring order, and the cells behind the last point first of all
     arc = (F.size(F.filter(ends, lambda e: e < F.col("cell"))) % arcs).alias("arc")
@@ -101,14 +109,19 @@ def shard(df: DataFrame, shards: int = 8, vnodes: int = 64, key: str = "doc_id",
     placed = (
         cells.select("cell", "n", arc, turned.alias("turned"))
         .withColumn("cell_rank0", F.coalesce(F.sum("n").over(within), F.lit(0)))
-        .select(F.col("cell").alias("at_cell"), "arc", "cell_rank0")
+        .select(F.col("cell").alias("at_cell"), "arc", "cell_rank0", F.col("n").alias("in_cell"))
     )  # CELLS rows at most
     quotas = settle(cells, points, shards).groupBy("arc").agg(
         F.collect_list(F.struct("rank0", "keys", "shard", "slot0")).alias("quotas")
     )  # a row per arc, with an entry per shard at most
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy(key, "text_crc32", "size")) - 1)
-    joined = ranked.join(F.broadcast(placed), F.col("cell") == F.col("at_cell")).join(F.broadcast(quotas), "arc")
-    joined = joined.withColumn("rank", F.col("cell_rank0") + F.col("nth"))
+    part = F.when(F.col("in_cell") > cell_rows, F.pmod(F.xxhash64(key, "text_crc32", "size", "read_in"), F.lit(PARTS))).otherwise(0)
+    located = rows.join(F.broadcast(placed), F.col("cell") == F.col("at_cell")).withColumn("part", part)
+    sizes = located.where(F.col("in_cell") > cell_rows).groupBy(F.col("cell").alias("_cell"), F.col("part").alias("_part")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_cell", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_rank0"))
+    ranked = located.withColumn("nth", F.row_number().over(Window.partitionBy("cell", "part").orderBy(key, "text_crc32", "size")) - 1)
+    ranked = ranked.join(sizes, (F.col("cell") == F.col("_cell")) & (F.col("part") == F.col("_part")), "left")
+    joined = ranked.join(F.broadcast(quotas), "arc").withColumn("rank", F.col("cell_rank0") + F.coalesce("part_rank0", F.lit(0)) + F.col("nth"))
     mine = F.filter("quotas", lambda q: (q["rank0"] <= F.col("rank")) & (F.col("rank") < q["rank0"] + q["keys"]))[0]
     return joined.withColumn("q", mine).select(
         key, "size", "text_crc32", F.col("q.shard").cast("int").alias("shard"), (F.col("q.slot0") + F.col("rank") - F.col("q.rank0")).cast("long").alias("slot")
