@@ -47,3 +47,56 @@ def test_grade_probabilities_are_cumulative_logistic():
 
 def test_registered():
     assert "op9_ordinal_quality" in queries.QUERIES
+
+
+def test_fit_against_a_plain_version():
+    """The fitted model lowers the written-out objective to where its numeric gradient vanishes; and scores are sums."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 7))).astype(np.int32) for _ in range(400)]
+    latent = np.array([r.sum() / 8 for r in rows]) + rng.logistic(size=400)
+    grades = np.digitize(latent, [1.0, 2.5])
+    model = m09_ordinal.fit([r.copy() for r in rows], grades, 3, least_documents=1, least_z=0.0, steps=3000, ridge=1e-3)
+
+    def objective(x):
+        w, theta = x[:12], x[12:]
+        total = 0.0
+        for r, g in zip(rows, grades):
+            below = [0.0, *(1 / (1 + np.exp(-(t - w[r].sum()))) for t in theta), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(rows) + 1e-3 / 2 * (w**2).sum()
+
+    best = np.concatenate([model.weights[:12], model.thresholds])
+    slope = [(objective(best + 1e-5 * e) - objective(best - 1e-5 * e)) / 2e-5 for e in np.eye(14)]
+    assert np.abs(slope).max() < 2e-3, slope
+    start = objective(np.concatenate([np.zeros(12), [-0.5, 0.5]]))
+    assert objective(best) < start - 0.05
+
+
+def test_scores_against_a_plain_version(spark):
+    """Every row's score, grade and tail, recomputed from its words with a plain loop."""
+    import zlib
+
+    texts = ["Good, good words here!! and MORE", "bad*** words### x", None, "", "a b", "one one one two", "é ÄÖÜ ß"]
+    rng = np.random.default_rng(2)
+    model = m09_ordinal.OrdinalModel(rng.normal(size=1 << m09_ordinal.BITS), np.array([-0.4, 0.9]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in m09_ordinal.score(docs, model, 2, 0.3).collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        names = {b"tall"}
+        if sum(a == b for a, b in zip(words, words[1:])) * 5 > len(words) > 0:
+            names.add(b"tstutter")
+        if len(words) < 5:
+            names.add(b"tshort")
+        for w in words:
+            core = w.lower().strip(b".,!?*#$%&|;:\"'()<>")
+            if core:
+                names |= {b"w" + core, b"4" + core[:4], b"5" + core[:5]}
+            end = w[len(w.rstrip(b"!?*#$%&|;:<>")) :][:2]
+            if end:
+                names.add(b"m" + end)
+            if len(w) > 2 and w.isupper():
+                names.add(b"upper")
+        s = sum(model.weights[i] for i in {zlib.crc32(n) % (1 << m09_ordinal.BITS) for n in names})
+        below = [1 / (1 + np.exp(s - t)) for t in model.thresholds]
+        assert abs(r.score - s) < 1e-9 and abs(r.tail_probability - (1 - below[1])) < 1e-9
+        assert abs(r.expected_grade - ((1 - below[0]) + (1 - below[1]))) < 1e-9 and r.kept == (1 - below[1] >= 0.3)
