@@ -1,11 +1,11 @@
 """Packing along a space-filling curve.
 
 Each document's token counts are hashed into a vector, projected to a few dimensions by a fixed random matrix,
-and mapped to its place on a Hilbert curve.  Documents are range-partitioned and sorted by that place (ties by
-id, so thousands of copies at one place still spread), and each partition's documents are packed one after
-another into sequences of a fixed length: neighbours on the curve, which are alike, share sequences.  Documents
-are cut where a sequence ends, so only the last sequence of a partition has padding; partitions are sized in
-tokens, which keeps padding below ``length / tokens_per_partition``.
+and mapped to its place on a Hilbert curve.  The curve is cut into ranges of about equally many tokens, by the tokens
+in each of its 65,536 coarse cells; a cell of more tokens than a range, as thousands of copies make it, is dealt over
+several by the documents' ids.  Each range is sorted by place and packed into sequences of a fixed length: neighbours
+on the curve, which are alike, share sequences.  Documents are cut where a sequence ends, so only the last sequence of
+a range has padding: half a sequence in ``tokens_per_partition`` on average, where there are that many tokens.
 
 Ids are integers.  A null text is an empty document: its end id alone.  Repeated rows are packed as often as they
 occur.  An empty table gives no piece.  Null ids sort first.  Columns beside the key and the text aren't read.  A text
@@ -26,6 +26,7 @@ from .common import map_columns, ship, staged, to_batch, whole_ids
 from .word_tokens import WordIds
 
 DIMENSIONS, BITS, BUCKETS, SEED = 4, 8, 4096, 20_210_917
+COARSE = 16  # of the key's bits
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -99,14 +100,34 @@ def curve_documents(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
     return map_columns(df, [key, text], "place long, doc_id long, n_tokens long, ids binary", make, as_lists=False)
 
 
+def coarse(place):
+    """One of 65,536 stretches of the curve."""
+    return F.shiftright(place, DIMENSIONS * BITS - COARSE).cast("int")
+
+
+def curve_ranges(placed: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+    """(cell, first, parts) for each coarse cell with documents: the first range that takes it, and over how many it is
+    dealt; and the number of ranges.  At most 65,536 rows of sums reach the driver."""
+    sums = placed.groupBy(coarse(F.col("place")).alias("cell")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
+    rows, at, held = [], 0, 0
+    for r in sorted(sums, key=lambda r: r.cell):
+        parts = min(-(-r.n // tokens), r.docs)
+        if held and held + r.n > tokens:
+            at, held = at + 1, 0
+        rows.append((r.cell, at, parts))
+        at, held = (at + parts, 0) if parts > 1 else (at, held + r.n)
+    return placed.sparkSession.createDataFrame(rows, "cell int, first int, parts int"), max(1, at + (held > 0))
+
+
 def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, tokens_per_partition: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     ship(df.sparkSession)
     df = whole_ids(df, key)
     placed = staged(curve_documents(df, tokenizer_path, end_id, key, text), "curve")  # else sorting would tokenize twice
-    tokens = placed.agg(F.sum("n_tokens")).first()[0] or 0
-    partitions = max(1, -(-tokens // tokens_per_partition))
-    ordered = placed.repartitionByRange(partitions, "place", "doc_id").sortWithinPartitions("place", "doc_id", "ids")
+    ranges, partitions = curve_ranges(placed, tokens_per_partition)
+    among = F.pmod(F.xxhash64("doc_id", "n_tokens"), "parts").cast("int")
+    located = placed.join(F.broadcast(ranges), coarse(F.col("place")) == F.col("cell")).withColumn("range", F.col("first") + among)
+    ordered = located.repartitionById(partitions, "range").sortWithinPartitions("place", "doc_id", "ids")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
