@@ -34,9 +34,9 @@ def brute(rows, window=13):
     return sorted(out, key=str)
 
 
-def check(spark, rows, parts=3):
+def check(spark, rows, parts=3, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS starts", "1 AS n", "2 AS _doc").repartition(parts)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in m.digest_removals(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in m.digest_removals(df, **options).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -54,6 +54,7 @@ def test_removals(spark):
     rows += [(20, "z " * 30_000), (21, "z " * 12), (22, "z " * 13), (30, rows[4][1]), (30, rows[4][1]), (-5, rows[9][1])]
     check(spark, rows)
     check(spark, rows, 1)
+    check(spark, rows, 2, most_bits=64)  # more symbols than a bitmap tells apart
 
 
 def test_empty(spark):

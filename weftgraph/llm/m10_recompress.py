@@ -9,7 +9,8 @@ that symbol in every document.
 Names are digests of what they name, so all tasks agree on them without exchanging tables of names; what Spark
 rounds settle is which symbols several documents share.  The first elects, for each window, one of the symbols that
 it settles (the longest, in bytes), and groups elected symbols: a window can only repeat if its elected symbol does,
-which leaves few candidates.  The second verifies: candidate windows are grouped by 128 bits of their words, in two
+which leaves few candidates; shared symbols are told by a bitmap, or, where they are too many for one, by joins.  The
+second verifies: candidate windows are grouped by 128 bits of their words, in two
 lanes that share no intermediate value, and all but those of the smallest document are removed.  Naming stops after
 ``ROUNDS`` rounds, since contexts widen by each: in windows of 13 words, symbols of a third round fit a third of all
 windows, those of a fourth next to none.
@@ -42,6 +43,7 @@ from .m08_minhash import MIX, mixed
 
 WINDOW, ROUNDS = 13, 2
 WHOLE = -1  # as a run of windows: all words, if they make a window
+FILL = 8  # bits per repeated symbol, below which a bitmap would let too many others pass
 FAR = 1 << 40  # a context that reaches beyond a document's end fits no window
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -189,6 +191,34 @@ def repeated_symbols(df: DataFrame, copied, window: int, rounds: int) -> DataFra
     return seen.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("key")
 
 
+def listed_windows(df: DataFrame, copied, symbols: DataFrame, window: int, rounds: int) -> DataFrame:
+    """``df`` with a column ``runs``: the runs of each document's windows whose elected symbol is in ``symbols``.
+
+    The same choice as by a bitmap, by joins on the symbols and on the documents: for more symbols than a bitmap can
+    tell apart.  A row per stretch of windows that elect alike is shuffled, then each text once.
+    """
+
+    def make():
+        read = Reader(window)
+
+        def some(ids, texts, numbers):
+            ids, texts = other_rows(copied.value, ids, texts, numbers)
+            lanes, document, sizes, place, starts = read(texts)
+            best = elected(lanes[0], document, sizes, window, rounds)
+            at = np.flatnonzero(starts & (best != NONE))
+            key, doc, start = best[at].view(np.int64), ids.to_numpy()[document[at]], place[at]
+            new = np.append(True, (key[1:] != key[:-1]) | (document[at][1:] != document[at][:-1]) | (start[1:] != start[:-1] + 1)) if len(at) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(at)))
+            yield key[first], doc[first], start[first] | many << 32
+
+        return some
+
+    stretches = map_arrays(df, ["doc_id", "text", "n"], "key long, doc long, run long", make)
+    chosen = stretches.join(symbols.select("key").hint("merge"), "key").groupBy("doc").agg(F.collect_list("run").alias("runs"))  # a document's own
+    return df.join(chosen, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "n", "runs")
+
+
 class Met:
     """Windows that a task has met in several documents, with the smallest of these; bounded."""
 
@@ -222,6 +252,18 @@ def runs_of(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return doc[first], start[first] | (start[last] - start[first] + 1) << 32
 
 
+def listed_words(runs: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Which words, of documents with so many each, start a window of their document's ``runs`` (null: none)."""
+    size = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    flat = runs.flatten().to_numpy(zero_copy_only=False)
+    base, most = np.repeat(np.cumsum(words) - words, size), np.repeat(words, size)
+    start = np.minimum(flat & 0xFFFFFFFF, most)  # rows of equal id share their runs, whatever their lengths
+    inside = np.zeros(int(words.sum()) + 1, np.int64)
+    np.add.at(inside, base + start, 1)
+    np.add.at(inside, base + np.minimum(start + (flat >> 32), most), -1)
+    return np.cumsum(inside)[:-1] > 0
+
+
 def copies(df: DataFrame, rows: int) -> DataFrame:
     """Ids of documents whose whole text a document with a smaller id has."""
     known = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
@@ -231,7 +273,7 @@ def copies(df: DataFrame, rows: int) -> DataFrame:
     return known.join(least, "digest").where("doc_id > least").select("doc_id").distinct()
 
 
-def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, run) of the windows that a document with a smaller id holds too, as ``runs_of`` has them; ``WHOLE`` for
     copies of a text."""
     spark = df.sparkSession
@@ -242,18 +284,30 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
     copied = members_of(whole, df)
     df = df.withColumn("n", spread_id("doc_id"))
     symbols = staged(repeated_symbols(df, copied, window, rounds), "repeat-symbols", rows=n)
-    bits = spark.sparkContext.broadcast(bits_of(symbols, "key"))
-    discard(symbols)
+    columns = ["doc_id", "text", "n"]
+    by_bitmap = symbols.count() * FILL <= most_bits
+    if by_bitmap:
+        bits = spark.sparkContext.broadcast(bits_of(symbols, "key", most=most_bits))
+        discard(symbols)
+    else:
+        df = listed_windows(df, copied, symbols, window, rounds)
+        columns.append("runs")
 
     def make():
         read, met = Reader(window), Met()
-        perhaps = bits.value.perhaps
 
-        def some(ids, texts, numbers):
+        def some(ids, texts, numbers, listed=None):
+            if listed is not None:
+                listed = listed.filter(pa.array(~copied.value.surely(numbers.to_numpy())))
             ids, texts = other_rows(copied.value, ids, texts, numbers)
             lanes, document, sizes, place, starts = read(texts)
             best = elected(lanes[0], document, sizes, window, rounds)
-            at = np.flatnonzero(starts & ((best == NONE) | perhaps(best.view(np.int64))))
+            likely = best == NONE
+            if listed is None:
+                likely |= bits.value.perhaps(best.view(np.int64))
+            else:
+                likely |= listed_words(listed, np.bincount(document, minlength=len(ids)))
+            at = np.flatnonzero(starts & likely)
             if not len(at):
                 return
             a, b = window_hashes(lanes, at, window)
@@ -283,7 +337,7 @@ def repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFr
 
         return some
 
-    found = map_arrays(df, ["doc_id", "text", "n"], "a long, b long, doc_id long, run long", make)
+    found = map_arrays(df, columns, "a long, b long, doc_id long, run long", make)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -339,10 +393,10 @@ def removed_words(n: int, runs, window: int) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words joined by spaces."""
     df = whole_ids(df.select("doc_id", "text"), "doc_id")
-    marks = staged(repeats(df, window, rounds), "repeats", rows=df.count())
+    marks = staged(repeats(df, window, rounds, most_bits), "repeats", rows=df.count())
     clear, joined, runs = marked(df, marks)
 
     def make():
