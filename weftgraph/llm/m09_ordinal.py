@@ -9,6 +9,9 @@ The model is fitted by accelerated gradient steps on a sample of rated rows, bou
 the smallest hash of their id); features of fewer than ``least_documents`` sampled rows are left out.  Scoring
 covers every row, without a shuffle.
 
+Keys can be of any type.  ``score`` reads the key and the text alone; ``select_documents`` returns all columns, whatever
+their names and types, as they are.  A text is scored by one task, which holds its distinct words.
+
 A null or empty text has no words: it gets the score of the constant features alone.  Equal texts get equal
 scores.  Ratings that are null, or of unknown documents, are ignored; repeated ratings count once per row.
 Without any rating, or with one grade only, the thresholds alone decide and all rows get that grade.
