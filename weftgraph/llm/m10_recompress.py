@@ -396,7 +396,7 @@ def removed_words(n: int, runs, window: int) -> np.ndarray:
 def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, most_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words joined by spaces."""
     df = whole_ids(df.select("doc_id", "text"), "doc_id")
-    marks = staged(repeats(df, window, rounds, most_bits), "repeats", rows=df.count())
+    marks = staged(repeats(df, window, rounds, most_bits), "repeats")
     clear, joined, runs = marked(df, marks)
 
     def make():
@@ -415,7 +415,7 @@ def digest_removals(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, m
 
 def strip_repeats(df: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The documents with repeated words, and the white space behind them, taken out of their texts."""
-    marks = staged(repeats(df, window, rounds), "repeats", rows=df.count())
+    marks = staged(repeats(df, window, rounds), "repeats")
     clear, joined, runs = marked(df, marks)
     word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
