@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Memo, bits_of, discard, map_arrays, map_columns, map_rows, members_of, shared_dir, spread_id, staged, whole_ids
+from .common import Memo, bits_of, discard, map_arrays, map_columns, map_rows, members_of, shared_dir, spread_id, staged, where_number, whole_ids
 
 BANDS, ROWS, SEED, BLOCK, BATCH = 60, 8, 8_128, 1000, 40
 BLOCK_BYTES = 8 << 20
+SIGNED = 1000  # bytes that a document's keys and signature take, about
 COMPARED = 240  # values of a signature that pairs are compared by
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -141,7 +142,7 @@ def full_sets(df: DataFrame, chosen: DataFrame, shingle: int, bands: int, rows:
             for k, raw, yes in zip(ids, raws, perhaps(np.asarray(numbers, np.int64)).tolist()):
                 if yes and len(s := shingles(raw)):
                     keys, signature = sign(s)
-                    yield k, keys.tobytes(), signature.tobytes(), s.tobytes(), 1000 + s.nbytes
+                    yield k, keys.tobytes(), signature.tobytes(), s.tobytes(), SIGNED + s.nbytes
 
         return some
 
@@ -175,23 +176,35 @@ class Test:
         return 100 * both >= self.percent * (len(one) + sizes - both), both
 
 
-def confirmed(pairs: DataFrame, percent: int, miss: float, values: int) -> DataFrame:
-    """Pairs (a, b, sa, sb, xa, xb) of ids, signatures and sets that reach the threshold, as (a, b)."""
+def plausible(pairs: DataFrame, percent: int, miss: float, values: int) -> DataFrame:
+    """The pairs (a, b, sa, sb, na, nb) of ids, signatures and set sizes that the sequential test leaves, as (a, b)."""
 
     def make():
         test = Test(percent, miss, values)
 
-        def some(a, b, sa, sb, xa, xb):
+        def some(a, b, sa, sb, na, nb):
             x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(a), -1) for s in (sa, sb))
-            nx, ny = (np.fromiter(map(len, s), np.int64, len(a)) // 8 for s in (xa, xb))
             i = np.arange(len(a))
-            for k in test.plausible(x, y, nx, ny, i, i).tolist():
-                if test.linked(np.frombuffer(xa[k], np.uint64), [np.frombuffer(xb[k], np.uint64)])[0][0]:
-                    yield a[k], b[k]
+            return [(a[k], b[k]) for k in test.plausible(x, y, np.asarray(na), np.asarray(nb), i, i).tolist()]
 
         return some
 
-    return map_columns(pairs, ["a", "b", "sa", "sb", "xa", "xb"], "a long, b long", make, rows_at_once=256)
+    return map_columns(pairs, ["a", "b", "sa", "sb", "na", "nb"], "a long, b long", make)
+
+
+def confirmed(pairs: DataFrame, percent: int, miss: float, values: int) -> DataFrame:
+    """The pairs (a, b, xa, xb) of ids and whole sets that reach the threshold, as (a, b)."""
+
+    def make():
+        test = Test(percent, miss, values)
+
+        def one(a, b, xa, xb):
+            if test.linked(np.frombuffer(xa, np.uint64), [np.frombuffer(xb, np.uint64)])[0][0]:
+                yield a, b
+
+        return one
+
+    return map_rows(pairs, ["a", "b", "xa", "xb"], "a long, b long", make)
 
 
 def block_links(table: pa.Table, percent: int, miss: float) -> pa.Table:
@@ -256,10 +269,19 @@ def near_duplicates(
     # each document with the smallest of most of its buckets
     centres = inside.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("n"))
     stars = centres.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a"))
+    for end in ("a", "b"):  # the same plan at every size: signatures and sets are shuffled, never broadcast
+        side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), ((F.col("bytes") - SIGNED) / 8).cast("long").alias("n" + end))
+        stars = stars.join(side.hint("merge"), end)
+    values = min(COMPARED, bands * rows)
+    stars = staged(plausible(stars, percent, miss, values), "minhash-plausible", rows=size)
+    # whole sets travel for what the test left alone
+    ends = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    left = spark.sparkContext.broadcast(bits_of(ends.select(spread_id("doc_id").alias("n")), "n"))
+    chosen = where_number(sets.select("doc_id", "shingles", spread_id("doc_id").alias("n")), "n", lambda n: left.value.perhaps(n))
+    pairs = stars
     for end in ("a", "b"):
-        side = sets.select(F.col("doc_id").alias(end), F.col("signature").alias("s" + end), F.col("shingles").alias("x" + end))
-        stars = stars.join(side.hint("merge"), end)  # the same plan at every size: sets are shuffled, never broadcast
-    links = staged(confirmed(stars, percent, miss, min(COMPARED, bands * rows)), "minhash-links", rows=size)
+        pairs = pairs.join(chosen.select(F.col("doc_id").alias(end), F.col("shingles").alias("x" + end)).hint("merge"), end)
+    links = staged(confirmed(pairs, percent, miss, values), "minhash-links", rows=size)
     first = components(links, "a", "b")
 
     # clusters: components that share a bucket
