@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, map_rows, shared_dir, whole_ids
+from .common import map_columns, map_rows, shared_dir, staged, whole_ids
 from .word_tokens import WordIds
 
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>, file int, place long"
@@ -96,7 +96,7 @@ def starts(df: DataFrame, sizes: DataFrame, rows_per_block: int) -> DataFrame:
     ``sizes``: the same rows' file, place and n_tokens, where they can be read more cheaply.
     """
     block = F.floor(F.col("place") / rows_per_block).alias("block")
-    blocks = sizes.groupBy("file", block).agg(F.sum("n_tokens").alias("size"))
+    blocks = staged(sizes.groupBy("file", block).agg(F.sum("n_tokens").alias("size")), "orc-blocks")  # a row per block, used three times
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     bases = file_bases(blocks.groupBy("file").agg(F.sum("size").alias("size")))
