@@ -251,6 +251,7 @@ def near_duplicates(
     df = whole_ids(df, key)
     docs = staged(signed(df, shingle, bands, rows, key, text), "minhash", "none")
     size = docs.count()
+    sizes_of = staged(docs.select("doc_id", "n_shingles"), "minhash-sizes")
     full = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # what is grouped by a key is written before it is joined by it: a join of two plain reads can be split at hot keys
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").select("digest", "rep")
@@ -264,7 +265,7 @@ def near_duplicates(
     shared = spark.sparkContext.broadcast(bits_of(buckets, "key"))
     inside = staged(bucket_rows(full, copied, shared).join(buckets.hint("merge"), "key").select("key", "doc_id", "least").distinct(), "minhash-buckets", rows=size)
     sets = staged(full_sets(df, inside.select("doc_id").distinct(), shingle, bands, rows, key, text), "minhash-sets", "none")
-    discard(classes, buckets)
+    discard(classes, buckets, docs)  # the largest table, of all documents' band keys, has served
 
     # each document with the smallest of most of its buckets
     centres = inside.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("n"))
@@ -289,6 +290,7 @@ def near_duplicates(
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
     mixed_keys = staged(mixed_keys, "minhash-mixed", rows=size)
     open_ = staged(named.join(mixed_keys, "key").select("doc_id", "component", "low").distinct(), "minhash-open", rows=size)
+    discard(inside)
     clusters = components(open_.where("component <> low").select("component", "low").distinct(), "component", "low")
     clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     held = open_.select("doc_id", "component").distinct().join(clusters, "component")
@@ -326,6 +328,6 @@ def near_duplicates(
     of_copies = copies.join(last, copies["rep"] == last["node"], "left").select(F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
     of_others = last.select(F.col("node").alias("_doc"), F.col("component").alias("_component")).join(copies.select(F.col("doc_id").alias("_doc")), "_doc", "left_anti")
     names = staged(of_copies.unionByName(of_others), "minhash-names", rows=size)
-    out = docs.select("doc_id", "n_shingles").join(names, F.col("doc_id") == F.col("_doc"), "left")
+    out = sizes_of.join(names, F.col("doc_id") == F.col("_doc"), "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
