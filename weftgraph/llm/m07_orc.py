@@ -16,13 +16,15 @@ A text is tokenized by one task.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, map_rows, shared_dir, staged, whole_ids
+from .common import map_rows, shared_dir, ship, staged, task, whole_ids
 from .word_tokens import WordIds
 
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>, file int, place long"
@@ -30,21 +32,30 @@ FILES_PER_GROUP = 4096
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    def make():
-        words = WordIds.of(tokenizer_path)
-        end = np.uint32(end_id)
-        file, place = TaskContext.get().partitionId(), 0
-
-        def some(keys, texts):
-            nonlocal place
-            for k, ids in zip(keys.to_pylist(), words.ids_many(texts)):
-                ids = np.append(ids, end)
-                yield k, ids.size, ids.view("<i4"), file, place
-                place += 1
-
-        return some
-
-    return map_columns(df, [key, text], FILE_SCHEMA, make, as_lists=False)
+    """Rows of ``FILE_SCHEMA``; ids go from the tokenizer to Arrow as whole columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ship(df.sparkSession)
+    schema = _parse_datatype_string(FILE_SCHEMA)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task(lambda: WordIds.of(tokenizer_path)) as words:
+            file, place = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    keys, texts = batch.slice(at, 512).columns
+                    ids, ends = words.joined(texts)
+                    n = np.diff(ends, prepend=0) + 1
+                    ids = np.insert(ids, ends, end_id).view(np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), type=arrow.field("ids").type)
+                    columns = [keys.cast(pa.int64()), pa.array(n), lists, pa.array(np.full(len(n), file, np.int32)), pa.array(np.arange(place, place + len(n)))]
+                    place += len(n)
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def write_orc(df: DataFrame, path: str, tokenizer_path: str, end_id: int, bytes_per_file: int = 32 << 20, stripe_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> None:

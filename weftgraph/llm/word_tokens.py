@@ -112,18 +112,35 @@ class WordIds:
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return ids, begins, ends - begins
 
-    def ids_many(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = texts.fill_null("")
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are encoded as they are."""
         whole = np.full(len(texts), not self.by_word)
         for s in self.specials:  # their strings are found before words are split
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return whole
+
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids by way of their words, one text after another, and each text's end."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, begins, lengths = self._distinct(words.dictionary)
+        ids, ends = spread(ids, begins, lengths, words.indices.to_numpy())
+        return ids, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, one text after another, and each text's end."""
+        texts = texts.fill_null("")
+        if not self._whole(texts).any():
+            return self._joined(texts)
+        each = self.ids_many(texts)
+        return np.concatenate(each), np.cumsum([x.size for x in each])
+
+    def ids_many(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("")
+        whole = self._whole(texts)
         out: list = [None] * len(texts)
         if not whole.all():
-            split = pc.ascii_split_whitespace(texts)
-            words = split.flatten().dictionary_encode()
-            ids, begins, lengths = self._distinct(words.dictionary)
-            ids, ends = spread(ids, begins, lengths, words.indices.to_numpy())
-            cuts = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+            ids, cuts = self._joined(texts)
             out = np.split(ids, cuts[:-1]) if len(cuts) else []
         for i in np.flatnonzero(whole):
             out[i] = np.frombuffer(self._each([texts[i].as_py()])[0], "<u4")
