@@ -168,6 +168,16 @@ def test_ring_odd_rows(spark):
     assert m06_ring.shard(df.limit(0), 8, 8).count() == 0
 
 
+def test_ring_sql_agrees(spark, tmp_path):
+    rows = [(k * 7919, f"t\u00e9xt {k}" * (k % 5)) for k in range(500)] + [(None, f"o{i % 9}") for i in range(40)] + [(5, None), (5, "b"), (5, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(queries.SQL["op6_ring_shards"]).fetchall()
+    got = queries.op6_ring_shards(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == len(rows)
+
+
 def test_ring_with_a_hot_key(spark):
     """A third of all rows under a null key, many of them alike, in a cell that is ranked in parts."""
     rows = [(k, f"t{k % 5}") for k in range(600)] + [(None, "same")] * 200 + [(None, f"o{i % 9}") for i in range(100)]

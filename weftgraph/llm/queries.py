@@ -136,4 +136,55 @@ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id"""
 
-SQL: dict[str, str] = {"op1_line_quality": m01_lines.sql(), "op4_url_automaton": URL_SQL, "op8_minhash_groups": NEAR_SQL, "op10_recompress": REPEATS_SQL}
+#: CRC-32 by its table, and the ring's fold as a recursion of one row per step.
+RING_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 4) AS INTEGER) AS cell
+  FROM documents
+), s AS (
+  SELECT doc_id, size, cell,
+         xor(4294967295, list_reduce([4294967295] || list_transform(bytes, lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM d, crc_table
+), points AS (
+  SELECT cell, min(s) AS shard FROM (SELECT a.s, CAST('0x' || substr(md5('shard ' || a.s || ' point ' || b.v), 1, 4) AS INTEGER) AS cell FROM range(8) a(s), range(64) b(v)) GROUP BY cell
+), arcs AS (
+  SELECT cell, shard, row_number() OVER (ORDER BY cell) - 1 AS arc, count(*) OVER () AS n FROM points
+), met AS (
+  SELECT a.arc, b.shard, row_number() OVER (PARTITION BY a.arc ORDER BY min((b.arc - a.arc + a.n) % a.n)) - 1 AS round FROM arcs a, arcs b GROUP BY a.arc, b.shard
+), target AS (SELECT list(shard + 1 ORDER BY round, arc) AS target FROM met),
+cells AS (
+  SELECT c.cell, c.n, coalesce(a.arc, 0) AS arc, CASE WHEN a.arc IS NULL THEN c.cell - 65536 ELSE c.cell END AS turned
+  FROM (SELECT cell, count(*) AS n FROM s GROUP BY cell) c ASOF LEFT JOIN arcs a ON c.cell <= a.cell
+), placed AS (
+  SELECT cell, arc, coalesce(sum(n) OVER (PARTITION BY arc ORDER BY turned ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rank0 FROM cells
+), have AS (
+  SELECT arcs.arc, CAST(coalesce(sum(cells.n), 0) AS BIGINT) AS n FROM arcs LEFT JOIN cells ON cells.arc = arcs.arc GROUP BY arcs.arc
+), fold(k, waiting, took, room, queue) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(range(8), lambda i: CAST(sum(n) AS BIGINT) // 8 + CASE WHEN i < CAST(sum(n) AS BIGINT) % 8 THEN 1 ELSE 0 END), list(n ORDER BY arc) FROM have
+  UNION ALL
+  SELECT k + 1, queue[1], least(queue[1], room[target[k + 1]]),
+         list_transform(room, lambda r, i: r - CASE WHEN i = target[k + 1] THEN least(queue[1], r) ELSE 0 END),
+         list_append(queue[2:], queue[1] - least(queue[1], room[target[k + 1]]))
+  FROM fold, target WHERE k < len(target)
+), taken AS (
+  SELECT (k - 1) % len(queue) AS arc, (k - 1) // len(queue) AS round, target[k] - 1 AS shard, waiting, took FROM fold, target WHERE took > 0
+), quotas AS (
+  SELECT t.arc, t.shard, have.n - waiting AS rank0, took,
+         coalesce(sum(took) OVER (PARTITION BY t.shard ORDER BY t.arc, t.round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot0
+  FROM taken t JOIN have ON have.arc = t.arc
+), ranked AS (
+  SELECT s.doc_id, size, text_crc32, arc, rank0 + row_number() OVER (PARTITION BY s.cell ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS rank FROM s JOIN placed ON placed.cell = s.cell
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(slot0 + rank - rank0 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked r JOIN quotas q ON q.arc = r.arc AND q.rank0 <= r.rank AND r.rank < q.rank0 + q.took"""
+
+SQL: dict[str, str] = {
+    "op1_line_quality": m01_lines.sql(),
+    "op4_url_automaton": URL_SQL,
+    "op6_ring_shards": RING_SQL,
+    "op8_minhash_groups": NEAR_SQL,
+    "op10_recompress": REPEATS_SQL,
+}
