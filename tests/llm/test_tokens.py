@@ -1,13 +1,14 @@
 import base64
 import hashlib
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -83,8 +84,13 @@ def test_bpe_edits(tik, coder, data):
     assert e.tokens() == tik.encode_ordinary(e.text)
 
 
+@cache
+def word_tokenizer():
+    return Tokenizer.from_file(queries.WORD_BPE)
+
+
 def word_ids(text):
-    return Tokenizer.from_file(queries.WORD_BPE).encode(text or "", add_special_tokens=False).ids
+    return word_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)

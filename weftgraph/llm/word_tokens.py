@@ -5,7 +5,9 @@ a core of letters in lower case; only cores that a bounded memo lacks are encode
 the tokens that end a word.  The texts' ids are then gathered from those of their words.
 
 This is exact for tokenizers whose pre-tokenizer never joins text across white space, drops it, and parts letters
-from ASCII marks.  A probe checks it on construction; if it fails, whole texts are encoded.
+from ASCII marks.  A probe checks it on construction; if it fails, whole texts are encoded.  Letters that the
+normalizer turns into a letter and a sign (a dotted capital I, letters with points) would join the marks behind
+them: words with such a letter at the end of their core aren't parted.
 """
 
 from __future__ import annotations
@@ -35,6 +37,15 @@ def plain(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
+def unstable_letters(tokenizer) -> list[str] | None:
+    """Letters that don't stay letters when ``tokenizer`` normalizes them; None where it joins or splits words."""
+    if tokenizer.normalizer is None:
+        return []
+    letters = [c for c in map(chr, range(1 << 18)) if c.isalpha()]  # Unicode has letters in its first four planes alone
+    found = tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ")
+    return [c for c, x in zip(letters, found) if not x.isalpha()] if len(found) == len(letters) else None
+
+
 class WordIds:
     """``ids_many(texts)``: the ids of each text of an Arrow string array, as unsigned 32-bit integers."""
 
@@ -48,9 +59,11 @@ class WordIds:
         self.ends[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
         self.limit, self.young, self.old = limit, {}, {}
         self.specials = [x.content for x in t.get_added_tokens_decoder().values() if x.content]
+        unstable = unstable_letters(t)
+        self.unstable = pa.array(unstable or [], pa.string())
         self.by_word = True
         probe = pa.array([PROBE])
-        self.by_word = self.ids_many(probe)[0].tolist() == t.encode(PROBE, add_special_tokens=False).ids
+        self.by_word = unstable is not None and self.ids_many(probe)[0].tolist() == t.encode(PROBE, add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -88,7 +101,7 @@ class WordIds:
         """Ids of distinct words, joined, with begins and lengths."""
         left = pc.ascii_ltrim(words, characters=MARKS)
         core = pc.ascii_rtrim(left, characters=MARKS)
-        letters = pc.utf8_is_alpha(core)
+        letters = pc.and_not(pc.utf8_is_alpha(core), pc.is_in(pc.utf8_slice_codeunits(core, -1), value_set=self.unstable))
         body = pc.if_else(letters, pc.ascii_lower(core), words).dictionary_encode()
         cores = body.dictionary
         units = self._known(plain(cores), plain(pc.utf8_is_alpha(cores)))
