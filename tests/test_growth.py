@@ -62,3 +62,39 @@ def test_closest_of_several_without_all_pairs(spark, monkeypatch, block):
                 want.add((domain, s, label, other, min(known)[1], -min(known)[0]))
     got = match.vector_all_match(labels, match.label_index(labels), spark.createDataFrame(list(vectors.items()), "uri string, vector array<float>")).collect()
     assert len(got) == len(want) and {(*r[:5], round(r[5], 9)) for r in got} == {(*r[:5], round(r[5], 9)) for r in want}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_components_by_blocks(spark, monkeypatch, block):
+    import random
+
+    from weftgraph.operators import components
+
+    if block == 1000:  # what one block settles takes no rounds
+        monkeypatch.setattr(components, "connected_components", lambda *a, **k: pytest.fail("rounds"))
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(90)] + [("x", "x"), ("y", None), ("é", "z"), ("z", "😀")] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    of = {n: n for link in links if None not in link for n in link}
+    for _ in links:
+        for a, b in links:
+            if b is not None:
+                of[a] = of[b] = min(of[a], of[b])
+    df = spark.createDataFrame(links, "a string, b string").repartition(3)
+    got = components.components_by_blocks(df, "a", "b", block).collect()
+    assert len(got) == len(of) and {r.node: r.component for r in got} == of
+    assert components.components_by_blocks(df.limit(0), "a", "b").count() == 0
+
+
+def test_rewriting_with_few_or_many_properties(spark, monkeypatch):
+    from weftgraph.operators import fuse
+
+    facts = [("a", "p1", "b", "iri", ""), ("b", "p2", "a", "literal", "@en"), ("c", "p3", "a", "iri", ""), ("a", "p1", "x", None, None), ("a", None, "b", "iri", "")]
+    triples = spark.createDataFrame(facts, "s string, p string, o string, o_kind string, ext string")
+    classes = fuse.equivalence_classes(spark.createDataFrame([("a", "b"), ("p1", "p2")], "s string, o string"))
+    rows = []
+    for few in (10, 1):
+        monkeypatch.setattr(fuse, "FEW_VALUES", few)
+        rows.append(sorted(map(str, fuse.rewrite(triples, classes, "kg/", ("s", "p", "o")).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 5
+    got = {(r.o_kind, r.o) for r in fuse.rewrite(triples, classes, "kg/", ("s", "p", "o")).collect()}
+    assert ("literal", "a") in got and (None, "x") in got

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .components import connected_components
+from .components import components_by_blocks
 from .storage import cut
 
 # which positions of a data set's triples are rewritten (fixed values)
@@ -15,48 +15,77 @@ SUBJECT_OBJECT = ("article-categories", "article-templates", "article-templates-
 ALL_POSITIONS = ("infobox-properties",)
 
 
+def members(links: DataFrame) -> DataFrame:
+    """(uri, component) of all ends of links (s, o), stored."""
+    return components_by_blocks(links, "s", "o").select(F.col("node").alias("uri"), "component")
+
+
 def equivalence_classes(links: DataFrame, largest: int | None = None) -> DataFrame:
     """(uri, component, size, canonical) from links (s, o); classes beyond ``largest`` are left out.
 
     The canonical name is the digest of the members' URIs, sorted and joined: it doesn't depend on link order.  A class
     without a bound on its size is one string in one task, of 2 GB at most.
     """
-    member = cut(connected_components(links, "s", "o").select(F.col("node").alias("uri"), "component"))
-    named = member
+    named = members(links)
     if largest is not None:  # before any class is put in a string
-        small = member.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= largest)
-        named = member.join(small, "component", "left_semi")
-    names = named.groupBy("component").agg(F.count("*").alias("size"), F.expr("listagg(uri, '') WITHIN GROUP (ORDER BY uri)").alias("all"))
-    names = names.select("component", "size", S.uri_digest(F.col("all")).alias("canonical"))
-    return cut(member.join(names, "component").select("uri", "component", "size", "canonical"))  # joined up to three times
+        small = named.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= largest)
+        named = named.join(small, "component", "left_semi")
+    # members go out with their class's name: the class is gathered for that anyway, and nothing is joined
+    whole = named.groupBy("component").agg(F.array_sort(F.collect_list("uri")).alias("all"))
+    whole = whole.select("component", F.size("all").cast("long").alias("size"), S.uri_digest(F.array_join("all", "")).alias("canonical"), "all")
+    return whole.select(F.explode("all").alias("uri"), "component", "size", "canonical")
 
 
 def class_sizes(classes: DataFrame, top: int = 5000) -> DataFrame:
     return classes.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(top)
 
 
+#: Values of a position whose new names are sent to all tasks.
+FEW_VALUES = 10_000
+
+
 def rewrite(triples: DataFrame, classes: DataFrame, prefix: str, positions: tuple[str, ...]) -> DataFrame:
     """IRIs in ``positions`` replaced by ``prefix`` + canonical name (of a URI without links: its own digest).
 
     Each position is one left join on the URI; literals and other positions stay.
     """
-    names = classes.select("uri", "canonical")
+    return _rewritten(triples, cut(classes.select("uri", "canonical")), prefix, positions)
+
+
+def _rewritten(triples: DataFrame, names: DataFrame, prefix: str, positions: tuple[str, ...]) -> DataFrame:
     out = triples
-    for c in positions:
-        side = names.select(F.col("uri").alias("_uri"), F.col("canonical").alias("_name"))
-        new = F.concat(F.lit(prefix), F.coalesce("_name", S.uri_digest(F.col(c))))
-        if c == "o":
-            new = F.when(F.col("o_kind") == "iri", new).otherwise(F.col("o"))
-        out = out.join(side, (out[c] == side["_uri"]) & (F.lit(c != "o") | (F.col("o_kind") == "iri")), "left").withColumn(c, new).drop("_uri", "_name")
+    if "p" in positions:  # first: properties are few as a rule, and named once each
+        out = _properties_rewritten(out, names, prefix)
+    for c in (c for c in positions if c != "p"):
+        if c == "o":  # literals aren't shuffled
+            iri = F.col("o_kind").eqNullSafe("iri")
+            out = _position_rewritten(out.where(iri), names, prefix, c).unionByName(out.where(~iri))
+        else:
+            out = _position_rewritten(out, names, prefix, c)
     return out
 
 
+def _position_rewritten(triples: DataFrame, names: DataFrame, prefix: str, c: str) -> DataFrame:
+    side = names.select(F.col("uri").alias("_uri"), F.col("canonical").alias("_name"))
+    new = F.concat(F.lit(prefix), F.coalesce("_name", S.uri_digest(F.col(c))))
+    return triples.join(side, triples[c] == side["_uri"], "left").withColumn(c, new).drop("_uri", "_name")
+
+
+def _properties_rewritten(triples: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
+    few = cut(triples.select("p").distinct().limit(FEW_VALUES + 1))
+    if few.count() > FEW_VALUES:
+        return _position_rewritten(triples, names, prefix, "p")
+    new = cut(_position_rewritten(few.withColumn("_p", F.col("p")), names, prefix, "p")).select("_p", F.col("p").alias("_new"))
+    return triples.join(F.broadcast(new), triples["p"].eqNullSafe(new["_p"]), "left").withColumn("p", F.col("_new")).drop("_p", "_new")
+
+
 def rewrite_datasets(triples: DataFrame, classes: DataFrame, prefix: str) -> DataFrame:
     """Each data set by its pattern; data sets of no pattern are left out."""
+    names = cut(classes.select("uri", "canonical"))
     first = triples.where(F.col("dataset").isin(*SUBJECT, *SUBJECT_OBJECT, *ALL_POSITIONS))
-    subject = rewrite(first.where(F.col("dataset").isin(*SUBJECT)), classes, prefix, ("s",))
-    both = rewrite(first.where(F.col("dataset").isin(*SUBJECT_OBJECT)), classes, prefix, ("s", "o"))
-    every = rewrite(first.where(F.col("dataset").isin(*ALL_POSITIONS)), classes, prefix, ("s", "p", "o"))
+    subject = _rewritten(first.where(F.col("dataset").isin(*SUBJECT)), names, prefix, ("s",))
+    both = _rewritten(first.where(F.col("dataset").isin(*SUBJECT_OBJECT)), names, prefix, ("s", "o"))
+    every = _rewritten(first.where(F.col("dataset").isin(*ALL_POSITIONS)), names, prefix, ("s", "p", "o"))
     return subject.unionByName(both).unionByName(every)
 
 

@@ -234,7 +234,7 @@ def equivalence_classes(spark, d):
 
 @query(f"{cte('kg_links')}, {REACH} SELECT component, size FROM name ORDER BY size DESC, component LIMIT 20")
 def largest_classes(spark, d):
-    return fuse.class_sizes(fuse.equivalence_classes(view(spark, d, "kg_links")), 20)
+    return fuse.class_sizes(fuse.members(view(spark, d, "kg_links")), 20)
 
 
 @query(f"{cte('kg_links')}, {REACH} SELECT uri, component, size, canonical FROM comp JOIN name USING (component) WHERE size <= 8")
