@@ -98,3 +98,51 @@ def test_rewriting_with_few_or_many_properties(spark, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0]) == 5
     got = {(r.o_kind, r.o) for r in fuse.rewrite(triples, classes, "kg/", ("s", "p", "o")).collect()}
     assert ("literal", "a") in got and (None, "x") in got
+
+
+def test_term_weights_read_texts_once(spark):
+    import hashlib
+    from collections import Counter
+
+    from weftgraph.operators import corpus
+
+    rows = [("a", "x y\tX\n z"), ("a", " y "), ("b", ""), ("c", None), ("d", "É q q é"), ("e", "x")]
+    df = spark.createDataFrame(rows, "tag string, text string").repartition(3)
+    tf = {}
+    for tag, text in rows:
+        if text is not None:
+            own = tf.setdefault(tag, Counter())
+            own.update(int(hashlib.md5(w).hexdigest()[:7], 16) % 8 for w in text.lower().encode().split() or [b""])
+    n = Counter(b for own in tf.values() for b in own)
+    want = {(t, b): k * math.log((len(rows) + 1) / (n[b] + 1)) for t, own in tf.items() for b, k in own.items()}
+    length = {t: math.sqrt(sum(w * w for (u, _), w in want.items() if u == t)) for t in tf}
+    found = corpus.term_weights(df, 8)
+    assert {(r.uri, r.bucket): round(r.weight, 9) for r in found.collect()} == {k: round(w / length[k[0]], 9) for k, w in want.items() if length[k[0]] > 0}
+    assert "md5" not in found._jdf.queryExecution().toString()  # counts are stored
+    assert {r.uri: len(r.vector) for r in corpus.tfidf_vectors(df, 8).collect()} == dict.fromkeys("abcde", 8)
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    from weftgraph.sources import dumps
+
+    monkeypatch.setattr(dumps, "ROWS_PER_FILE", 10, raising=False)
+    df = spark.range(0, 95, 1, 1).select("id", F.concat(F.lit('a "q",\nb'), "id").alias("desc"))
+    dumps.write_csv(df, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").glob("*.csv"))) == 10
+    back = spark.read.csv(str(tmp_path / "c"), header=True, schema="id long, desc string", multiLine=True, escape='"')
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_plain_answers_are_read_without_xpath(spark, monkeypatch):
+    from weftgraph.sources import dumps
+
+    one = "<Answer><QuestionIdentifier>{}</QuestionIdentifier><FreeText>{}</FreeText></Answer>"
+    plain = ['<QuestionFormAnswers xmlns="http://x">' + one.format("q1", "a &amp;lt; b") + "\n " + one.format("q&quot;2", "c\n é😀" * 5000) + "</QuestionFormAnswers>", "<QuestionFormAnswers></QuestionFormAnswers>"]
+    other = ["<QuestionFormAnswers>" + one.format("q", x) + "</QuestionFormAnswers>" for x in ("<![CDATA[a<b]]>", "&#65;", "a<!-- c -->", "r\r\ns")] + [None]
+    frame = lambda docs: spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, doc string")
+    new = sorted(map(tuple, dumps.crowd_answers_xml(frame(plain + other), "doc").collect()))
+    monkeypatch.setattr(dumps, "PLAIN_ANSWERS", "^never$")
+    assert new == sorted(map(tuple, dumps.crowd_answers_xml(frame(plain + other), "doc").collect())) and len(new) == 6
+    monkeypatch.undo()
+    monkeypatch.setattr(dumps.F, "xpath", lambda *a: F.raise_error(F.lit("xpath")).cast("array<string>"))
+    assert dumps.crowd_answers_xml(frame(plain), "doc").count() == 2
