@@ -133,11 +133,23 @@ def read_crowd(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
+# an answer document as services write it: no declaration, comments, CDATA or other elements, and the five named entities;
+# repeats are possessive, as others would recurse
+_TEXT = r"(?:[^<>&\x00-\x08\x0B-\x1F\uFFFE\uFFFF]++|&(?:amp|lt|gt|quot|apos);)++"
+PLAIN_ANSWERS = rf'^<QuestionFormAnswers(?: xmlns="[^"<&]*+")?>(?:\s*+<Answer>\s*+<QuestionIdentifier>{_TEXT}</QuestionIdentifier>\s*+<FreeText>{_TEXT}</FreeText>\s*+</Answer>)*+\s*+</QuestionFormAnswers>\z'
+
+
 def crowd_answers_xml(df: DataFrame, column: str) -> DataFrame:
-    """(…, question, answer) from answer documents."""
+    """(…, question, answer) from answer documents.
+
+    Documents of the plain form are read by regular expressions, all others by XPath, which builds two trees for each.
+    """
     rest = [c for c in df.columns if c != column]
     free = F.expr(f"regexp_replace({column}, 'xmlns=\"[^\"]*\"', '')")
-    pairs = df.select(*rest, F.arrays_zip(F.xpath(free, F.lit("//Answer/QuestionIdentifier/text()")).alias("q"), F.xpath(free, F.lit("//Answer/FreeText/text()")).alias("a")).alias("x"))
+    parsed = F.arrays_zip(F.xpath(free, F.lit("//Answer/QuestionIdentifier/text()")).alias("q"), F.xpath(free, F.lit("//Answer/FreeText/text()")).alias("a"))
+    texts = lambda name: F.transform(F.regexp_extract_all(column, F.lit(f"<{name}>([^<]*+)</{name}>"), F.lit(1)), S.xml_unescaped)
+    plain = F.arrays_zip(texts("QuestionIdentifier").alias("q"), texts("FreeText").alias("a"))
+    pairs = df.select(*rest, F.when(F.col(column).rlike(PLAIN_ANSWERS), plain).otherwise(parsed).alias("x"))
     return pairs.select(*rest, F.explode("x").alias("x")).select(*rest, F.col("x.q").alias("question"), F.col("x.a").alias("answer"))
 
 
@@ -180,8 +192,12 @@ def write_corpus(corpus: DataFrame, path: str, compression: str = "gzip") -> Non
     corpus.select(F.to_json(F.array("tag", "text")).alias("value")).write.option("compression", compression).text(path)
 
 
+#: Rows of a CSV file: one with line breaks in its fields can't be split, and is one task's work.
+ROWS_PER_FILE = 50_000
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, escape='"')
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).csv(path, header=True, escape='"')
 
 
 # the parts of a GraphML document (fixed values)
