@@ -146,3 +146,28 @@ def test_plain_answers_are_read_without_xpath(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(dumps.F, "xpath", lambda *a: F.raise_error(F.lit("xpath")).cast("array<string>"))
     assert dumps.crowd_answers_xml(frame(plain), "doc").count() == 2
+
+
+def test_votes_meet_types_once_an_end(spark):
+    from weftgraph.operators import enrich
+    from weftgraph.schemas import LITERAL, THING
+
+    facts = [("a", "p", "b", "iri"), ("a", "p", "b", "iri"), ("a", "p", "c", "iri"), (None, "p", "b", None), ("b", "q", "a", "literal"), ("x", "q", None, "iri"), ("a", None, "b", "iri")]
+    types = spark.createDataFrame([("a", "A"), ("a", "B"), ("b", "C")], "s string, o string")
+    found = enrich.votes(spark.createDataFrame(facts, "s string, p string, o string, o_kind string"), types)
+    want = {("p", "domain", "B", 3), ("p", "domain", THING, 1), ("p", "range", "C", 2), ("p", "range", THING, 1), ("p", "range", LITERAL, 1), ("q", "domain", "C", 1), ("q", "domain", THING, 1)}
+    want |= {("q", "range", LITERAL, 1), ("q", "range", THING, 1), (None, "domain", "B", 1), (None, "range", "C", 1)}
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    counts = [i for i, line in enumerate(plan.splitlines()) if "count(1)" in line]
+    assert len(joins) == 2 and len(counts) >= 2  # counted below the joins
+
+
+def test_statements_are_known_by_their_first_sign(spark):
+    from weftgraph.sources import ntriples
+
+    lines = spark.createDataFrame([("<a> <b> <c> .",), (" \t# note",), ("",), ("  <a> <b> \"x\"@en .",), ("\r",), (None,)], "value string")
+    assert ntriples.parse_lines(lines).count() == 2
+    plan = ntriples.parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" in plan

@@ -18,12 +18,14 @@ def one_type(types: DataFrame) -> DataFrame:
 def votes(facts: DataFrame, types: DataFrame) -> DataFrame:
     """(p, side, type, n): how often a property's subjects (``domain``) and objects (``range``) have a type."""
     t = one_type(types)
-    a = t.select(F.col("s").alias("_s"), F.col("type").alias("_st"))
-    b = t.select(F.col("s").alias("_o"), F.col("type").alias("_ot"))
-    seen = facts.join(a, facts["s"] == a["_s"], "left").join(b, (facts["o"] == b["_o"]) & (facts["o_kind"] == "iri"), "left")
-    range_ = F.when(F.col("o_kind") == "iri", F.coalesce("_ot", F.lit(THING))).otherwise(F.lit(LITERAL))
-    sides = seen.select("p", F.explode(F.array(F.struct(F.lit("domain").alias("side"), F.coalesce("_st", F.lit(THING)).alias("type")), F.struct(F.lit("range").alias("side"), range_.alias("type")))).alias("x"))
-    return sides.groupBy("p", F.col("x.side").alias("side"), F.col("x.type").alias("type")).agg(F.count("*").alias("n"))
+    # statements are counted by property and end first: ends that recur meet their type once
+    ends = facts.groupBy("p", F.col("s").alias("end")).agg(F.count("*").alias("n"))
+    domain = ends.join(t, ends["end"] == t["s"], "left").select("p", F.lit("domain").alias("side"), F.coalesce("type", F.lit(THING)).alias("type"), "n")
+    iri = F.col("o_kind").eqNullSafe("iri")
+    ends = facts.select("p", iri.alias("iri"), F.when(iri, F.col("o")).alias("end")).groupBy("p", "iri", "end").agg(F.count("*").alias("n"))
+    named = ends.where("iri").join(t, F.col("end") == t["s"], "left").select("p", F.lit("range").alias("side"), F.coalesce("type", F.lit(THING)).alias("type"), "n")
+    literal = ends.where("NOT iri").select("p", F.lit("range").alias("side"), F.lit(LITERAL).alias("type"), "n")
+    return domain.unionByName(named).unionByName(literal).groupBy("p", "side", "type").agg(F.sum("n").alias("n"))
 
 
 def winners(counted: DataFrame) -> DataFrame:
