@@ -3,6 +3,8 @@ matchers don't reach, each with its SQL."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,13 +191,11 @@ def written_lines(spark, triples: DataFrame, name: str) -> DataFrame:
 @query(f"{cte('kg_facts')} SELECT s, p, o, o_kind, ext FROM kg_facts UNION ALL SELECT s, p, o, o_kind, ext FROM kg_facts UNION ALL SELECT s, p, o, o_kind, ext FROM kg_facts")
 def ntriples_files(spark, d):
     """Plain, gzip and bzip2 files."""
-    out = None
-    for codec in ("none", "gzip", "bzip2"):
-        path = shared_path(spark, f"triples-{codec}")
-        ntriples.write_ntriples(view(spark, d, "kg_facts"), path, compression=codec)
-        back = ntriples.read_ntriples(spark, path)
-        out = back if out is None else out.unionByName(back)
-    return out
+    paths = {codec: shared_path(spark, f"triples-{codec}") for codec in ("bzip2", "gzip", "none")}
+    with ThreadPoolExecutor(len(paths)) as pool:  # the last tasks of one leave cores to the others
+        list(pool.map(lambda codec: ntriples.write_ntriples(view(spark, d, "kg_facts"), paths[codec], compression=codec), paths))
+    back = [ntriples.read_ntriples(spark, path) for path in paths.values()]
+    return back[0].unionByName(back[1]).unionByName(back[2])
 
 
 @query(r"""SELECT 'doc/' || doc_id AS s, md5(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r')) AS digest, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL""")

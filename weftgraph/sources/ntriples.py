@@ -36,7 +36,7 @@ def parse_lines(lines: DataFrame, column: str = "value", mode: str = "FAILFAST")
     rest = [x for x in lines.columns if x != column]
     held = fresh(lines.columns, "_parts")
     # a line that doesn't match comes back as it is; one that does never equals its parts
-    found = lines.where(~c.rlike(r"(?s)^[ \t]*(#.*)?\r?\z")).withColumn(held, F.regexp_replace(c, LINE, PARTS))
+    found = lines.where(c.startswith("<") | ~c.rlike(r"(?s)^[ \t]*(#.*)?\r?\z")).withColumn(held, F.regexp_replace(c, LINE, PARTS))
     ok = F.col(held) != c
     if mode == "DROPMALFORMED":
         found = found.where(ok)
