@@ -24,6 +24,19 @@ def test_all_pairs_of_one_key_are_dealt_to_tasks(spark):
     assert pair_join(left.limit(0), right, ["key"]).count() == 0
 
 
+def test_pairs_of_packed_values(spark):
+    from weftgraph.operators.grid import pair_join
+
+    left = spark.createDataFrame([(("k", "x", None)[i % 3], "ab"[i % 2], i) for i in range(90)], "key string, d string, a int")
+    right = spark.createDataFrame([(("k", "y", None, "x")[i % 4], ("a", "b", None)[i % 3], (str(i % 7), None)[i % 5 == 0]) for i in range(120)], "key string, e string, b string")
+    want = sorted(map(repr, left.join(right, "key").where("d <> e").select("key", "d", "a", "e", "b").collect()))
+    for rows in (7, 2048):
+        met = pair_join(left, right, ["key"], "d <> e", rows, packed="b")
+        assert sorted(map(repr, met.select("key", "d", "a", "e", "b").collect())) == want and len(want) > 500
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_packed") < plan.index("Join Inner")  # spread above the join
+
+
 def test_candidates_of_a_hot_label_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(match.pair_join, "__defaults__", (None, 16))
     labels = spark.range(120).select(F.concat(F.lit("d"), F.col("id") % 3).alias("domain"), F.concat(F.lit("s"), "id").alias("s"), F.lit("one").alias("label"))
