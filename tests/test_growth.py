@@ -113,6 +113,32 @@ def test_rewriting_with_few_or_many_properties(spark, monkeypatch):
     assert ("literal", "a") in got and (None, "x") in got
 
 
+def test_objects_without_a_class_are_not_shuffled(spark):
+    from weftgraph.operators import bits, fuse
+
+    held = spark.range(0, 30000, 3).select(F.concat(F.lit("n"), "id").alias("v"))
+    rows = spark.range(30000).select(F.concat(F.lit("n"), "id").alias("x"), (F.col("id") % 2 == 0).alias("asked")).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS x, true AS asked"))
+    near, far = bits.split_by_bitmap(rows, "x", held, F.col("asked"))
+    assert near.unionByName(far).exceptAll(rows).isEmpty() and near.count() + far.count() == 30001
+    assert near.join(held, near["x"] == held["v"], "left_semi").count() == 5000 and 5000 <= near.count() < 6500
+    assert near.where("NOT asked").isEmpty()
+    none, rest = bits.split_by_bitmap(rows, "x", held.limit(0), F.col("asked"))
+    assert none.isEmpty() and rest.count() == 30001
+
+    facts = spark.range(20000).select(F.concat(F.lit("s"), "id").alias("s"), F.lit("p").alias("p"), F.concat(F.lit("n"), "id").alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("ext"))
+    links = spark.range(0, 40).select(F.concat(F.lit("n"), F.col("id") * 2).alias("s"), F.concat(F.lit("n"), F.col("id") * 2 + 1).alias("o"))
+    seen = []
+    real, fuse._position_rewritten = fuse._position_rewritten, lambda df, names, prefix, c: (c == "o" and seen.append(df.count())) or real(df, names, prefix, c)
+    try:
+        got = fuse.rewrite(facts, fuse.equivalence_classes(links), "kg/", ("s", "p", "o")).select("s", "o").collect()
+    finally:
+        fuse._position_rewritten = real
+    assert len(seen) == 1 and 80 <= seen[0] < 1000  # of 20,000
+    name = lambda text: __import__("base64").urlsafe_b64encode(__import__("hashlib").md5(text.encode()).digest()).decode()
+    pair = lambda i: f"n{i - i % 2}n{i - i % 2 + 1}" if i < 80 else f"n{i}"
+    assert {tuple(r) for r in got} == {("kg/" + name(f"s{i}"), "kg/" + name(pair(i))) for i in range(20000)}
+
+
 def test_term_weights_read_texts_once(spark):
     import hashlib
     from collections import Counter

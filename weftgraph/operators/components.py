@@ -13,6 +13,8 @@ from .storage import cut, shared_path
 LINKS_PER_FILE = 200_000
 #: Links that a task holds at once when it joins what it can by itself.
 BLOCK_LINKS = 250_000
+#: Nodes on which blocks disagree, or their links, that are sent to all tasks rather than joined by a shuffle of all nodes.
+FEW_NODES = 100_000
 
 
 def _kept(df: DataFrame, store: str | None, links: int | None = None) -> DataFrame:
@@ -114,12 +116,15 @@ def components_by_blocks(edges: DataFrame, src: str = "src", dst: str = "dst", b
     stars = _kept(contracted(links, block), store)
     low = _kept(stars.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("_last")), store)
     torn = low.where("v <> _last").select("u", F.col("v").alias("_m"))
-    if torn.isEmpty():
+    if not (n_torn := torn.count()):
         return low.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    joints = _kept(stars.join(torn, "u").where("v <> _m").select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct(), store)
-    if joints.count() <= block:
+    joints = _kept(stars.join(F.broadcast(torn) if n_torn <= FEW_NODES else torn, "u").where("v <> _m").select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct(), store)
+    n_joints = joints.count()
+    if n_joints <= block:
         tops = contracted(joints.coalesce(1), block).select(F.col("u").alias("_node"), F.col("v").alias("_top"))
     else:
         tops = connected_components(joints, "a", "b", store).select(F.col("node").alias("_node"), F.col("component").alias("_top"))
+    if n_joints <= FEW_NODES:
+        tops = F.broadcast(tops)
     settled = low.join(tops, low["v"] == tops["_node"], "left").select(F.col("u").alias("node"), F.coalesce("_top", "v").alias("component"))
     return _kept(settled, store)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .bits import split_by_bitmap
 from .components import components_by_blocks
 from .storage import cut
 
@@ -47,7 +48,8 @@ FEW_VALUES = 10_000
 def rewrite(triples: DataFrame, classes: DataFrame, prefix: str, positions: tuple[str, ...]) -> DataFrame:
     """IRIs in ``positions`` replaced by ``prefix`` + canonical name (of a URI without links: its own digest).
 
-    Each position is one left join on the URI; literals and other positions stay.
+    Each position is one left join on the URI, objects only where a bitmap says that they may have a class; literals and
+    other positions stay.
     """
     return _rewritten(triples, cut(classes.select("uri", "canonical")), prefix, positions)
 
@@ -56,13 +58,20 @@ def _rewritten(triples: DataFrame, names: DataFrame, prefix: str, positions: tup
     out = triples
     if "p" in positions:  # first: properties are few as a rule, and named once each
         out = _properties_rewritten(out, names, prefix)
-    for c in (c for c in positions if c != "p"):
-        if c == "o":  # literals aren't shuffled
-            iri = F.col("o_kind").eqNullSafe("iri")
-            out = _position_rewritten(out.where(iri), names, prefix, c).unionByName(out.where(~iri))
-        else:
-            out = _position_rewritten(out, names, prefix, c)
-    return out
+
+    def others_rewritten(df: DataFrame) -> DataFrame:
+        for c in (c for c in positions if c not in ("p", "o")):
+            df = _position_rewritten(df, names, prefix, c)
+        return df
+
+    if "o" not in positions:
+        return others_rewritten(out)
+    # literals and objects without a class aren't shuffled by object; their digests come last, as they are longer
+    iri = F.col("o_kind").eqNullSafe("iri")
+    near, far = split_by_bitmap(out, "o", names.select("uri"), iri)
+    near = others_rewritten(_position_rewritten(near, names, prefix, "o"))
+    far = others_rewritten(far).withColumn("o", F.when(iri, F.concat(F.lit(prefix), S.uri_digest(F.col("o")))).otherwise(F.col("o")))
+    return near.unionByName(far)
 
 
 def _position_rewritten(triples: DataFrame, names: DataFrame, prefix: str, c: str) -> DataFrame:
