@@ -172,6 +172,18 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("name", ["guessed_dump_urls", "sites_with_dumps"])
+def test_metadata_is_read_in_bounded_files(spark, tmp_path, monkeypatch, name):
+    from weftgraph.plans import queries
+    from weftgraph.sources import dumps
+
+    monkeypatch.setattr(dumps, "ROWS_PER_FILE", 10, raising=False)
+    made = spark.range(0, 95, 1, 1).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name", "CAST(1.5 AS DOUBLE) AS c_acctbal", "'BUILDING' AS c_mktsegment")
+    made.write.parquet(f"{tmp_path}/customer.parquet")
+    files = queries.QUERIES[name](spark, str(tmp_path)).inputFiles()
+    assert sum(f.endswith(".csv") for f in files) == 10
+
+
 def test_plain_answers_are_read_without_xpath(spark, monkeypatch):
     from weftgraph.sources import dumps
 
